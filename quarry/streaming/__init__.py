@@ -1,0 +1,6 @@
+"""Streaming.
+
+The operator inventory has no streaming operator: every input is a bounded
+table, and no query keeps state across micro-batches.  Nothing is built
+here; batch jobs over Parquet/CSV cover the whole surface.
+"""
