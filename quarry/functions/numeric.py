@@ -38,36 +38,6 @@ def no_nan(c) -> Column:
     return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
-def pearson_parts(x: str, y: str, prefix: str) -> list[Column]:
-    """Aggregates for a pairwise-complete Pearson correlation of ``x``, ``y``.
-
-    Each side is masked to the rows where both are non-null.  ``min``/``max``
-    per side guard against a constant column, for which the merged partial
-    variances can carry float noise and fake a correlation.
-    """
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    mx = F.when(both, F.col(x).cast("double"))
-    my = F.when(both, F.col(y).cast("double"))
-    return [
-        F.covar_pop(mx, my).alias(f"{prefix}_cov"),
-        F.var_pop(mx).alias(f"{prefix}_vx"),
-        F.var_pop(my).alias(f"{prefix}_vy"),
-        (F.min(mx) < F.max(mx)).alias(f"{prefix}_x_varies"),
-        (F.min(my) < F.max(my)).alias(f"{prefix}_y_varies"),
-        F.count(mx).alias(f"{prefix}_n"),
-    ]
-
-
-def pearson_from_parts(prefix: str) -> Column:
-    """Correlation from :func:`pearson_parts`, clamped to [-1, 1], rounded to 4.
-    NULL for fewer than 2 complete pairs or a constant side."""
-    ok = (F.col(f"{prefix}_n") >= 2) & F.col(f"{prefix}_x_varies") & F.col(f"{prefix}_y_varies")
-    r = F.try_divide(F.col(f"{prefix}_cov"),
-                     F.sqrt(F.col(f"{prefix}_vx") * F.col(f"{prefix}_vy")))
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-    return F.when(ok, F.round(r, 4))
-
-
 def is_numeric_type(dt) -> bool:
     return isinstance(dt, NUMERIC_TYPES)
 
@@ -87,3 +57,40 @@ def round_half_up(value, digits: int):
         return None
     q = Decimal(1).scaleb(-digits)
     return float(Decimal(repr(float(value))).quantize(q, rounding=ROUND_HALF_UP))
+
+
+# Whole-stage codegen is skipped for aggregates with more buffer fields than
+# spark.sql.codegen.maxFields (100 by default); wide statistic lists are
+# therefore evaluated in chunks below that size.
+MAX_AGG_FIELDS = 90
+
+
+def aggregate_row(df, exprs: list[Column], max_fields: int = MAX_AGG_FIELDS) -> dict:
+    """Evaluate many named aggregate expressions; one job per chunk of
+    ``max_fields`` so every chunk keeps generated code.  Returns name -> value."""
+    out: dict = {}
+    for start in range(0, len(exprs), max_fields):
+        row = df.agg(*exprs[start:start + max_fields]).first()
+        out.update(row.asDict())
+    return out
+
+
+# The shape of a number the numeric parser accepts (decimal
+# digits with optional sign, point and exponent) and the special words.
+NUMBER_SHAPE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+INTEGER_SHAPE = r"^[+-]?[0-9]{1,18}$"
+NUMBER_WORDS = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity", "nan")
+
+
+def parse_number(v: Column) -> Column:
+    """String -> double, NULL when the text is not a number.  A cheap shape
+    test runs first, so ``try_cast`` never meets text it would reject (a
+    rejected cast is an exception inside the task)."""
+    plausible = v.rlike(NUMBER_SHAPE) | F.lower(v).isin(*NUMBER_WORDS)
+    return no_nan(F.when(plausible, v.try_cast("double")))
+
+
+def parse_integer(v: Column) -> Column:
+    """String -> bigint for whole numbers (also ``7.0`` or ``1e3``)."""
+    return F.when(v.rlike(INTEGER_SHAPE), v.try_cast("bigint")).otherwise(
+        parse_number(v).try_cast("bigint"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quarry.functions.numeric import no_nan, round_half_up, safe_divide
 from quarry.operators.model import Model
 from quarry.operators.profile import MISSING_RATIO_WARN, iqr_outliers, null_counts
-from quarry.operators.quantiles import grouped_percentile
+from quarry.operators.quantiles import column_quantiles, grouped_percentile
+from quarry.session import reused
 from quarry.operators.summary import category_topk, numeric_summary_rows
 
 DIGITS = 4
@@ -25,11 +26,15 @@ def _v(c: str) -> Column:
     return no_nan(F.col(c).cast("double"))
 
 
-def ranges_outliers(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFrame:
-    """ANS-1: count, mean, min, max and IQR outliers of up to 4 columns."""
+def ranges_outliers(df: DataFrame, cols: list[str], quantiles: str = "exact",
+                    persist: bool = False) -> DataFrame:
+    """ANS-1: count, mean, min, max and IQR outliers of up to 4 columns.
+    The quartiles are computed once, together with the medians."""
     cols = cols[:4]
-    summary = numeric_summary_rows(df, cols, quantiles)
-    outliers = iqr_outliers(df, cols, method=quantiles)
+    with reused(df, persist) as kept:
+        q = column_quantiles(kept, cols, [0.25, 0.5, 0.75], method=quantiles)
+        summary = numeric_summary_rows(kept, cols, quantiles, medians={c: q[c][1] for c in cols})
+        outliers = iqr_outliers(kept, cols, quartiles={c: (q[c][0], q[c][2]) for c in cols})
     rows = [(c, n, mean, lo, hi, outliers[c]) for c, n, mean, _m, lo, hi, _s in summary]
     return df.sparkSession.createDataFrame(
         rows, "column string, count long, mean double, min double, max double, outlier_count long")

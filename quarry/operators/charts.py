@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.numeric import is_datetime_type, no_nan, round_half_up
+from quarry.functions.numeric import aggregate_row, is_datetime_type, no_nan, round_half_up
 from quarry.operators.quantiles import column_quantiles
 from quarry.operators.summary import correlations
 
@@ -163,8 +163,9 @@ def density(df: DataFrame, x: str, points: int = DENSITY_POINTS, cut: float = 0.
 
     Bandwidth by Scott's rule, ``h = std * n^(-1/5)``; the grid spans
     [min - cut*h, max + cut*h].  The estimate is exact over all rows: a
-    single aggregate with one running sum per grid point (fixed-size partial
-    state per task), so no row is paired with anything.
+    aggregate with one running sum per grid point (fixed-size partial state
+    per task, chunked to stay inside generated code), so no row is paired
+    with anything.
     """
     v = _value(x)
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
@@ -177,8 +178,9 @@ def density(df: DataFrame, x: str, points: int = DENSITY_POINTS, cut: float = 0.
     h = round_half_up(sd * n ** (-0.2), 10)
     lo, hi = row["lo"] - cut * h, row["hi"] + cut * h
     grid = [lo + k * (hi - lo) / (points - 1) for k in range(points)]
-    sums = vals.agg(*[F.sum(F.exp(F.lit(-0.5) * F.pow((F.lit(g) - F.col("v")) / F.lit(h), 2)))
-                      .alias(f"s{k}") for k, g in enumerate(grid)]).first()
+    sums = aggregate_row(vals, [
+        F.sum(F.exp(F.lit(-0.5) * F.pow((F.lit(g) - F.col("v")) / F.lit(h), 2))).alias(f"s{k}")
+        for k, g in enumerate(grid)])
     norm = n * h * math.sqrt(2.0 * math.pi)
     return spark.createDataFrame([(k, g, sums[f"s{k}"] / norm) for k, g in enumerate(grid)],
                                  DENSITY_SCHEMA)

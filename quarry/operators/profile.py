@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.names import normalized_columns, semantic_hint
-from quarry.functions.numeric import round_half_up
+from quarry.functions.numeric import aggregate_row, round_half_up
 from quarry.operators import types as ty
 from quarry.operators.quantiles import column_quantiles
+from quarry.session import reused
 
 # Warning threshold and IQR rule of the profile.
 MISSING_RATIO_WARN = 0.3
@@ -83,10 +84,9 @@ def _distinct_key(field: T.StructField) -> Column:
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Row count and per-column null count in one aggregate."""
     fields = df.schema.fields
-    row = df.agg(F.count(F.lit(1)).alias("rows"),
-                 *[F.count(ty.no_nan(f.name) if isinstance(f.dataType, (T.FloatType, T.DoubleType))
-                           else F.col(f.name)).alias(f"c{i}")
-                   for i, f in enumerate(fields)]).first()
+    row = aggregate_row(df, [F.count(F.lit(1)).alias("rows")] + [
+        F.count(ty.no_nan(f.name) if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+                else F.col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)])
     rows = row["rows"]
     return rows, {f.name: rows - row[f"c{i}"] for i, f in enumerate(fields)}
 
@@ -112,14 +112,15 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
 
 
 def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact",
-                 with_bounds: bool = False) -> dict:
+                 with_bounds: bool = False, quartiles: dict | None = None) -> dict:
     """Per numeric column: values strictly outside [q1 - 1.5 iqr, q3 + 1.5 iqr].
-    Fewer than 4 values or an IQR of 0 give 0 outliers."""
+    Fewer than 4 values or an IQR of 0 give 0 outliers.  ``quartiles``
+    (column -> (q1, q3)) may be passed in when already known."""
     if not cols:
         return {}
-    q = column_quantiles(df, cols, [0.25, 0.75], method=method)
-    non_null = df.agg(*[F.count(ty.no_nan(F.col(c).cast("double"))).alias(f"n{i}")
-                        for i, c in enumerate(cols)]).first()
+    q = quartiles or column_quantiles(df, cols, [0.25, 0.75], method=method)
+    non_null = aggregate_row(df, [F.count(ty.no_nan(F.col(c).cast("double"))).alias(f"n{i}")
+                                  for i, c in enumerate(cols)])
     bounds = {}
     for i, c in enumerate(cols):
         q1, q3 = q[c]
@@ -132,9 +133,9 @@ def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact",
     live = [c for c in cols if bounds[c] is not None]
     counts = {}
     if live:
-        row = df.agg(*[F.count(F.when((F.col(c) < F.lit(bounds[c][0]))
-                                      | (F.col(c) > F.lit(bounds[c][1])), 1)).alias(f"o{i}")
-                       for i, c in enumerate(live)]).first()
+        row = aggregate_row(df, [F.count(F.when((F.col(c) < F.lit(bounds[c][0]))
+                                                | (F.col(c) > F.lit(bounds[c][1])), 1)).alias(f"o{i}")
+                                 for i, c in enumerate(live)])
         counts = {c: row[f"o{i}"] for i, c in enumerate(live)}
     if not with_bounds:
         return {c: counts.get(c, 0) for c in cols}
@@ -142,12 +143,18 @@ def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact",
             for c in cols}
 
 
-def profile(df: DataFrame, approx: bool = False) -> TableProfile:
+def profile(df: DataFrame, approx: bool = False, persist: bool = False) -> TableProfile:
     """Profile every column of ``df`` (already typed, e.g. by ``coerce``).
 
     ``approx=True`` swaps exact distinct counts and quantiles for HLL and
     quantile sketches: one pass each, fixed memory, for very large tables.
+    ``persist=True`` keeps a derived ``df`` (e.g. a join) for the passes.
     """
+    with reused(df, persist) as kept:
+        return _profile(kept, approx)
+
+
+def _profile(df: DataFrame, approx: bool) -> TableProfile:
     rows, nulls = null_counts(df)
     distinct = distinct_counts(df, approx=approx)
     kinds = {}

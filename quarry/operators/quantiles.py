@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.numeric import aggregate_row
+
 # Largest number of bracket values that is grouped and brought back for the
 # final exact pick; fixed, independent of the table size.
 BRACKET_LIMIT = 200_000
@@ -57,11 +59,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         return {}
     eps = 4.0 / accuracy
     wanted = {}  # (col, rank) -> position list; ranks are 0-based
-    stats = df.agg(
-        *[F.count(_values(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.percentile_approx(_values(c), _bracket_probs(probs, eps), accuracy).alias(f"s{i}")
-          for i, c in enumerate(cols)],
-    ).first()
+    stats = aggregate_row(df, [F.count(_values(c)).alias(f"n{i}") for i, c in enumerate(cols)] + [
+        F.percentile_approx(_values(c), _bracket_probs(probs, eps), accuracy).alias(f"s{i}")
+        for i, c in enumerate(cols)])
     counts = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
     # brackets: per column and rank, [lo, hi] value bounds (None = open end)
     brackets: dict[tuple[str, int], tuple[float | None, float | None]] = {}
@@ -136,7 +136,7 @@ def _resolve_ranks(df: DataFrame, brackets: dict, bracket_limit: int,
                      F.count(F.when(_in_range(v, lo, hi), 1)).alias(f"w{i}"),
                      F.count(F.when(eq_lo, 1)).alias(f"l{i}"),
                      F.count(F.when(eq_hi, 1)).alias(f"h{i}")]
-        row = df.agg(*aggs).first()
+        row = aggregate_row(df, aggs)
         ready, again = [], {}
         for i, key in enumerate(keys):
             c, r = key

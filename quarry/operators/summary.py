@@ -6,18 +6,20 @@
   one grouped job; ``row_number`` over the small per-value counts is planned
   with a partial ``WindowGroupLimit`` before its shuffle, so at most k rows per
   column and partition move;
-* correlations: all pairs in **one** aggregate of fixed-size partial states
-  (co-moments), no matrix of raw values anywhere.
+* correlations: two passes of plain sums over mean-shifted values (fixed-size
+  partial state per task), no matrix of raw values anywhere.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.numeric import (is_datetime_type, is_numeric_type, no_nan,
-                                      pearson_from_parts, pearson_parts, round_half_up)
+from quarry.functions.numeric import (aggregate_row, is_datetime_type, is_numeric_type,
+                                      no_nan, round_half_up)
 from quarry.operators.quantiles import column_quantiles
 
 # Fixed values of the summary step.
@@ -59,7 +61,7 @@ def _r(v):
 
 
 def numeric_summary_rows(df: DataFrame, cols: list[str] | None = None,
-                         quantiles: str = "exact") -> list[tuple]:
+                         quantiles: str = "exact", medians: dict | None = None) -> list[tuple]:
     cols = numeric_columns(df) if cols is None else cols
     if not cols:
         return []
@@ -68,9 +70,10 @@ def numeric_summary_rows(df: DataFrame, cols: list[str] | None = None,
         v = _num(c)
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.min(v).alias(f"lo{i}"),
                  F.max(v).alias(f"hi{i}"), F.stddev_samp(v).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-    med = column_quantiles(df, cols, [0.5], method=quantiles)
-    return [(c, row[f"n{i}"], _r(row[f"a{i}"]), _r(med[c][0]), _r(row[f"lo{i}"]),
+    row = aggregate_row(df, aggs)
+    if medians is None:
+        medians = {c: m[0] for c, m in column_quantiles(df, cols, [0.5], method=quantiles).items()}
+    return [(c, row[f"n{i}"], _r(row[f"a{i}"]), _r(medians[c]), _r(row[f"lo{i}"]),
              _r(row[f"hi{i}"]), _r(row[f"s{i}"])) for i, c in enumerate(cols)]
 
 
@@ -105,26 +108,73 @@ CORR_SCHEMA = "left string, right string, r double"
 
 
 def correlation_rows(df: DataFrame, cols: list[str] | None = None) -> list[tuple]:
-    """Full Pearson matrix as (left, right, r) with pairwise-complete rows.
-    Diagonal is 1.0 when the column varies, else NULL; rounded to 4."""
+    """Full Pearson matrix as (left, right, r) over pairwise-complete rows.
+
+    Two passes of plain sums (codegen-friendly, fixed-size state per task):
+    pass 1 gives count, mean, min and max per column; pass 2 sums products
+    of mean-shifted values, which keeps the co-moments free of cancellation.
+    Pairs of columns without nulls share per-column sums; only pairs that
+    touch a column with nulls need masked sums.  A side without variation
+    gives NULL (as does a 0/0 correlation); the diagonal is 1.0 for a
+    varying column.  Rounded to 4 digits.
+    """
     cols = numeric_columns(df) if cols is None else list(cols)
     if len(cols) < 2:
         return []
-    aggs = []
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    k = len(cols)
+    v = [_num(c) for c in cols]
+    first = aggregate_row(df, [F.count(F.lit(1)).alias("rows")] + [
+        e for i in range(k) for e in (F.count(v[i]).alias(f"n{i}"), F.avg(v[i]).alias(f"a{i}"),
+                                      F.min(v[i]).alias(f"lo{i}"), F.max(v[i]).alias(f"hi{i}"))])
+    rows = first["rows"]
+    complete = [first[f"n{i}"] == rows for i in range(k)]
+    x = [v[i] - F.lit(float(first[f"a{i}"] or 0.0)) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    exprs = []
+    for i in range(k):
+        if complete[i]:
+            exprs += [F.sum(x[i]).alias(f"s{i}"), F.sum(x[i] * x[i]).alias(f"ss{i}")]
     for i, j in pairs:
-        aggs += pearson_parts(cols[i], cols[j], f"p{i}_{j}")
-    stats = df.agg(*aggs)
-    row = stats.select(*[pearson_from_parts(f"p{i}_{j}").alias(f"r{i}_{j}")
-                         for i, j in pairs]).first()
+        if complete[i] and complete[j]:
+            exprs.append(F.sum(x[i] * x[j]).alias(f"p{i}_{j}"))
+        else:
+            both = v[i].isNotNull() & v[j].isNotNull()
+            mx, my = F.when(both, x[i]), F.when(both, x[j])
+            exprs += [F.count(mx).alias(f"n{i}_{j}"), F.sum(mx).alias(f"sx{i}_{j}"),
+                      F.sum(my).alias(f"sy{i}_{j}"), F.sum(mx * mx).alias(f"sxx{i}_{j}"),
+                      F.sum(my * my).alias(f"syy{i}_{j}"), F.sum(mx * my).alias(f"p{i}_{j}"),
+                      (F.min(mx) < F.max(mx)).alias(f"vx{i}_{j}"),
+                      (F.min(my) < F.max(my)).alias(f"vy{i}_{j}")]
+    second = aggregate_row(df, exprs)
+
+    def varies(i):
+        lo, hi = first[f"lo{i}"], first[f"hi{i}"]
+        return lo is not None and lo < hi
+
+    def pearson(i, j):
+        if complete[i] and complete[j]:
+            n, sx, sy = rows, second[f"s{i}"], second[f"s{j}"]
+            sxx, syy, vx, vy = second[f"ss{i}"], second[f"ss{j}"], varies(i), varies(j)
+        else:
+            t = f"{i}_{j}"
+            n, sx, sy = second[f"n{t}"], second[f"sx{t}"], second[f"sy{t}"]
+            sxx, syy, vx, vy = second[f"sxx{t}"], second[f"syy{t}"], second[f"vx{t}"], second[f"vy{t}"]
+        if not n or n < 2 or not vx or not vy:
+            return None
+        sxy = second[f"p{i}_{j}"]
+        cxy, cxx, cyy = sxy - sx * sy / n, sxx - sx * sx / n, syy - sy * sy / n
+        if cxx <= 0 or cyy <= 0:
+            return None
+        return round_half_up(max(-1.0, min(1.0, cxy / math.sqrt(cxx * cyy))), DIGITS)
+
+    r = {(i, j): pearson(i, j) for i, j in pairs}
     out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            r = row[f"r{lo}_{hi}"]
-            if i == j and r is not None:
-                r = 1.0
-            out.append((a, b, r))
+            if i == j:
+                out.append((a, b, 1.0 if varies(i) else None))
+            else:
+                out.append((a, b, r[(min(i, j), max(i, j))]))
     return out
 
 

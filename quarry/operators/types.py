@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.numeric import (NESTED_TYPES, is_datetime_type,
-                                      is_numeric_type, no_nan)
+from quarry.functions.numeric import (NESTED_TYPES, aggregate_row, is_datetime_type,
+                                      is_numeric_type, no_nan, parse_integer, parse_number)
 
 NUMERIC, DATETIME, BOOLEAN, CATEGORICAL, TEXT, NESTED = (
     "numeric", "datetime", "boolean", "categorical", "text", "nested")
@@ -32,6 +32,19 @@ DATE_PATTERNS = ("MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm",
                  "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy",
                  "dd-MMM-yyyy", "MMM d, yyyy", "yyyyMMdd'T'HHmmss")
 ISO = "iso"
+# Shape of the text each pattern can parse; the parser runs only on matches.
+DATE_SHAPES = {
+    ISO: r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$",
+    "MM/dd/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "MM/dd/yyyy HH:mm:ss": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "MM/dd/yyyy HH:mm": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$",
+    "yyyy/MM/dd": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$",
+    "yyyy/MM/dd HH:mm:ss": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "dd.MM.yyyy": r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$",
+    "dd-MMM-yyyy": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$",
+    "yyyyMMdd'T'HHmmss": r"^[0-9]{8}T[0-9]{6}$",
+}
 
 META_KEY = "semantic_type"
 
@@ -49,9 +62,10 @@ def _blank_to_null(c: str) -> Column:
 
 
 def _parse_ts(value: Column, pattern: str) -> Column:
-    if pattern == ISO:
-        return value.try_cast("timestamp")
-    return F.try_to_timestamp(value, F.lit(pattern))
+    parsed = (value.try_cast("timestamp") if pattern == ISO
+              else F.try_to_timestamp(value, F.lit(pattern)))
+    shape = DATE_SHAPES.get(pattern)
+    return F.when(value.rlike(shape), parsed) if shape else parsed
 
 
 def categorical_limit(non_null: int) -> float:
@@ -102,7 +116,7 @@ def infer_types(df: DataFrame, patterns: tuple[str, ...] = DATE_PATTERNS,
             continue
         todo.append(field.name)
         v = _blank_to_null(field.name)
-        d = v.try_cast("double")
+        d = parse_number(v)
         aggs += [
             F.count(v).alias(f"n{i}"),
             F.count(d).alias(f"d{i}"),
@@ -113,7 +127,7 @@ def infer_types(df: DataFrame, patterns: tuple[str, ...] = DATE_PATTERNS,
             (F.approx_count_distinct(v) if approx else F.count_distinct(v)).alias(f"u{i}"),
         ]
         aggs += [F.count(_parse_ts(v, p)).alias(f"t{i}_{k}") for k, p in enumerate(all_patterns)]
-    row = df.agg(*aggs).first().asDict() if aggs else {}
+    row = aggregate_row(df, aggs) if aggs else {}
 
     index = {f.name: i for i, f in enumerate(df.schema.fields)}
     result = []
@@ -145,9 +159,8 @@ def _coerced(name: str, ctype: ColumnType) -> Column:
     v = _blank_to_null(name)
     if ctype.semantic_type == NUMERIC:
         if ctype.storage == "bigint":
-            # "7.0" is a whole number but not a bigint literal
-            return F.coalesce(v.try_cast("bigint"), v.try_cast("double").try_cast("bigint"))
-        return no_nan(v.try_cast("double"))
+            return parse_integer(v)
+        return parse_number(v)
     if ctype.semantic_type == DATETIME:
         return _parse_ts(v, ctype.date_pattern or ISO)
     if ctype.semantic_type == BOOLEAN:

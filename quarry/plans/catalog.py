@@ -18,7 +18,7 @@ from quarry.operators.model import build_model
 from quarry.operators.relationships import (infer_relationships, key_overlap,
                                             key_uniqueness, relationships_frame)
 from quarry.plans import chart_plan, views
-from quarry.session import scratch_path
+from quarry.session import reused, scratch_path
 from quarry.sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,7 +203,7 @@ def table_profile(spark, sf):
 @query
 def model_profile(spark, sf):
     """PRF-6: profile of the sales analysis table with its measures."""
-    return profile.profile(sales(spark, sf)).to_frame(spark)
+    return profile.profile(sales(spark, sf), persist=True).to_frame(spark)
 
 
 @query
@@ -376,8 +376,8 @@ def density_curve(spark, sf):
 
 @query
 def heatmap_corr(spark, sf):
-    df = sales(spark, sf)
-    return charts.heatmap(df, chart_plan.chart_numeric(df)[:chart_plan.HEATMAP_MAX_COLUMNS])
+    with reused(sales(spark, sf)) as df:
+        return charts.heatmap(df, chart_plan.chart_numeric(df)[:chart_plan.HEATMAP_MAX_COLUMNS])
 
 
 def _preset(role, spark, sf, df=None, ms=None):
@@ -448,7 +448,7 @@ def chart_bundle(spark, sf):
 @query
 def ans_ranges_outliers(spark, sf):
     df = views.v_sales(spark, sf)
-    return answers.ranges_outliers(df, ["quantity", "unit_price", "revenue", "cost"])
+    return answers.ranges_outliers(df, ["quantity", "unit_price", "revenue", "cost"], persist=True)
 
 
 @query

@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 
@@ -65,3 +67,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/quarry-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def reused(df, enabled: bool = True):
+    """Keep ``df`` for the several passes of a multi-pass operator.
+
+    Worth it when ``df`` is derived (joins, aggregates) rather than a plain
+    file scan, which each pass re-reads with only its own columns anyway.
+    MEMORY_AND_DISK spills instead of failing; blocks lost with an executor
+    are recomputed from the lineage.
+    """
+    if not enabled:
+        yield df
+        return
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
