@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quarry.functions.numeric import aggregate_row, is_datetime_type, no_nan, round_half_up
 from quarry.operators.quantiles import column_quantiles
 from quarry.operators.summary import correlations
+from quarry.session import reused
 
 # Fixed values of the chart step.
 BAR_TOP = 12
@@ -132,18 +133,22 @@ def histogram(df: DataFrame, x: str, bins: int | None = None) -> DataFrame:
     a grouped count by bin index.  The bin list itself is generated from the
     bin count with ``range``; it is joined to the counts on the bin index.
     """
-    v = _value(x)
-    n, lo, hi = _range_stats(df.select(v.alias("v")), ["v"])["v"]
-    spark = df.sparkSession
+    with reused(df.select(_value(x).alias("v")), "auto") as vals:
+        return _histogram(vals, bins)
+
+
+def _histogram(vals: DataFrame, bins: int | None) -> DataFrame:
+    n, lo, hi = _range_stats(vals, ["v"])["v"]
+    spark = vals.sparkSession
     if not n:
         return spark.createDataFrame([], HIST_SCHEMA)
     if bins is None:
-        q1, q3 = column_quantiles(df.select(v.alias("v")), ["v"], [0.25, 0.75])["v"]
+        q1, q3 = column_quantiles(vals, ["v"], [0.25, 0.75])["v"]
         bins, lo, hi = auto_bins(n, lo, hi, q1, q3)
     elif hi == lo:
         lo, hi = lo - 0.5, hi + 0.5
     step = (hi - lo) / bins
-    counts = (df.select(v.alias("v")).where(F.col("v").isNotNull())
+    counts = (vals.where(F.col("v").isNotNull())
               .groupBy(_bin_index(F.col("v"), lo, hi, bins).alias("bin"))
               .agg(F.count(F.lit(1)).alias("n")))
     edges = spark.range(bins).select(
@@ -167,11 +172,14 @@ def density(df: DataFrame, x: str, points: int = DENSITY_POINTS, cut: float = 0.
     per task, chunked to stay inside generated code), so no row is paired
     with anything.
     """
-    v = _value(x)
-    vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
+    with reused(df.select(_value(x).alias("v")).where(F.col("v").isNotNull()), "auto") as vals:
+        return _density(vals, points, cut)
+
+
+def _density(vals: DataFrame, points: int, cut: float) -> DataFrame:
     row = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
                    F.stddev_samp("v").alias("sd")).first()
-    spark = df.sparkSession
+    spark = vals.sparkSession
     n, sd = row["n"], row["sd"]
     if not n or sd is None or sd == 0:
         return spark.createDataFrame([], DENSITY_SCHEMA)

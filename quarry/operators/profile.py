@@ -143,12 +143,13 @@ def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact",
             for c in cols}
 
 
-def profile(df: DataFrame, approx: bool = False, persist: bool = False) -> TableProfile:
+def profile(df: DataFrame, approx: bool = False, persist="auto") -> TableProfile:
     """Profile every column of ``df`` (already typed, e.g. by ``coerce``).
 
     ``approx=True`` swaps exact distinct counts and quantiles for HLL and
     quantile sketches: one pass each, fixed memory, for very large tables.
-    ``persist=True`` keeps a derived ``df`` (e.g. a join) for the passes.
+    ``persist=True`` keeps a derived ``df`` (e.g. a join) for the passes;
+    the default keeps it only when it is small (see ``session.reused``).
     """
     with reused(df, persist) as kept:
         return _profile(kept, approx)

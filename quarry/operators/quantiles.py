@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import aggregate_row
+from quarry.session import reused
 
 # Largest number of bracket values that is grouped and brought back for the
 # final exact pick; fixed, independent of the table size.
@@ -125,9 +126,12 @@ def _resolve_ranks(df: DataFrame, brackets: dict, bracket_limit: int,
     pending = dict(brackets)
     while pending:
         keys = list(pending)
+        # ranks sharing a bracket (k and k+1 usually do) share its counts
+        slot: dict[tuple, int] = {}
+        for key in keys:
+            slot.setdefault((key[0],) + tuple(pending[key]), len(slot))
         aggs = []
-        for i, (c, _r) in enumerate(keys):
-            lo, hi = pending[keys[i]]
+        for (c, lo, hi), i in slot.items():
             v = _values(c)
             below = v < F.lit(float(lo)) if lo is not None else F.lit(False)
             eq_lo = v == F.lit(float(lo)) if lo is not None else F.lit(False)
@@ -138,9 +142,10 @@ def _resolve_ranks(df: DataFrame, brackets: dict, bracket_limit: int,
                      F.count(F.when(eq_hi, 1)).alias(f"h{i}")]
         row = aggregate_row(df, aggs)
         ready, again = [], {}
-        for i, key in enumerate(keys):
+        for key in keys:
             c, r = key
             lo, hi = pending[key]
+            i = slot[(c, lo, hi)]
             below, inside = row[f"b{i}"], row[f"w{i}"]
             tied_lo, tied_hi = row[f"l{i}"], row[f"h{i}"]
             rel = r - below
@@ -214,7 +219,8 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if method == "approx":
         return approx_quantiles(df, cols, probs)
     if method == "exact":
-        return exact_quantiles(df, cols, probs)
+        with reused(df, "auto") as kept:
+            return exact_quantiles(kept, cols, probs)
     raise ValueError(f"unknown quantile method {method!r}")
 
 

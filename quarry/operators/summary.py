@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from quarry.functions.numeric import (aggregate_row, is_datetime_type, is_numeric_type,
                                       no_nan, round_half_up)
 from quarry.operators.quantiles import column_quantiles
+from quarry.session import reused
 
 # Fixed values of the summary step.
 TOP_K = 8
@@ -78,10 +79,11 @@ def numeric_summary_rows(df: DataFrame, cols: list[str] | None = None,
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None,
-                    quantiles: str = "exact") -> DataFrame:
+                    quantiles: str = "exact", persist="auto") -> DataFrame:
     """column, count, mean, median, min, max, std (sample), rounded to 4."""
-    return df.sparkSession.createDataFrame(numeric_summary_rows(df, cols, quantiles),
-                                           SUMMARY_SCHEMA)
+    with reused(df, persist) as kept:
+        rows = numeric_summary_rows(kept, cols, quantiles)
+    return df.sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
 
 
 def category_topk(df: DataFrame, k: int = TOP_K, max_cols: int = MAX_CATEGORY_COLUMNS,
@@ -178,8 +180,10 @@ def correlation_rows(df: DataFrame, cols: list[str] | None = None) -> list[tuple
     return out
 
 
-def correlations(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return df.sparkSession.createDataFrame(correlation_rows(df, cols), CORR_SCHEMA)
+def correlations(df: DataFrame, cols: list[str] | None = None, persist="auto") -> DataFrame:
+    with reused(df, persist) as kept:
+        rows = correlation_rows(kept, cols)
+    return df.sparkSession.createDataFrame(rows, CORR_SCHEMA)
 
 
 def strongest_correlation_row(rows: list[tuple]) -> tuple | None:
@@ -193,8 +197,10 @@ def strongest_correlation_row(rows: list[tuple]) -> tuple | None:
     return best
 
 
-def strongest_correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    best = strongest_correlation_row(correlation_rows(df, cols))
+def strongest_correlation(df: DataFrame, cols: list[str] | None = None,
+                          persist="auto") -> DataFrame:
+    with reused(df, persist) as kept:
+        best = strongest_correlation_row(correlation_rows(kept, cols))
     return df.sparkSession.createDataFrame([best] if best else [], CORR_SCHEMA)
 
 
@@ -209,7 +215,12 @@ INSIGHT_SCHEMA = T.StructType([
 ])
 
 
-def insight_facts(df: DataFrame, quantiles: str = "exact") -> DataFrame:
+def insight_facts(df: DataFrame, quantiles: str = "exact", persist="auto") -> DataFrame:
+    with reused(df, persist) as kept:
+        return _insight_facts(kept, quantiles)
+
+
+def _insight_facts(df: DataFrame, quantiles: str) -> DataFrame:
     """Up to 8 facts: range and mean per numeric column, leading value per
     categorical column, strongest correlation.  Facts are columns (kind,
     subject, other, v1..v3), not prose."""

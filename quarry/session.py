@@ -70,18 +70,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def reused(df, enabled: bool = True):
+def reused(df, enabled=True):
     """Keep ``df`` for the several passes of a multi-pass operator.
 
-    Worth it when ``df`` is derived (joins, aggregates) rather than a plain
-    file scan, which each pass re-reads with only its own columns anyway.
-    MEMORY_AND_DISK spills instead of failing; blocks lost with an executor
-    are recomputed from the lineage.
+    ``enabled=True``: persist (for derived frames: joins, aggregates).
+    ``enabled="auto"``: only when ``df`` has fewer partitions than the
+    cluster's parallelism (a small input); a large file scan is left alone,
+    since each pass re-reads just its own columns.
+    A persisted frame with fewer partitions than the parallelism is first
+    spread round-robin, so later passes use every core.  MEMORY_AND_DISK
+    spills instead of failing; blocks lost with an executor are recomputed
+    from the lineage.
     """
     if not enabled:
         yield df
         return
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = df.rdd.getNumPartitions()
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if enabled == "auto" and parts >= target:
+        yield df
+        return
+    kept = (df.repartition(target) if parts < target else df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
