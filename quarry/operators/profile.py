@@ -73,7 +73,7 @@ class TableProfile:
         return out
 
 
-def _distinct_key(field: T.StructField) -> Column:
+def distinct_key(field: T.StructField) -> Column:
     """Value as a string key for distinct counting; -0.0 folds onto 0.0."""
     c = F.col(field.name)
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
@@ -103,7 +103,7 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
                        for i, f in enumerate(fields)]).first()
         return {f.name: row[f"u{i}"] for i, f in enumerate(fields)}
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), _distinct_key(f).alias("v")) for i, f in enumerate(fields)
+        F.struct(F.lit(i).alias("k"), distinct_key(f).alias("v")) for i, f in enumerate(fields)
     ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
     rows = (pairs.distinct()                        # partial dedup before the shuffle
             .groupBy("k").agg(F.count(F.lit(1)).alias("u")).collect())

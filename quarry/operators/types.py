@@ -1,10 +1,9 @@
 """Semantic type inference (PRJ-2) and coercion (PRJ-3).
 
-Inference is **one** aggregate over all columns: for every string column it
-counts non-nulls, values that parse as double / as integer, values that parse
-as a timestamp under each candidate format, and (for the categorical rule)
-the distinct count.  The decision is taken on the driver from that single
-row; coercion is then a projection with ``try_cast`` / ``try_to_timestamp``.
+Inference is at most two aggregate passes over all columns together (see
+``infer_types``); the decision is taken on the driver from one row of
+counts per column.  Coercion is then a projection with shape-checked
+``try_cast`` / ``try_to_timestamp``.
 The chosen semantic type travels in ``StructField.metadata``.
 """
 
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.numeric import (NESTED_TYPES, aggregate_row, is_datetime_type,
                                       is_numeric_type, no_nan, parse_integer, parse_number)
+from quarry.session import reused
 
 NUMERIC, DATETIME, BOOLEAN, CATEGORICAL, TEXT, NESTED = (
     "numeric", "datetime", "boolean", "categorical", "text", "nested")
@@ -97,25 +97,37 @@ def type_of_field(field: T.StructField) -> str | None:
 
 def infer_types(df: DataFrame, patterns: tuple[str, ...] = DATE_PATTERNS,
                 approx: bool = False) -> list[ColumnType]:
-    """Infer one semantic type per column with a single aggregate job.
+    """Infer one semantic type per column.
 
     Rule order, first match wins: boolean, numeric (>= 90% of non-null values
     parse as numbers), datetime (>= 90% parse under one pattern; the pattern
     with most hits is kept), categorical (distinct <= max(20, 10% of
     non-nulls)), text.  Blank strings count as null.  An all-null column is
     text.
+
+    Pass 1 is one aggregate of cheap counts for every string column
+    (non-null, numeric, whole, boolean, ISO timestamp).  Pass 2 runs only for
+    the columns still undecided: the other date patterns and the exact (or
+    HLL) distinct count, the latter as one grouped job over all of them.
     """
-    fixed: dict[str, ColumnType] = {}
-    aggs: list[Column] = []
-    todo: list[str] = []
-    all_patterns = (ISO,) + tuple(patterns)
-    for i, field in enumerate(df.schema.fields):
+    with reused(df, "auto") as kept:
+        return _infer_types(kept, tuple(patterns), approx)
+
+
+def _infer_types(df: DataFrame, patterns: tuple[str, ...], approx: bool) -> list[ColumnType]:
+    fields = df.schema.fields
+    decided: dict[str, ColumnType] = {}
+    strings = []
+    for field in fields:
         known = type_of_field(field)
         if known is not None:
-            fixed[field.name] = ColumnType(field.name, known, field.dataType.simpleString())
-            continue
-        todo.append(field.name)
-        v = _blank_to_null(field.name)
+            decided[field.name] = ColumnType(field.name, known, field.dataType.simpleString())
+        else:
+            strings.append(field.name)
+    idx = {c: i for i, c in enumerate(strings)}
+    aggs: list[Column] = []
+    for c, i in idx.items():
+        v = _blank_to_null(c)
         d = parse_number(v)
         aggs += [
             F.count(v).alias(f"n{i}"),
@@ -124,35 +136,50 @@ def infer_types(df: DataFrame, patterns: tuple[str, ...] = DATE_PATTERNS,
             F.count(F.when(d.isNotNull() & ((F.floor(d) != d) | (F.abs(d) >= 9.2e18)), 1))
             .alias(f"f{i}"),
             F.count(F.when(F.lower(v).isin("true", "false"), 1)).alias(f"b{i}"),
-            (F.approx_count_distinct(v) if approx else F.count_distinct(v)).alias(f"u{i}"),
+            F.count(_parse_ts(v, ISO)).alias(f"t{i}_0"),
         ]
-        aggs += [F.count(_parse_ts(v, p)).alias(f"t{i}_{k}") for k, p in enumerate(all_patterns)]
-    row = aggregate_row(df, aggs) if aggs else {}
+    first = aggregate_row(df, aggs) if aggs else {}
 
-    index = {f.name: i for i, f in enumerate(df.schema.fields)}
-    result = []
-    for field in df.schema.fields:
-        name = field.name
-        if name in fixed:
-            result.append(fixed[name])
-            continue
-        i = index[name]
-        n = row[f"n{i}"]
+    undecided = []
+    for c, i in idx.items():
+        n = first[f"n{i}"]
         if n == 0:
-            result.append(ColumnType(name, TEXT))
-        elif row[f"b{i}"] == n:
-            result.append(ColumnType(name, BOOLEAN, "boolean"))
-        elif row[f"d{i}"] >= PARSE_SHARE * n:
-            storage = "bigint" if row[f"f{i}"] == 0 else "double"
-            result.append(ColumnType(name, NUMERIC, storage))
+            decided[c] = ColumnType(c, TEXT)
+        elif first[f"b{i}"] == n:
+            decided[c] = ColumnType(c, BOOLEAN, "boolean")
+        elif first[f"d{i}"] >= PARSE_SHARE * n:
+            decided[c] = ColumnType(c, NUMERIC, "bigint" if first[f"f{i}"] == 0 else "double")
         else:
-            hits = [(row[f"t{i}_{k}"], -k, p) for k, p in enumerate(all_patterns)]
+            undecided.append(c)
+
+    if undecided:
+        second = aggregate_row(df, [
+            F.count(_parse_ts(_blank_to_null(c), p)).alias(f"t{idx[c]}_{k + 1}")
+            for c in undecided for k, p in enumerate(patterns)]) if patterns else {}
+        distinct = _string_distinct(df, undecided, approx)
+        for c in undecided:
+            i, n = idx[c], first[f"n{idx[c]}"]
+            hits = [(first[f"t{i}_0"], 0, ISO)] + [
+                (second[f"t{i}_{k + 1}"], -(k + 1), p) for k, p in enumerate(patterns)]
             best, _, pattern = max(hits)
             if best >= PARSE_SHARE * n:
-                result.append(ColumnType(name, DATETIME, "timestamp", pattern))
+                decided[c] = ColumnType(c, DATETIME, "timestamp", pattern)
             else:
-                result.append(ColumnType(name, string_kind(row[f"u{i}"], n)))
-    return result
+                decided[c] = ColumnType(c, string_kind(distinct[c], n))
+    return [decided[f.name] for f in fields]
+
+
+def _string_distinct(df: DataFrame, cols: list[str], approx: bool) -> dict[str, int]:
+    """Distinct non-blank values per column: one grouped job for all of
+    them (the partial aggregate dedups before the shuffle)."""
+    if approx:
+        return aggregate_row(df, [F.approx_count_distinct(_blank_to_null(c)).alias(c) for c in cols])
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("k"), _blank_to_null(c).alias("v")) for i, c in enumerate(cols)
+    ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
+    found = {r["k"]: r["u"] for r in pairs.distinct().groupBy("k")
+             .agg(F.count(F.lit(1)).alias("u")).collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(cols)}
 
 
 def _coerced(name: str, ctype: ColumnType) -> Column:
