@@ -74,11 +74,22 @@ class TableProfile:
 
 
 def distinct_key(field: T.StructField) -> Column:
-    """Value as a string key for distinct counting; -0.0 folds onto 0.0."""
+    """Value of a column as a typed key for distinct counting: whole numbers
+    in a bigint slot, other numbers in a double slot (Spark folds -0.0 onto
+    0.0 and unifies NaN when grouping), everything else as text.  No number
+    is turned into a string."""
     c = F.col(field.name)
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        c = F.when(c == 0, F.lit(0.0)).otherwise(ty.no_nan(c))
-    return c.cast("string")
+    dt = field.dataType
+    none_l, none_d, none_s = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.struct(c.cast("bigint").alias("l"), none_d.alias("d"), none_s.alias("s"))
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.struct(none_l.alias("l"), ty.no_nan(c).cast("double").alias("d"), none_s.alias("s"))
+    return F.struct(none_l.alias("l"), none_d.alias("d"), c.cast("string").alias("s"))
+
+
+def _key_present(key: str = "v") -> Column:
+    return F.col(f"{key}.l").isNotNull() | F.col(f"{key}.d").isNotNull() | F.col(f"{key}.s").isNotNull()
 
 
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
@@ -102,9 +113,11 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
         row = df.agg(*[F.approx_count_distinct(F.col(f.name)).alias(f"u{i}")
                        for i, f in enumerate(fields)]).first()
         return {f.name: row[f"u{i}"] for i, f in enumerate(fields)}
-    pairs = df.select(F.explode(F.array(*[
+    pairs = (df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("k"), distinct_key(f).alias("v")) for i, f in enumerate(fields)
-    ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
+    ])).alias("p")).where(_key_present("p.v"))
+        .select(F.col("p.k").alias("k"), F.col("p.v.l").alias("l"), F.col("p.v.d").alias("d"),
+                F.col("p.v.s").alias("s")))
     rows = (pairs.distinct()                        # partial dedup before the shuffle
             .groupBy("k").agg(F.count(F.lit(1)).alias("u")).collect())
     found = {r["k"]: r["u"] for r in rows}

@@ -19,7 +19,7 @@ from quarry.session import reused
 # Largest number of bracket values that is grouped and brought back for the
 # final exact pick; fixed, independent of the table size.
 BRACKET_LIMIT = 200_000
-SKETCH_ACCURACY = 100_000
+SKETCH_ACCURACY = 10_000
 
 
 def _values(c: str) -> Column:

@@ -35,6 +35,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files of frames that are no longer referenced are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("QUARRY_DRIVER_MEMORY", "16g"),
     }
     if shuffle_partitions is not None:
@@ -73,25 +75,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def reused(df, enabled=True):
     """Keep ``df`` for the several passes of a multi-pass operator.
 
-    ``enabled=True``: persist (for derived frames: joins, aggregates).
-    ``enabled="auto"``: only when ``df`` has fewer partitions than the
-    cluster's parallelism (a small input); a large file scan is left alone,
-    since each pass re-reads just its own columns.
-    A persisted frame with fewer partitions than the parallelism is first
-    spread round-robin, so later passes use every core.  MEMORY_AND_DISK
-    spills instead of failing; blocks lost with an executor are recomputed
-    from the lineage.
+    ``enabled=True`` is for derived frames (joins, aggregates): the frame is
+    written once as a reliable checkpoint under ``spark.checkpoint.dir``
+    (shared storage), which cuts the lineage, so a lost executor costs a
+    re-read of checkpoint files rather than a re-run of the joins.
+    ``enabled="auto"`` keeps ``df`` only when it has fewer partitions than
+    the cluster's parallelism (a small input), in memory/disk; a large file
+    scan is left alone, since each pass re-reads just its own columns.
+    Either way an input with fewer partitions than the parallelism is first
+    spread round-robin, so later passes use every core.
     """
     if not enabled:
         yield df
         return
+    spark = df.sparkSession
     parts = df.rdd.getNumPartitions()
-    target = df.sparkSession.sparkContext.defaultParallelism
+    target = spark.sparkContext.defaultParallelism
     if enabled == "auto" and parts >= target:
         yield df
         return
-    kept = (df.repartition(target) if parts < target else df).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
+    spread = df.repartition(target) if parts < target else df
+    if enabled == "auto":
+        kept = spread.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield kept
+        finally:
+            kept.unpersist()
+        return
+    checkpoint_root(spark)
+    yield spread.checkpoint(eager=True)
