@@ -91,24 +91,35 @@ def build_model(tables: dict[str, DataFrame], relationships: list[Relationship],
                 stats: dict[str, dict[str, KeyStats]] | None = None,
                 rows: dict[str, int] | None = None,
                 match_flags: bool = False) -> Model:
-    """Left-join the unique side of each relationship onto the base table."""
+    """Left-join the unique side of each relationship onto the base table.
+
+    The walk over the relationships (which tables join, through which
+    column, under which output names) is decided on the driver from the
+    schemas.  The joins are then built as a tree: every dimension branch
+    (e.g. orders -> customer -> nation -> region) is joined bottom-up on its
+    own, small side first, and the base table joins each of its direct
+    branches once.  The wide base table is thus shuffled at most once per
+    direct dimension instead of once per hop, and the result equals the
+    sequential left-join chain because every joined key is unique.
+    """
     stats = {k: dict(v) for k, v in (stats or {}).items()}
-    if rows is None:
-        rows = {}
+    rows = dict(rows or {})
     for name, df in tables.items():
         if name not in rows:
             rows[name] = df.count()
     base = select_base_table(tables, rows)
-    frame = tables[base]
-    provenance = {(base, c): c for c in frame.columns}
+    model = Model(frame=tables[base], base_table=base,
+                  provenance={(base, c): c for c in tables[base].columns})
+    owner = {c: base for c in tables[base].columns}      # physical column -> table
+    order = list(tables[base].columns)                    # sequential column order
     used = {base}
-    model = Model(frame=frame, base_table=base, provenance=provenance)
 
     def unique(table: str, col: str) -> bool:
         if col not in stats.get(table, {}):
             stats.setdefault(table, {}).update(key_stats(tables[table], [col]))
         return stats[table][col].unique
 
+    renames: dict[str, list[tuple[str, str]]] = {}
     for rel in relationships:
         if rel.left_table in used and rel.right_table not in used:
             inner, inner_col, dim, dim_col = rel.left_table, rel.left_column, rel.right_table, rel.right_column
@@ -118,35 +129,51 @@ def build_model(tables: dict[str, DataFrame], relationships: list[Relationship],
             continue
         if not unique(dim, dim_col):
             continue
-        frame = _join_dimension(model, frame, tables[dim], dim, dim_col,
-                                provenance[(inner, inner_col)], rows.get(dim), match_flags)
+        left_key = model.provenance[(inner, inner_col)]
+        taken = set(order)
+        renames[dim] = []
+        for c in tables[dim].columns:
+            if c == dim_col:
+                model.provenance[(dim, c)] = left_key
+                continue
+            out = c if c not in taken else _free_name(f"{c}_{dim}", taken)
+            taken.add(out)
+            order.append(out)
+            owner[out] = dim
+            model.provenance[(dim, c)] = out
+            renames[dim].append((c, out))
+        if match_flags:
+            flag = _free_name(f"__in_{dim}", taken)
+            order.append(flag)
+            owner[flag] = dim
+            model.flags[dim] = flag
         used.add(dim)
-        model.joins.append({"table": dim, "left_key": provenance[(inner, inner_col)],
-                            "right_key": dim_col, "via": inner})
-    model.frame = frame
+        model.joins.append({"table": dim, "left_key": left_key, "right_key": dim_col,
+                            "via": inner, "parent": owner[left_key]})
+
+    children: dict[str, list[dict]] = {}
+    for j in model.joins:
+        children.setdefault(j["parent"], []).append(j)
+
+    def attach(frame: DataFrame, table: str) -> DataFrame:
+        for j in children.get(table, []):
+            branch, key_alias = build_branch(j)
+            as_type = common_key_type(frame.schema[j["left_key"]].dataType,
+                                      branch.schema[key_alias].dataType)
+            branch = broadcast_if_small(branch, rows.get(j["table"]))
+            frame = (frame.join(branch, F.col(j["left_key"]).cast(as_type)
+                                == branch[key_alias].cast(as_type), "left")
+                     .drop(key_alias))
+        return frame
+
+    def build_branch(j: dict) -> tuple[DataFrame, str]:
+        dim = j["table"]
+        key_alias = f"__key_{dim}"
+        cols = [F.col(j["right_key"]).alias(key_alias)]
+        cols += [F.col(c).alias(out) for c, out in renames[dim]]
+        if match_flags:
+            cols.append(F.lit(True).alias(model.flags[dim]))
+        return attach(tables[dim].select(*cols), dim), key_alias
+
+    model.frame = attach(tables[base], base).select(*order)
     return model
-
-
-def _join_dimension(model: Model, frame: DataFrame, dim: DataFrame, dim_name: str,
-                    dim_key: str, left_key: str, dim_rows: int | None,
-                    match_flags: bool) -> DataFrame:
-    taken = set(frame.columns)
-    as_type = common_key_type(frame.schema[left_key].dataType, dim.schema[dim_key].dataType)
-    key_alias = _free_name(f"__key_{dim_name}", taken)
-    cols = [F.col(dim_key).cast(as_type).alias(key_alias)]
-    for c in dim.columns:
-        if c == dim_key:
-            model.provenance[(dim_name, c)] = left_key
-            continue
-        out = c if c not in taken else _free_name(f"{c}_{dim_name}", taken)
-        taken.add(out)
-        model.provenance[(dim_name, c)] = out
-        cols.append(F.col(c).alias(out))
-    if match_flags:
-        flag = _free_name(f"__in_{dim_name}", taken)
-        taken.add(flag)
-        model.flags[dim_name] = flag
-        cols.append(F.lit(True).alias(flag))
-    right = broadcast_if_small(dim.select(*cols), dim_rows)
-    joined = frame.join(right, F.col(left_key).cast(as_type) == right[key_alias], "left")
-    return joined.drop(key_alias)
