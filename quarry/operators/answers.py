@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quarry.functions.numeric import no_nan, round_half_up, safe_divide
 from quarry.operators.model import Model
 from quarry.operators.profile import MISSING_RATIO_WARN, iqr_outliers, null_counts
-from quarry.operators.quantiles import column_quantiles, grouped_percentile
+from quarry.operators.quantiles import (column_quantiles, grouped_percentile_approx,
+                                        grouped_quantile)
 from quarry.session import reused
 from quarry.operators.summary import category_topk, numeric_summary_rows
 
@@ -41,13 +42,23 @@ def ranges_outliers(df: DataFrame, cols: list[str], quantiles: str = "exact",
 
 
 def by_category(df: DataFrame, value: str, category: str, quantiles: str = "exact") -> DataFrame:
-    """ANS-2: distribution of ``value`` per ``category``."""
+    """ANS-2: distribution of ``value`` per ``category``.  The exact median
+    per group comes from :func:`grouped_quantile`, which never gathers a
+    (possibly hot) group's values into one task."""
     v = _v(value)
-    return df.groupBy(F.col(category).cast("string").alias("category")).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), DIGITS).alias("mean"),
-        F.round(F.min(v), DIGITS).alias("min"), F.round(F.max(v), DIGITS).alias("max"),
-        F.round(F.stddev_samp(v), DIGITS).alias("std"),
-        F.round(grouped_percentile(value, 0.5, quantiles), DIGITS).alias("median"))
+    keyed = df.select(F.col(category).cast("string").alias("category"), v.alias("value"))
+    stats = keyed.groupBy("category").agg(
+        F.count("value").alias("n"), F.round(F.avg("value"), DIGITS).alias("mean"),
+        F.round(F.min("value"), DIGITS).alias("min"), F.round(F.max("value"), DIGITS).alias("max"),
+        F.round(F.stddev_samp("value"), DIGITS).alias("std"),
+        *([F.round(grouped_percentile_approx("value", 0.5), DIGITS).alias("median")]
+          if quantiles == "approx" else []))
+    if quantiles == "approx":
+        return stats
+    med = grouped_quantile(keyed, "category", "value", 0.5).withColumnRenamed("category", "c")
+    return (stats.join(med, stats["category"].eqNullSafe(med["c"]), "left")
+            .select("category", "n", "mean", "min", "max", "std",
+                    F.round("quantile", DIGITS).alias("median")))
 
 
 def _period(date: str, grain: str) -> Column:

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import aggregate_row
-from quarry.session import reused
+from quarry.session import checkpoint_root, reused
 
 # Largest number of bracket values that is grouped and brought back for the
 # final exact pick; fixed, independent of the table size.
@@ -224,9 +224,123 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def grouped_percentile(c: str, p: float, method: str = "exact") -> Column:
-    """Per-group quantile as an aggregate expression (for groupBy)."""
-    v = _values(c)
-    if method == "approx":
-        return F.percentile_approx(v, p, SKETCH_ACCURACY)
-    return F.percentile(v, F.lit(p))
+def grouped_percentile_approx(c: str, p: float) -> Column:
+    """Per-group approximate quantile as an aggregate expression."""
+    return F.percentile_approx(_values(c), p, SKETCH_ACCURACY)
+
+
+GRID = 128  # sketch grid used to narrow a per-group bracket
+
+
+def _between(v: Column, lo: Column, hi: Column) -> Column:
+    return v.isNotNull() & (lo.isNull() | (v >= lo)) & (hi.isNull() | (v <= hi))
+
+
+def _join_g(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Join on the group column with NULL-safe equality (a NULL group is a
+    group), plus plain equality on ``keys``."""
+    r = right.withColumnRenamed("g", "_g")
+    for k in keys:
+        r = r.withColumnRenamed(k, f"_{k}")
+    cond = left["g"].eqNullSafe(r["_g"])
+    for k in keys:
+        cond = cond & (left[k] == r[f"_{k}"])
+    return left.join(r, cond).drop("_g", *[f"_{k}" for k in keys])
+
+
+def grouped_quantile(df: DataFrame, group: str, value: str, p: float,
+                     accuracy: int = SKETCH_ACCURACY, bracket_limit: int = BRACKET_LIMIT,
+                     max_rounds: int = 16) -> DataFrame:
+    """Exact linear-interpolated ``p``-quantile of ``value`` per ``group``.
+
+    Same narrowing idea as :func:`exact_quantiles`, per group and entirely in
+    DataFrames (no per-group data reaches the driver):
+
+    1. per group: count and a sketch bracket around rank ``p (n-1)``;
+    2. per (group, rank): rows below / inside / tied with the bracket ends,
+       by a grouped aggregate whose partial step runs in every task - a group
+       holding a third of all rows is counted by all tasks, not one;
+    3. ranks on a tied end are answered; brackets with at most
+       ``bracket_limit`` rows are grouped by value and read off with a
+       running count (a window over at most that many rows per group);
+       larger brackets are narrowed on a fixed sketch grid of their interior
+       and go round again.
+    Result columns: ``group`` (as given), ``quantile``.
+    """
+    checkpoint_root(df.sparkSession)
+    v = _values(value)
+    data = df.select(F.col(group).alias("g"), v.alias("v")).where(F.col("v").isNotNull())
+    eps = 4.0 / accuracy
+    stats = data.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", [max(0.0, p - eps), min(1.0, p + eps)], accuracy).alias("b"))
+    pos = F.lit(p) * (F.col("n") - 1)
+    k = F.floor(pos).cast("long")
+    base = stats.select("g", "n", k.alias("k"), (pos - k).alias("frac"),
+                        F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+    pending = (base.select("g", "lo", "hi", F.explode(F.array_distinct(F.array(
+        F.col("k"), F.least(F.col("k") + 1, F.col("n") - 1)))).alias("r")))
+    found = []
+    for _ in range(max_rounds):
+        joined = _join_g(data, pending)
+        lo, hi, val = F.col("lo"), F.col("hi"), F.col("v")
+        counts = joined.groupBy("g", "r", "lo", "hi").agg(
+            F.count(F.when(lo.isNotNull() & (val < lo), 1)).alias("below"),
+            F.count(F.when(_between(val, lo, hi), 1)).alias("inside"),
+            F.count(F.when(val == lo, 1)).alias("tied_lo"),
+            F.count(F.when(val == hi, 1)).alias("tied_hi"))
+        rel = F.col("r") - F.col("below")
+        state = (F.when((rel < 0) | (rel >= F.col("inside")), "miss")
+                 .when(rel < F.col("tied_lo"), "at_lo")
+                 .when(rel >= F.col("inside") - F.col("tied_hi"), "at_hi")
+                 .when(F.col("inside") <= bracket_limit, "pick")
+                 .otherwise("narrow"))
+        # one small row per pending (group, rank); checkpointing it (and the
+        # next round's brackets) keeps every round's plan the same size
+        classified = counts.withColumn("state", state).withColumn("rel", rel).checkpoint()
+        found.append(classified.where(F.col("state") == "at_lo")
+                     .select("g", "r", F.col("lo").alias("x")))
+        found.append(classified.where(F.col("state") == "at_hi")
+                     .select("g", "r", F.col("hi").alias("x")))
+        picks = classified.where(F.col("state") == "pick").select("g", "r", "lo", "hi", "rel")
+        in_bracket = (_join_g(data, picks).where(_between(F.col("v"), F.col("lo"), F.col("hi")))
+                      .groupBy("g", "r", "rel", "v").agg(F.count(F.lit(1)).alias("c")))
+        w = Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        running = in_bracket.withColumn("upto", F.sum("c").over(w))
+        found.append(running.where((F.col("upto") - F.col("c") <= F.col("rel"))
+                                   & (F.col("rel") < F.col("upto")))
+                     .select("g", "r", F.col("v").alias("x")))
+        misses = (classified.where(F.col("state") == "miss")
+                  .select("g", "r",
+                          F.when(F.col("rel") >= 0, F.col("lo")).alias("lo"),
+                          F.when(F.col("rel") < F.col("inside"), F.col("hi")).alias("hi")))
+        wide = classified.where(F.col("state") == "narrow").select(
+            "g", "r", "lo", "hi",
+            ((F.col("rel") - F.col("tied_lo"))
+             / F.greatest(F.col("inside") - F.col("tied_lo") - F.col("tied_hi") - 1, F.lit(1)))
+            .alias("q"))
+        interior = (_join_g(data, wide)
+                    .where((F.col("lo").isNull() | (F.col("v") > F.col("lo")))
+                           & (F.col("hi").isNull() | (F.col("v") < F.col("hi"))))
+                    .groupBy("g", "r", "q")
+                    .agg(F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], accuracy)
+                         .alias("grid")))
+        at = F.floor(F.col("q") * GRID).cast("int")
+        narrowed = interior.select(
+            "g", "r",
+            F.element_at("grid", F.greatest(at, F.lit(1))).alias("lo"),          # 1-based
+            F.element_at("grid", F.least(at + 3, F.lit(GRID + 1))).alias("hi"))
+        pending = misses.unionByName(narrowed).checkpoint()
+        if pending.isEmpty():
+            break
+    values = found[0]
+    for f in found[1:]:
+        values = values.unionByName(f)
+    lower = values.withColumnRenamed("x", "x_lo").withColumnRenamed("r", "k")
+    upper = values.withColumnRenamed("x", "x_hi").withColumnRenamed("r", "k_hi")
+    res = _join_g(_join_g(base.select("g", "k", "frac",
+                                      F.least(F.col("k") + 1, F.col("n") - 1).alias("k_hi")),
+                          lower, ("k",)), upper, ("k_hi",))
+    q = F.when(F.col("frac") == 0, F.col("x_lo")).otherwise(
+        F.col("x_lo") + (F.col("x_hi") - F.col("x_lo")) * F.col("frac"))
+    return res.select(F.col("g").alias(group), q.alias("quantile"))

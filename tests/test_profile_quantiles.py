@@ -53,3 +53,18 @@ def test_quantiles_of_empty_and_single(spark):
     frame = spark.createDataFrame([(None, 3.0)], "a double, b double")
     got = column_quantiles(frame, ["a", "b"], [0.5])
     assert got == {"a": [None], "b": [3.0]}
+
+
+def test_grouped_quantile_hot_and_null_groups(spark):
+    from quarry.operators.quantiles import grouped_quantile
+    rnd = random.Random(7)
+    rows = [("hot" if rnd.random() < 0.6 else rnd.choice(["a", "b", None]),
+             float(rnd.choice([rnd.randint(0, 9), rnd.random() * 50]))) for _ in range(1500)]
+    rows += [("one", 4.0), ("ties", 2.0), ("ties", 2.0)]
+    frame = spark.createDataFrame(rows, "k string, x double")
+    groups: dict = {}
+    for k, x in rows:
+        groups.setdefault(k, []).append(x)
+    got = {r.k: r.quantile for r in
+           grouped_quantile(frame, "k", "x", 0.5, accuracy=40, bracket_limit=15).collect()}
+    assert got == pytest.approx({k: float(np.quantile(v, 0.5)) for k, v in groups.items()})
