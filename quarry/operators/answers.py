@@ -18,7 +18,9 @@ from quarry.session import reused
 from quarry.operators.summary import category_topk, numeric_summary_rows
 
 DIGITS = 4
-MONEY = 2
+# money totals keep 4 decimals: sums of 4-decimal amounts are then exact
+# after rounding, whatever order the partial sums were merged in
+MONEY = 4
 # Fixed value: a slope smaller than this in absolute value counts as flat.
 FLAT_SLOPE = 1e-9
 

@@ -37,6 +37,6 @@ def audit_kpis(left: DataFrame, right: DataFrame, key: str, kpis: list[str],
     r = _long_kpis(right, key, kpis).withColumnRenamed("total", "right")
     j = l.join(r, ["key", "kpi"], "full_outer")
     diff = F.abs(F.col("left") - F.col("right"))
-    return j.select("key", "kpi", F.round("left", 2).alias("left"), F.round("right", 2).alias("right"),
+    return j.select("key", "kpi", F.round("left", 4).alias("left"), F.round("right", 4).alias("right"),
                     F.round(diff, 6).alias("diff"),
                     F.coalesce(diff <= F.lit(tol), F.lit(False)).alias("ok"))

@@ -187,6 +187,17 @@ def _profile(df: DataFrame, approx: bool) -> TableProfile:
     return TableProfile(rows=rows, columns=cols)
 
 
+def profile_new_columns(df: DataFrame, previous: TableProfile, approx: bool = False) -> TableProfile:
+    """Profile only the columns not in ``previous`` (e.g. after formula
+    measures were added) and append them; earlier entries are kept."""
+    known = {c.column for c in previous.columns}
+    new = [c for c in df.columns if c not in known]
+    if not new:
+        return previous
+    extra = profile(df.select(*new), approx=approx)
+    return TableProfile(rows=previous.rows, columns=previous.columns + extra.columns)
+
+
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Rename columns by the normalisation rule; clashes get _2, _3, ..."""
     return df.toDF(*normalized_columns(df.columns))

@@ -42,6 +42,13 @@ def datetime_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_datetime_type(f.dataType)]
 
 
+def column_roles(df: DataFrame) -> dict[str, list[str]]:
+    """AGG-6: numeric, categorical (string) and datetime column lists, from
+    the schema alone."""
+    return {"numeric": numeric_columns(df), "categorical": categorical_columns(df),
+            "datetime": datetime_columns(df)}
+
+
 def _num(c: str) -> Column:
     return no_nan(F.col(c).cast("double"))
 

@@ -248,7 +248,7 @@ def star_join(spark, sf):
     region = model.provenance[("region", "name")]
     return (model.frame.groupBy(F.col(region).alias("region"))
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.round(F.sum("extendedprice"), 2).alias("revenue")))
+                 F.round(F.sum("extendedprice"), 4).alias("revenue")))
 
 
 # ---------------------------------------------------------------- measures
@@ -261,7 +261,7 @@ def _by_category(df, measure, digits):
 
 @query
 def m_gross_profit(spark, sf):
-    return _by_category(sales(spark, sf), "gross_profit", 2)
+    return _by_category(sales(spark, sf), "gross_profit", 4)
 
 
 @query
@@ -271,12 +271,12 @@ def m_gross_margin(spark, sf):
 
 @query
 def m_line_revenue(spark, sf):
-    return _by_category(sales(spark, sf), "line_item_revenue", 2)
+    return _by_category(sales(spark, sf), "line_item_revenue", 4)
 
 
 @query
 def m_inventory_value(spark, sf):
-    return _by_category(sales(spark, sf), "inventory_value", 2)
+    return _by_category(sales(spark, sf), "inventory_value", 4)
 
 
 @query
@@ -293,7 +293,7 @@ def m_cost_per_unit(spark, sf):
 @query
 def m_revenue_per_customer(spark, sf):
     out = measures.revenue_per_customer(views.v_sales(spark, sf))
-    return out.select("customer_id", F.round("revenue", 2).alias("revenue"), "records")
+    return out.select("customer_id", F.round("revenue", 4).alias("revenue"), "records")
 
 
 FORMULA = {"name": "profit_per_sq_unit", "formula": "(revenue - cost) / quantity ** 2"}
@@ -338,7 +338,7 @@ def insight_facts(spark, sf):
 @query
 def bar_sum_top12(spark, sf):
     """Gross profit by category, top 12 (the flagship slice)."""
-    return charts.bar_data(sales(spark, sf), "category", "gross_profit", "sum", digits=2)
+    return charts.bar_data(sales(spark, sf), "category", "gross_profit", "sum", digits=4)
 
 
 @query
@@ -354,7 +354,7 @@ def bar_count_top12(spark, sf):
 @query
 def line_trend_month(spark, sf):
     return charts.line_data(views.v_sales(spark, sf), "ship_date", "revenue", "sum",
-                            grain="month", digits=2)
+                            grain="month", digits=4)
 
 
 @query
@@ -440,7 +440,7 @@ def chart_margin(spark, sf):
 @query
 def chart_bundle(spark, sf):
     df, ms = measures.add_measures(views.v_sales(spark, sf))
-    return chart_plan.chart_bundle(df, ms)
+    return chart_plan.chart_bundle(df, ms, persist=True)
 
 
 # ---------------------------------------------------------------- answers

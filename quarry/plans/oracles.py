@@ -194,7 +194,7 @@ ORDER BY y DESC NULLS LAST, x ASC NULLS FIRST LIMIT 12"""
 
 
 def sum2(c: str) -> str:
-    return f"round(coalesce(sum(CAST({c} AS DOUBLE)), 0), 2)"
+    return f"round(coalesce(sum(CAST({c} AS DOUBLE)), 0), 4)"
 
 
 def preset_bar(x, y, agg, src=SALES_M):
@@ -345,15 +345,15 @@ FROM (SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders WHERE o_custk
      (SELECT count(DISTINCT o_custkey) AS left_distinct FROM orders) l,
      (SELECT count(DISTINCT c_custkey) AS right_distinct FROM customer) r""",
         "relationships": relationships_sql(),
-        "star_join": f"""SELECT region, count(*) AS n, round(sum(extendedprice), 2) AS revenue
+        "star_join": f"""SELECT region, count(*) AS n, round(sum(extendedprice), 4) AS revenue
   FROM {STAR_JOIN} j GROUP BY region""",
-        "m_gross_profit": by_category("gross_profit", "gross_profit", 2),
+        "m_gross_profit": by_category("gross_profit", "gross_profit", 4),
         "m_gross_margin": by_category("gross_margin_pct", "gross_margin_pct", 4),
-        "m_line_revenue": by_category("line_item_revenue", "line_item_revenue", 2),
-        "m_inventory_value": by_category("inventory_value", "inventory_value", 2),
+        "m_line_revenue": by_category("line_item_revenue", "line_item_revenue", 4),
+        "m_inventory_value": by_category("inventory_value", "inventory_value", 4),
         "m_revenue_per_unit": by_category("avg_revenue_per_unit", "avg_revenue_per_unit", 4),
         "m_cost_per_unit": by_category("cost_per_unit", "cost_per_unit", 4, SALES_UNITS),
-        "m_revenue_per_customer": f"""SELECT customer_id, round(sum(revenue), 2) AS revenue,
+        "m_revenue_per_customer": f"""SELECT customer_id, round(sum(revenue), 4) AS revenue,
   count(*) AS records FROM {SALES} s GROUP BY customer_id""",
         "m_formula": by_category("(revenue - cost) / nullif(pow(quantity, 2), 0)", "profit_per_sq_unit", 4),
         "numeric_summary": summary_sql("lineitem", LINEITEM_NUMERIC),
@@ -388,11 +388,11 @@ FROM ({summary_sql(SALES, ['quantity', 'unit_price', 'revenue', 'cost'])}) s JOI
   round(stddev_samp(revenue), 4) AS std, round(quantile_cont(revenue, 0.5), 4) AS median
 FROM {SALES} s GROUP BY category""",
         "ans_trend_change": f"""SELECT strftime(t, '%Y-%m-%d') AS period, value,
-  lag(value) OVER (ORDER BY t) AS previous, round(value - lag(value) OVER (ORDER BY t), 2) AS change,
+  lag(value) OVER (ORDER BY t) AS previous, round(value - lag(value) OVER (ORDER BY t), 4) AS change,
   round((value - lag(value) OVER (ORDER BY t)) / nullif(lag(value) OVER (ORDER BY t), 0), 4) AS pct_change
 FROM (SELECT date_trunc('month', ship_date) AS t, {sum2('revenue')} AS value FROM {SALES} s
       WHERE ship_date IS NOT NULL GROUP BY 1)""",
-        "ans_top_profit": f"""SELECT subject, round(total, 2) AS value, round(total / (SELECT sum(gross_profit) FROM {SALES_M} a), 4) AS share
+        "ans_top_profit": f"""SELECT subject, round(total, 4) AS value, round(total / (SELECT sum(gross_profit) FROM {SALES_M} a), 4) AS share
 FROM (SELECT CAST(category AS VARCHAR) AS subject, sum(gross_profit) AS total FROM {SALES_M} t GROUP BY category)
 ORDER BY total DESC NULLS LAST, subject ASC NULLS FIRST LIMIT 1""",
         "ans_top_margin": f"""SELECT CAST(category AS VARCHAR) AS subject,
@@ -439,8 +439,8 @@ b AS (SELECT returnflag AS key, sum(quantity) AS quantity, sum(extendedprice) AS
       FROM {STAR_JOIN} j GROUP BY 1),
 la AS (SELECT key, 'quantity' AS kpi, quantity AS v FROM a UNION ALL SELECT key, 'extendedprice', extendedprice FROM a),
 lb AS (SELECT key, 'quantity' AS kpi, quantity AS v FROM b UNION ALL SELECT key, 'extendedprice', extendedprice FROM b)
-SELECT coalesce(la.key, lb.key) AS key, coalesce(la.kpi, lb.kpi) AS kpi, round(la.v, 2) AS "left",
-  round(lb.v, 2) AS "right", round(abs(la.v - lb.v), 6) AS diff, coalesce(abs(la.v - lb.v) <= 0.01, FALSE) AS ok
+SELECT coalesce(la.key, lb.key) AS key, coalesce(la.kpi, lb.kpi) AS kpi, round(la.v, 4) AS "left",
+  round(lb.v, 4) AS "right", round(abs(la.v - lb.v), 6) AS diff, coalesce(abs(la.v - lb.v) <= 0.01, FALSE) AS ok
 FROM la FULL OUTER JOIN lb ON la.key = lb.key AND la.kpi = lb.kpi""",
     }
     bundle = [

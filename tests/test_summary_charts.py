@@ -91,3 +91,25 @@ def test_audits(df):
     assert audit_rows(a, a).first().ok and not audit_rows(a, b).first().ok
     res = {(r.key, r.kpi): r.ok for r in audit_kpis(a, b, "k", ["v"]).collect()}
     assert res == {("x", "v"): False, ("y", "v"): True}
+
+
+def test_validate_specs_filters_and_dedupes(df):
+    from quarry.plans.chart_plan import validate_specs
+    frame = df([("a", 1.0, 2.0, 3.0)], "k string, x double, y double, z double")
+    specs = validate_specs(frame, [
+        {"chart_type": "pie", "x": "k", "y": "x"},
+        {"chart_type": "BAR", "x": "k", "y": "x", "story_role": "driver"},
+        {"chart_type": "bar", "x": "k", "y": "x", "story_role": "driver"},
+        {"chart_type": "line", "x": "missing", "y": "x"},
+        {"chart_type": "heatmap", "columns": ["x", "nope"]},
+        {"chart_type": "heatmap", "columns": ["x", "y", "nope"], "aggregation": "correlation"},
+        {"chart_type": "histogram", "x": "z"}])
+    assert [(s.chart_type, s.x) for s in specs] == [("bar", "k"), ("heatmap", None), ("histogram", "z")]
+
+
+def test_profile_new_columns_only(df):
+    from quarry.operators.profile import profile, profile_new_columns
+    frame = df([(1.0, 2.0), (3.0, None)], "a double, b double")
+    first = profile(frame.select("a"))
+    both = profile_new_columns(frame, first)
+    assert [c.column for c in both.columns] == ["a", "b"] and both.by_name()["b"].null_count == 1
