@@ -219,7 +219,7 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if method == "approx":
         return approx_quantiles(df, cols, probs)
     if method == "exact":
-        with reused(df, "auto") as kept:
+        with reused(df.select(*cols), "auto") as kept:
             return exact_quantiles(kept, cols, probs)
     raise ValueError(f"unknown quantile method {method!r}")
 

@@ -88,7 +88,8 @@ def numeric_summary_rows(df: DataFrame, cols: list[str] | None = None,
 def numeric_summary(df: DataFrame, cols: list[str] | None = None,
                     quantiles: str = "exact", persist="auto") -> DataFrame:
     """column, count, mean, median, min, max, std (sample), rounded to 4."""
-    with reused(df, persist) as kept:
+    cols = numeric_columns(df) if cols is None else cols
+    with reused(df.select(*cols), persist) as kept:
         rows = numeric_summary_rows(kept, cols, quantiles)
     return df.sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
 
@@ -188,7 +189,8 @@ def correlation_rows(df: DataFrame, cols: list[str] | None = None) -> list[tuple
 
 
 def correlations(df: DataFrame, cols: list[str] | None = None, persist="auto") -> DataFrame:
-    with reused(df, persist) as kept:
+    cols = numeric_columns(df) if cols is None else cols
+    with reused(df.select(*cols), persist) as kept:
         rows = correlation_rows(kept, cols)
     return df.sparkSession.createDataFrame(rows, CORR_SCHEMA)
 
@@ -206,7 +208,8 @@ def strongest_correlation_row(rows: list[tuple]) -> tuple | None:
 
 def strongest_correlation(df: DataFrame, cols: list[str] | None = None,
                           persist="auto") -> DataFrame:
-    with reused(df, persist) as kept:
+    cols = numeric_columns(df) if cols is None else cols
+    with reused(df.select(*cols), persist) as kept:
         best = strongest_correlation_row(correlation_rows(kept, cols))
     return df.sparkSession.createDataFrame([best] if best else [], CORR_SCHEMA)
 
@@ -223,7 +226,8 @@ INSIGHT_SCHEMA = T.StructType([
 
 
 def insight_facts(df: DataFrame, quantiles: str = "exact", persist="auto") -> DataFrame:
-    with reused(df, persist) as kept:
+    needed = numeric_columns(df) + categorical_columns(df)[:MAX_CATEGORY_COLUMNS]
+    with reused(df.select(*needed), persist) as kept:
         return _insight_facts(kept, quantiles)
 
 

@@ -95,3 +95,12 @@ def test_at_most_six_formulas(df):
     frame = df([(1.0,)], "a double")
     _, status = add_formula_measures(frame, [{"name": f"f{i}", "formula": "a + 1"} for i in range(9)])
     assert len(status) == 6
+
+
+def test_approx_overlap_close_to_exact(spark):
+    a = spark.range(0, 3000).withColumnRenamed("id", "k")
+    b = spark.range(1500, 6000).withColumnRenamed("id", "k")
+    exact = key_overlap(a, b, "k").first()
+    approx = key_overlap(a, b, "k", approx=True).first()
+    assert exact.shared == 1500 and exact.overlap_ratio == 0.5
+    assert abs(approx.shared - 1500) < 150 and abs(approx.overlap_ratio - 0.5) < 0.05
