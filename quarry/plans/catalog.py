@@ -34,14 +34,33 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def sales(spark, sf) -> DataFrame:
-    return measures.add_measures(views.v_sales(spark, sf))[0]
+def sales(spark, sf, columns=None) -> DataFrame:
+    """Sales view plus KPI measures; ``columns`` limits the view (and so the
+    joins built) to what the query reads."""
+    return measures.add_measures(views.v_sales(spark, sf, columns))[0]
 
 
-def sales_units(spark, sf) -> DataFrame:
+# view columns behind each measure a query may read
+MEASURE_INPUTS = {"gross_profit": ("revenue", "cost"), "gross_margin_pct": ("revenue", "cost"),
+                  "line_item_revenue": ("quantity", "unit_price"),
+                  "inventory_value": ("price", "stock_quantity"),
+                  "avg_revenue_per_unit": ("revenue", "quantity"),
+                  "cost_per_unit": ("cost", "quantity")}
+
+
+def needs(*cols) -> list[str]:
+    out = []
+    for c in cols:
+        for v in MEASURE_INPUTS.get(c, (c,)):
+            if v not in out:
+                out.append(v)
+    return out
+
+
+def sales_units(spark, sf, columns=None) -> DataFrame:
     """V_SALES with a unit column that is 0 on some rows (quantity - 1), so
     the zero-denominator path of the per-unit measures is exercised."""
-    base = views.v_sales(spark, sf).withColumn("units_sold", F.col("quantity") - 1)
+    base = views.v_sales(spark, sf, columns).withColumn("units_sold", F.col("quantity") - 1)
     return measures.add_measures(base)[0]
 
 
@@ -261,38 +280,41 @@ def _by_category(df, measure, digits):
 
 @query
 def m_gross_profit(spark, sf):
-    return _by_category(sales(spark, sf), "gross_profit", 4)
+    return _by_category(sales(spark, sf, needs("category", "gross_profit")), "gross_profit", 4)
 
 
 @query
 def m_gross_margin(spark, sf):
-    return _by_category(sales(spark, sf), "gross_margin_pct", 4)
+    return _by_category(sales(spark, sf, needs("category", "gross_margin_pct")), "gross_margin_pct", 4)
 
 
 @query
 def m_line_revenue(spark, sf):
-    return _by_category(sales(spark, sf), "line_item_revenue", 4)
+    return _by_category(sales(spark, sf, needs("category", "line_item_revenue")),
+                        "line_item_revenue", 4)
 
 
 @query
 def m_inventory_value(spark, sf):
-    return _by_category(sales(spark, sf), "inventory_value", 4)
+    return _by_category(sales(spark, sf, needs("category", "inventory_value")), "inventory_value", 4)
 
 
 @query
 def m_revenue_per_unit(spark, sf):
-    return _by_category(sales(spark, sf), "avg_revenue_per_unit", 4)
+    return _by_category(sales(spark, sf, needs("category", "avg_revenue_per_unit")),
+                        "avg_revenue_per_unit", 4)
 
 
 @query
 def m_cost_per_unit(spark, sf):
     """Per-unit cost with units = quantity - 1: zero denominators give NULL."""
-    return _by_category(sales_units(spark, sf), "cost_per_unit", 4)
+    return _by_category(sales_units(spark, sf, needs("category", "cost_per_unit")),
+                        "cost_per_unit", 4)
 
 
 @query
 def m_revenue_per_customer(spark, sf):
-    out = measures.revenue_per_customer(views.v_sales(spark, sf))
+    out = measures.revenue_per_customer(views.v_sales(spark, sf, ["customer_id", "revenue"]))
     return out.select("customer_id", F.round("revenue", 4).alias("revenue"), "records")
 
 
@@ -301,7 +323,8 @@ FORMULA = {"name": "profit_per_sq_unit", "formula": "(revenue - cost) / quantity
 
 @query
 def m_formula(spark, sf):
-    df, status = measures.add_formulas(views.v_sales(spark, sf), [FORMULA])
+    df, status = measures.add_formulas(
+        views.v_sales(spark, sf, ["category", "revenue", "cost", "quantity"]), [FORMULA])
     assert status and status[0]["status"] == "created", status
     return _by_category(df, "profit_per_sq_unit", 4)
 
@@ -338,33 +361,37 @@ def insight_facts(spark, sf):
 @query
 def bar_sum_top12(spark, sf):
     """Gross profit by category, top 12 (the flagship slice)."""
-    return charts.bar_data(sales(spark, sf), "category", "gross_profit", "sum", digits=4)
+    df = sales(spark, sf, needs("category", "gross_profit"))
+    return charts.bar_data(df, "category", "gross_profit", "sum", digits=4)
 
 
 @query
 def bar_mean_top12(spark, sf):
-    return charts.bar_data(sales(spark, sf), "brand", "gross_margin_pct", "mean", digits=4)
+    df = sales(spark, sf, needs("brand", "gross_margin_pct"))
+    return charts.bar_data(df, "brand", "gross_margin_pct", "mean", digits=4)
 
 
 @query
 def bar_count_top12(spark, sf):
-    return charts.bar_data(sales_units(spark, sf), "brand", "cost_per_unit", "count", digits=0)
+    df = sales_units(spark, sf, needs("brand", "cost_per_unit"))
+    return charts.bar_data(df, "brand", "cost_per_unit", "count", digits=0)
 
 
 @query
 def line_trend_month(spark, sf):
-    return charts.line_data(views.v_sales(spark, sf), "ship_date", "revenue", "sum",
-                            grain="month", digits=4)
+    return charts.line_data(views.v_sales(spark, sf, ["ship_date", "revenue"]), "ship_date",
+                            "revenue", "sum", grain="month", digits=4)
 
 
 @query
 def scatter_grid(spark, sf):
-    return charts.scatter_grid(views.v_sales(spark, sf), "quantity", "unit_price", bins=50)
+    df = views.v_sales(spark, sf, ["quantity", "unit_price"])
+    return charts.scatter_grid(df, "quantity", "unit_price", bins=50)
 
 
 @query
 def histogram_bins(spark, sf):
-    h = charts.histogram(views.v_sales(spark, sf), "revenue")
+    h = charts.histogram(views.v_sales(spark, sf, ["revenue"]), "revenue")
     return h.select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
 
 
@@ -376,7 +403,8 @@ def density_curve(spark, sf):
 
 @query
 def heatmap_corr(spark, sf):
-    with reused(sales(spark, sf)) as df:
+    cols = ["quantity", "unit_price", "revenue", "cost", "price", "stock_quantity"]
+    with reused(sales(spark, sf, cols)) as df:
         return charts.heatmap(df, chart_plan.chart_numeric(df)[:chart_plan.HEATMAP_MAX_COLUMNS])
 
 
@@ -447,38 +475,41 @@ def chart_bundle(spark, sf):
 
 @query
 def ans_ranges_outliers(spark, sf):
-    df = views.v_sales(spark, sf)
-    return answers.ranges_outliers(df, ["quantity", "unit_price", "revenue", "cost"], persist=True)
+    cols = ["quantity", "unit_price", "revenue", "cost"]
+    return answers.ranges_outliers(views.v_sales(spark, sf, cols), cols, persist=True)
 
 
 @query
 def ans_by_category(spark, sf):
-    return answers.by_category(views.v_sales(spark, sf), "revenue", "category")
+    return answers.by_category(views.v_sales(spark, sf, ["category", "revenue"]), "revenue", "category")
 
 
 @query
 def ans_trend_change(spark, sf):
-    return answers.trend_change(views.v_sales(spark, sf), "ship_date", "revenue")
+    return answers.trend_change(views.v_sales(spark, sf, ["ship_date", "revenue"]), "ship_date",
+                                "revenue")
 
 
 @query
 def ans_top_profit(spark, sf):
-    return answers.top_contributor(sales(spark, sf), "category", "gross_profit")
+    return answers.top_contributor(sales(spark, sf, needs("category", "gross_profit")), "category",
+                                   "gross_profit")
 
 
 @query
 def ans_top_margin(spark, sf):
-    return answers.top_margin(sales(spark, sf), "category")
+    return answers.top_margin(sales(spark, sf, needs("category", "gross_profit")), "category")
 
 
 @query
 def ans_top_revenue_per_unit(spark, sf):
-    return answers.top_revenue_per_unit(sales(spark, sf), "category", "quantity")
+    return answers.top_revenue_per_unit(sales(spark, sf, needs("category", "revenue", "quantity")),
+                                        "category", "quantity")
 
 
 @query
 def ans_margin_direction(spark, sf):
-    return answers.margin_direction(sales(spark, sf), "ship_date")
+    return answers.margin_direction(sales(spark, sf, needs("ship_date", "gross_profit")), "ship_date")
 
 
 @query
@@ -498,7 +529,7 @@ def ans_join_coverage(spark, sf):
 def audit_rows(spark, sf):
     """AUD-1: the sales view and the star-join model have the same rows."""
     _tabs, _rels, model = star_model(spark, sf)
-    return audit.audit_rows(views.v_sales(spark, sf), model.frame)
+    return audit.audit_rows(views.v_sales(spark, sf, ["order_id"]), model.frame)
 
 
 @query

@@ -19,30 +19,53 @@ PREFIXES = {"lineitem": "l_", "orders": "o_", "customer": "c_", "part": "p_",
             "supplier": "s_", "nation": "n_", "region": "r_"}
 
 
-def v_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item with order, part, customer and region context."""
-    l = read_table(spark, sf_dir, "lineitem")
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand",
-                                                  "p_retailprice", "p_size")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    j = (l.join(o, l.l_orderkey == o.o_orderkey, "left")
-         .join(p, l.l_partkey == p.p_partkey, "left")
-         .join(c, o.o_custkey == c.c_custkey, "left")
-         .join(n, c.c_nationkey == n.n_nationkey, "left")
-         .join(r, n.n_regionkey == r.r_regionkey, "left"))
-    return j.select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
-        F.col("o_custkey").alias("customer_id"), F.col("l_shipdate").alias("ship_date"),
-        F.col("l_quantity").alias("quantity"),
-        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
-        F.col("l_extendedprice").alias("revenue"),
-        (F.col("l_extendedprice") * (F.lit(0.55) + F.col("l_discount"))).alias("cost"),
-        F.col("o_orderpriority").alias("payment_method"), F.col("p_type").alias("category"),
-        F.col("p_brand").alias("brand"), F.col("r_name").alias("region"),
-        F.col("p_retailprice").alias("price"), F.col("p_size").alias("stock_quantity"))
+# Which dimension tables each sales column needs (left joins to unique keys
+# never change the row count, so unused ones are simply not built; Catalyst
+# cannot drop them itself as it does not know the keys are unique).
+SALES_NEEDS = {
+    "customer_id": ("orders",), "payment_method": ("orders",),
+    "region": ("orders", "customer", "nation", "region"),
+    "category": ("part",), "brand": ("part",), "price": ("part",), "stock_quantity": ("part",),
+}
+SALES_COLUMNS = ("order_id", "product_id", "customer_id", "ship_date", "quantity", "unit_price",
+                 "revenue", "cost", "payment_method", "category", "brand", "region", "price",
+                 "stock_quantity")
+
+
+def v_sales(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    """One row per line item with order, part, customer and region context.
+
+    ``columns`` limits the view to those columns and builds only the joins
+    they need (the dimension keys are unique, so each join is a lookup)."""
+    wanted = list(SALES_COLUMNS if columns is None else columns)
+    dims = {d for c in wanted for d in SALES_NEEDS.get(c, ())}
+    j = read_table(spark, sf_dir, "lineitem")
+    if "orders" in dims:
+        o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+        j = j.join(o, j.l_orderkey == o.o_orderkey, "left")
+    if "part" in dims:
+        p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand",
+                                                      "p_retailprice", "p_size")
+        j = j.join(p, j.l_partkey == p.p_partkey, "left")
+    if "customer" in dims:
+        c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+        n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+        r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+        j = (j.join(c, j.o_custkey == c.c_custkey, "left")
+             .join(n, c.c_nationkey == n.n_nationkey, "left")
+             .join(r, n.n_regionkey == r.r_regionkey, "left"))
+    exprs = {
+        "order_id": F.col("l_orderkey"), "product_id": F.col("l_partkey"),
+        "customer_id": F.col("o_custkey"), "ship_date": F.col("l_shipdate"),
+        "quantity": F.col("l_quantity"),
+        "unit_price": F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
+        "revenue": F.col("l_extendedprice"),
+        "cost": F.col("l_extendedprice") * (F.lit(0.55) + F.col("l_discount")),
+        "payment_method": F.col("o_orderpriority"), "category": F.col("p_type"),
+        "brand": F.col("p_brand"), "region": F.col("r_name"),
+        "price": F.col("p_retailprice"), "stock_quantity": F.col("p_size"),
+    }
+    return j.select(*[exprs[c].alias(c) for c in wanted])
 
 
 def v_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
