@@ -26,6 +26,8 @@ from quarry.session import reused
 MISSING_RATIO_WARN = 0.3
 IQR_MIN_VALUES = 4
 IQR_FACTOR = 1.5
+# relative standard deviation of HLL distinct counts in approximate mode
+APPROX_RSD = 0.01
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()),
@@ -110,7 +112,7 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
     if not fields:
         return {}
     if approx:
-        row = df.agg(*[F.approx_count_distinct(F.col(f.name)).alias(f"u{i}")
+        row = df.agg(*[F.approx_count_distinct(F.col(f.name), rsd=APPROX_RSD).alias(f"u{i}")
                        for i, f in enumerate(fields)]).first()
         return {f.name: row[f"u{i}"] for i, f in enumerate(fields)}
     pairs = (df.select(F.explode(F.array(*[

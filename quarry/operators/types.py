@@ -26,6 +26,8 @@ NUMERIC, DATETIME, BOOLEAN, CATEGORICAL, TEXT, NESTED = (
 PARSE_SHARE = 0.9          # share of non-nulls that must parse
 CATEGORICAL_MIN_LEVELS = 20
 CATEGORICAL_SHARE = 0.1
+# relative standard deviation of HLL distinct counts in approximate mode
+APPROX_RSD = 0.01
 
 # Timestamp patterns tried besides ISO-8601 (which ``try_cast`` covers).
 DATE_PATTERNS = ("MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm",
@@ -173,7 +175,8 @@ def _string_distinct(df: DataFrame, cols: list[str], approx: bool) -> dict[str,
     """Distinct non-blank values per column: one grouped job for all of
     them (the partial aggregate dedups before the shuffle)."""
     if approx:
-        return aggregate_row(df, [F.approx_count_distinct(_blank_to_null(c)).alias(c) for c in cols])
+        return aggregate_row(df, [F.approx_count_distinct(_blank_to_null(c), rsd=APPROX_RSD).alias(c)
+                                  for c in cols])
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("k"), _blank_to_null(c).alias("v")) for i, c in enumerate(cols)
     ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())

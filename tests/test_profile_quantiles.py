@@ -68,3 +68,16 @@ def test_grouped_quantile_hot_and_null_groups(spark):
     got = {r.k: r.quantile for r in
            grouped_quantile(frame, "k", "x", 0.5, accuracy=40, bracket_limit=15).collect()}
     assert got == pytest.approx({k: float(np.quantile(v, 0.5)) for k, v in groups.items()})
+
+
+def test_approx_profile_close_to_exact(spark):
+    frame = spark.range(0, 5000).selectExpr("id", "id % 37 AS k", "CAST(id AS DOUBLE) / 7 AS x",
+                                            "IF(id % 10 = 0, NULL, CAST(id % 5 AS STRING)) AS s")
+    exact = pf.profile(frame).by_name()
+    approx = pf.profile(frame, approx=True).by_name()
+    for c in ("id", "k", "x", "s"):
+        assert approx[c].null_count == exact[c].null_count
+        assert abs(approx[c].unique_count - exact[c].unique_count) <= 0.05 * exact[c].unique_count
+    assert exact["s"].null_ratio == 0.1 and exact["s"].type == "categorical"
+    q = column_quantiles(frame, ["x"], [0.5], method="approx")["x"][0]
+    assert abs(q - np.median([i / 7 for i in range(5000)])) < 5
