@@ -35,9 +35,11 @@ def ranges_outliers(df: DataFrame, cols: list[str], quantiles: str = "exact",
     The quartiles are computed once, together with the medians."""
     cols = cols[:4]
     with reused(df, persist) as kept:
-        q = column_quantiles(kept, cols, [0.25, 0.5, 0.75], method=quantiles)
+        counts: dict = {}
+        q = column_quantiles(kept, cols, [0.25, 0.5, 0.75], method=quantiles, counts=counts)
         summary = numeric_summary_rows(kept, cols, quantiles, medians={c: q[c][1] for c in cols})
-        outliers = iqr_outliers(kept, cols, quartiles={c: (q[c][0], q[c][2]) for c in cols})
+        outliers = iqr_outliers(kept, cols, quartiles={c: (q[c][0], q[c][2]) for c in cols},
+                                counts=counts)
     rows = [(c, n, mean, lo, hi, outliers[c]) for c, n, mean, _m, lo, hi, _s in summary]
     return df.sparkSession.createDataFrame(
         rows, "column string, count long, mean double, min double, max double, outlier_count long")

@@ -128,24 +128,27 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
 
 def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact",
                  with_bounds: bool = False, quartiles: dict | None = None,
-                 persist="auto") -> dict:
+                 persist="auto", counts: dict | None = None) -> dict:
     """Per numeric column: values strictly outside [q1 - 1.5 iqr, q3 + 1.5 iqr].
     Fewer than 4 values or an IQR of 0 give 0 outliers.  ``quartiles``
-    (column -> (q1, q3)) may be passed in when already known."""
+    (column -> (q1, q3)) and ``counts`` (column -> non-null, non-NaN count)
+    may be passed in when already known."""
     if not cols:
         return {}
     with reused(df.select(*cols), persist) as kept:
-        return _iqr_outliers(kept, cols, method, with_bounds, quartiles)
+        return _iqr_outliers(kept, cols, method, with_bounds, quartiles, dict(counts or {}))
 
 
-def _iqr_outliers(df, cols, method, with_bounds, quartiles) -> dict:
-    q = quartiles or column_quantiles(df, cols, [0.25, 0.75], method=method)
-    non_null = aggregate_row(df, [F.count(ty.no_nan(F.col(c).cast("double"))).alias(f"n{i}")
-                                  for i, c in enumerate(cols)])
+def _iqr_outliers(df, cols, method, with_bounds, quartiles, counts) -> dict:
+    q = quartiles or column_quantiles(df, cols, [0.25, 0.75], method=method, counts=counts)
+    if len(counts) < len(cols):  # quartiles were given: count in a pass of its own
+        row = aggregate_row(df, [F.count(ty.no_nan(F.col(c).cast("double"))).alias(f"n{i}")
+                                 for i, c in enumerate(cols)])
+        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     bounds = {}
-    for i, c in enumerate(cols):
+    for c in cols:
         q1, q3 = q[c]
-        n = non_null[f"n{i}"]
+        n = counts[c]
         if n < IQR_MIN_VALUES or q1 is None or q3 - q1 == 0:
             bounds[c] = None
         else:

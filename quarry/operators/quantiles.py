@@ -27,18 +27,25 @@ def _values(c: str) -> Column:
 
 
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     accuracy: int = SKETCH_ACCURACY) -> dict[str, list[float | None]]:
+                     accuracy: int = SKETCH_ACCURACY,
+                     counts: dict | None = None) -> dict[str, list[float | None]]:
+    """One sketch pass.  ``counts`` (a dict) receives each column's non-null,
+    non-NaN count from the same pass."""
     if not cols:
         return {}
     row = df.agg(*[F.percentile_approx(_values(c), list(probs), accuracy).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
+                   for i, c in enumerate(cols)],
+                 *[F.count(_values(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    if counts is not None:
+        counts.update({c: row[f"n{i}"] for i, c in enumerate(cols)})
     return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
             for i, c in enumerate(cols)}
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     bracket_limit: int = BRACKET_LIMIT,
-                    accuracy: int = SKETCH_ACCURACY) -> dict[str, list[float | None]]:
+                    accuracy: int = SKETCH_ACCURACY,
+                    counts_out: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles for several columns.
 
     For n non-null values and probability p the answer is
@@ -54,7 +61,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
        ``bracket_limit`` per bracket, re-narrowed otherwise) are grouped
        with their multiplicities and the ranks are read off.
     Every step is a distributed aggregate; the driver only handles
-    per-column bounds and bracket contents of fixed size.
+    per-column bounds and bracket contents of fixed size.  ``counts_out`` (a
+    dict) receives each column's non-null, non-NaN count from step 1.
     """
     if not cols:
         return {}
@@ -64,6 +72,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         F.percentile_approx(_values(c), _bracket_probs(probs, eps), accuracy).alias(f"s{i}")
         for i, c in enumerate(cols)])
     counts = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
+    if counts_out is not None:
+        counts_out.update(counts)
     # brackets: per column and rank, [lo, hi] value bounds (None = open end)
     brackets: dict[tuple[str, int], tuple[float | None, float | None]] = {}
     for i, c in enumerate(cols):
@@ -215,12 +225,14 @@ def _pick_in_brackets(df: DataFrame, ready: list) -> dict:
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     method: str = "exact") -> dict[str, list[float | None]]:
+                     method: str = "exact", counts: dict | None = None) -> dict[str, list[float | None]]:
+    """``counts`` (a dict) receives the non-null, non-NaN count per column,
+    computed in the same first pass."""
     if method == "approx":
-        return approx_quantiles(df, cols, probs)
+        return approx_quantiles(df, cols, probs, counts=counts)
     if method == "exact":
         with reused(df.select(*cols), "auto") as kept:
-            return exact_quantiles(kept, cols, probs)
+            return exact_quantiles(kept, cols, probs, counts_out=counts)
     raise ValueError(f"unknown quantile method {method!r}")
 
 
