@@ -45,7 +45,8 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     bracket_limit: int = BRACKET_LIMIT,
                     accuracy: int = SKETCH_ACCURACY,
-                    counts_out: dict | None = None) -> dict[str, list[float | None]]:
+                    counts_out: dict | None = None,
+                    sketch_row: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles for several columns.
 
     For n non-null values and probability p the answer is
@@ -63,14 +64,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     Every step is a distributed aggregate; the driver only handles
     per-column bounds and bracket contents of fixed size.  ``counts_out`` (a
     dict) receives each column's non-null, non-NaN count from step 1.
+    ``sketch_row`` is step 1's result when the caller already evaluated
+    :func:`sketch_exprs` inside an aggregate of its own (one scan less).
     """
     if not cols:
         return {}
-    eps = 4.0 / accuracy
     wanted = {}  # (col, rank) -> position list; ranks are 0-based
-    stats = aggregate_row(df, [F.count(_values(c)).alias(f"n{i}") for i, c in enumerate(cols)] + [
-        F.percentile_approx(_values(c), _bracket_probs(probs, eps), accuracy).alias(f"s{i}")
-        for i, c in enumerate(cols)])
+    stats = sketch_row if sketch_row is not None else aggregate_row(
+        df, sketch_exprs(cols, probs, accuracy))
     counts = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
     if counts_out is not None:
         counts_out.update(counts)
@@ -106,6 +107,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
+def sketch_exprs(cols: list[str], probs: list[float],
+                 accuracy: int = SKETCH_ACCURACY) -> list[Column]:
+    """Step 1 of :func:`exact_quantiles` as aggregate expressions (named
+    ``n{i}`` and ``s{i}``), so a caller can fold it into another pass."""
+    eps = 4.0 / accuracy
+    return [F.count(_values(c)).alias(f"n{i}") for i, c in enumerate(cols)] + [
+        F.percentile_approx(_values(c), _bracket_probs(probs, eps), accuracy).alias(f"s{i}")
+        for i, c in enumerate(cols)]
+
+
 def _bracket_probs(probs: list[float], eps: float) -> list[float]:
     out = []
     for p in probs:
@@ -225,14 +236,16 @@ def _pick_in_brackets(df: DataFrame, ready: list) -> dict:
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     method: str = "exact", counts: dict | None = None) -> dict[str, list[float | None]]:
+                     method: str = "exact", counts: dict | None = None,
+                     sketch_row: dict | None = None) -> dict[str, list[float | None]]:
     """``counts`` (a dict) receives the non-null, non-NaN count per column,
-    computed in the same first pass."""
+    computed in the same first pass.  ``sketch_row``: see
+    :func:`exact_quantiles` (exact method only)."""
     if method == "approx":
         return approx_quantiles(df, cols, probs, counts=counts)
     if method == "exact":
         with reused(df.select(*cols), "auto") as kept:
-            return exact_quantiles(kept, cols, probs, counts_out=counts)
+            return exact_quantiles(kept, cols, probs, counts_out=counts, sketch_row=sketch_row)
     raise ValueError(f"unknown quantile method {method!r}")
 
 
