@@ -81,3 +81,24 @@ def test_approx_profile_close_to_exact(spark):
     assert exact["s"].null_ratio == 0.1 and exact["s"].type == "categorical"
     q = column_quantiles(frame, ["x"], [0.5], method="approx")["x"][0]
     assert abs(q - np.median([i / 7 for i in range(5000)])) < 5
+
+
+def test_quantile_pass_counts_and_profile_sketch_reuse(df):
+    # NaN and NULL are both missing; the counts come from the quantile pass
+    rows = [(float(i % 7) if i % 5 else None, float("nan") if i % 11 == 0 else i * 1.5)
+            for i in range(60)] + [(500.0, -900.0)]
+    frame = df(rows, "x double, y double")
+    counts = {}
+    q = column_quantiles(frame, ["x", "y"], [0.25, 0.75], counts=counts)
+    xs = [r[0] for r in rows if r[0] is not None]
+    ys = [r[1] for r in rows if r[1] == r[1]]
+    assert counts == {"x": len(xs), "y": len(ys)}
+    assert np.allclose(q["x"], np.quantile(xs, [0.25, 0.75]))
+    assert np.allclose(q["y"], np.quantile(ys, [0.25, 0.75]))
+    # the profile folds the sketch into its null-count scan: same answers as
+    # the stand-alone operator with its own passes
+    by_col = pf.profile(frame).by_name()
+    alone = pf.iqr_outliers(frame, ["x", "y"])
+    assert {c: by_col[c].outlier_count for c in ("x", "y")} == alone
+    assert alone["x"] >= 1 and alone["y"] >= 1
+    assert by_col["y"].null_count == len(rows) - len(ys)
