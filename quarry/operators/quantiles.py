@@ -108,15 +108,26 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 
 
 def sketch_exprs(cols: list[str], probs: list[float],
-                 accuracy: int = SKETCH_ACCURACY) -> list[Column]:
+                 accuracy: int = SKETCH_ACCURACY, prefix: str = "") -> list[Column]:
     """Step 1 of :func:`exact_quantiles` as aggregate expressions (named
-    ``n{i}`` and ``s{i}``), so a caller can fold it into another pass."""
+    ``{prefix}n{i}`` and ``{prefix}s{i}``), so a caller can fold it into
+    another pass; see :func:`sketch_row_of` for reading them back."""
     eps = 4.0 / accuracy
-    return [F.count(_values(c)).alias(f"n{i}") for i, c in enumerate(cols)] + [
-        F.percentile_approx(_values(c), _bracket_probs(probs, eps), accuracy).alias(f"s{i}")
+    return [F.count(_values(c)).alias(f"{prefix}n{i}") for i, c in enumerate(cols)] + [
+        F.percentile_approx(_values(c), _bracket_probs(probs, eps), accuracy).alias(f"{prefix}s{i}")
         for i, c in enumerate(cols)]
 
 
+def sketch_row_of(row: dict, cols: list[str], prefix: str = "") -> dict:
+    """The ``sketch_row`` argument of :func:`exact_quantiles` from an
+    aggregate result that evaluated ``sketch_exprs(..., prefix=prefix)``."""
+    out = {}
+    for i, _ in enumerate(cols):
+        out[f"n{i}"] = row[f"{prefix}n{i}"]
+        out[f"s{i}"] = row[f"{prefix}s{i}"]
+    return out
+
+
 def _bracket_probs(probs: list[float], eps: float) -> list[float]:
     out = []
     for p in probs:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.numeric import (aggregate_row, is_datetime_type, is_numeric_type,
                                       no_nan, round_half_up)
-from quarry.operators.quantiles import column_quantiles
+from quarry.operators.quantiles import column_quantiles, sketch_exprs, sketch_row_of
 from quarry.session import reused
 
 # Fixed values of the summary step.
@@ -78,9 +78,15 @@ def numeric_summary_rows(df: DataFrame, cols: list[str] | None = None,
         v = _num(c)
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.min(v).alias(f"lo{i}"),
                  F.max(v).alias(f"hi{i}"), F.stddev_samp(v).alias(f"s{i}")]
+    # the first median pass (counts and sketches) rides along in this scan
+    fold = medians is None and quantiles == "exact"
+    if fold:
+        aggs += sketch_exprs(cols, [0.5], prefix="q")
     row = aggregate_row(df, aggs)
     if medians is None:
-        medians = {c: m[0] for c, m in column_quantiles(df, cols, [0.5], method=quantiles).items()}
+        sketch = sketch_row_of(row, cols, prefix="q") if fold else None
+        medians = {c: m[0] for c, m in column_quantiles(df, cols, [0.5], method=quantiles,
+                                                        sketch_row=sketch).items()}
     return [(c, row[f"n{i}"], _r(row[f"a{i}"]), _r(medians[c]), _r(row[f"lo{i}"]),
              _r(row[f"hi{i}"]), _r(row[f"s{i}"])) for i, c in enumerate(cols)]
 
