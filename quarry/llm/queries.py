@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, sharding, simhash, sketch
+from quarry.llm import mixing, packing, pii, sharding, simhash, sketch, toxicity, urls
 from quarry.llm.common import read_table
 from quarry.llm.following import beside_next, in_order
 
@@ -29,12 +29,40 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: the base rules' spans, and those that the trees add."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", *[pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+#: the listed site rules: verdict, then host and path
+SITE_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; pages that the listed rules judge are the labels from which the others' rules are mined."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    url = F.col("url")
+    labelled = pages.select("url", urls.site_rule(urls.host(url), urls.path(url), SITE_RULES)[1].alias("label"))
+    return urls.judge(pages, urls.mine(labelled), SITE_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at two bits or fewer over three-word shingles."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, distance=2)
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity grade of every document, and whether it is rejected."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    graded = toxicity.grade(docs, model)
+    return graded.select("doc_id", "p_toxic", "severity", F.round("severity").cast("int").alias("grade"), "rejected")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as its Poisson draw, sources at shares that go as the root of their size."""
     docs = read_table(spark, sf_dir, "documents")

@@ -87,7 +87,7 @@ def test_odd_distance_is_refused(spark):
 def test_one_row_of_each_component_stays(odd):
     kept = simhash.deduplicate(odd).collect()
     found = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()}
-    assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c in found if c is not None} | set()) or {c for _, c in found} == {r["doc_id"] for r in kept}
+    assert sorted((r["doc_id"] for r in kept), key=str) == sorted({c for _, c in found}, key=str)
     assert kept[0].__fields__ == odd.columns
 
 
