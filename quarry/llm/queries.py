@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, pii, sharding, simhash, sketch, toxicity, urls
+from quarry.llm import cotraining, covertree, mixing, packing, pii, sharding, simhash, sketch, toxicity, urls
 from quarry.llm.common import read_table
 from quarry.llm.following import beside_next, in_order
 
@@ -37,6 +37,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the two views' vote, and whether it stays."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = cotraining.score(docs, cotraining.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "p_text", "p_meta", "quality", "keep")
+
+
+def op4_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every row whose id is divisible by 50, over all other rows."""
+    return covertree.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 #: the listed site rules: verdict, then host and path
 SITE_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -106,4 +118,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are tested against brute force."""
+    return {"op4_covertree": OP4_SQL, "op8_mixing": OP8_SQL}
+
+
+OP4_SQL = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND coalesce(list_bool_and([coalesce(isfinite(x), false) for x in embedding]), true)),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+#: a document's count is the number of k whose distribution function is at or below its draw
+OP8_SQL = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, n, sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
+masses AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS mass FROM rates, generate_series(0, (SELECT (max(rate) + 27 * sqrt(max(rate)) + 27)::BIGINT FROM rates)) s(k)),
+steps AS (SELECT source, rate, k, sum(mass) OVER (PARTITION BY source ORDER BY k) AS step FROM masses),
+draws AS (SELECT *, ('0x' || substr(md5(concat_ws('|', '42', doc_id::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM documents),
+drawn AS (SELECT d.doc_id, d.source, s.rate, d.text, count(*) FILTER (WHERE s.step <= d.draw) AS copies
+          FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY ALL)
+SELECT doc_id, source, c.copy AS copy, round(rate, 6) AS rate, strlen(coalesce(text, ''))::BIGINT AS n_bytes
+FROM drawn, generate_series(0, drawn.copies - 1) c(copy)
+"""
