@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quarry.llm import cotraining, covertree, mixing, packing, pii, sharding, simhash, sketch, toxicity, urls
 from quarry.llm.common import read_table
@@ -83,18 +86,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", F.round("rate", 6).alias("rate"), size.cast("long").alias("n_bytes"))
 
 
+@F.arrow_udf(BinaryType())
+def squeezed(texts: pa.Array) -> pa.Array:
+    """Each text compressed, to move fewer bytes (text shrinks little in Spark's own shuffle blocks); null stays null."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([pack(t.as_buffer()) if t.is_valid else None for t in texts.cast(pa.large_binary())], pa.binary())
+
+
 def _edited(row: tuple, after: tuple | None) -> tuple:
-    doc_id, text = row
-    text = text or ""
+    open_ = zstandard.ZstdDecompressor().decompress
+    doc_id, text = row[0], open_(row[1]).decode() if row[1] is not None else ""
     cut = len(text) // 4
-    edited = text[:len(text) - cut] + (after[1] or "")[:cut] if after is not None else ""
-    return doc_id, text, edited
+    following = open_(after[1]).decode() if after is not None and after[1] is not None else ""
+    return doc_id, text, text[:len(text) - cut] + following[:cut] if after is not None else ""
 
 
 def op9_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited text, with estimated likeness to it and to the next document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    paired = beside_next(in_order(docs, "doc_id", ["text"]), "doc_id long, text string, edited string", _edited, lambda r: len(r[3]) + len(r[4]))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", squeezed("text").alias("packed"))
+    paired = beside_next(in_order(docs, "doc_id", ["packed"]), "doc_id long, text string, edited string", _edited, lambda r: len(r[3]) + len(r[4]))
     marked = sketch.fingerprints(sketch.fingerprints(paired, text_col="text"), text_col="edited", out="edited_fingerprint")
     digests = marked.select("_range", "_ghost", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
     # rows are still in order: the next row has the next document's sketch
@@ -107,7 +117,7 @@ def op9_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards whose row counts are at most one apart."""
-    out = sharding.shard(read_table(spark, sf_dir, "documents"), 40, key=["doc_id"])
+    out = sharding.shard(read_table(spark, sf_dir, "documents"), 40)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -29,21 +29,21 @@ def test_query(spark, small):
 
 
 def test_every_place_is_as_likely(spark):
-    frame = spark.range(60).toDF("i").coalesce(2)
+    frame = spark.range(60).toDF("i").repartition(2)
     hits = Counter()
     for seed in range(25):
-        hits.update((r["i"] % 6, r["shard"]) for r in sharding.shard(frame, 5, ["i"], seed).collect())
+        hits.update((r["i"] % 6, r["shard"]) for r in sharding.shard(frame, 5, seed).collect())
     # 30 pairs with a mean of 50: the chi-square of 29 degrees stays below 60
     assert sum((hits[i, s] - 50) ** 2 / 50 for i in range(6) for s in range(5)) < 60
 
 
 def test_odd_rows_and_empty(odd, none, clashing):
-    out = sharding.shard(clashing(odd, "SHARD", "slot", "extra"), 3, ["doc_id"])
+    out = sharding.shard(clashing(odd, "SHARD", "slot", "extra"), 3)
     rows = out.collect()
     assert out.columns == [*odd.columns, "extra", "shard", "slot"] and len(rows) == odd.count()
     assert max(Counter(r["shard"] for r in rows).values()) - min(Counter(r["shard"] for r in rows).values()) <= 1
     assert sorted(map(str, (r["text"] for r in rows))) == sorted(map(str, (r["text"] for r in odd.collect())))
-    assert sharding.shard(none, 3, ["doc_id"]).count() == 0
+    assert sharding.shard(none, 3).count() == 0
 
 
 def test_poisson_counts_follow_the_rates(spark):
