@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import shuffle_partitions
 
 #: bytes of text in one Arrow batch that leaves a task
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 
 
 def in_order(rows: DataFrame, id_col: str, ties: list[str]) -> DataFrame:

@@ -101,18 +101,22 @@ def _edited(row: tuple, after: tuple | None) -> tuple:
     return doc_id, text, text[:len(text) - cut] + following[:cut] if after is not None else ""
 
 
+def _compared(row: tuple, after: tuple | None) -> tuple:
+    mine = sketch.from_text(row[3])
+    near = sketch.likeness(mine, sketch.from_text(after[3])) if after is not None else None
+    return *row, sketch.likeness(mine, sketch.from_text(row[4])), near
+
+
 def op9_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited text, with estimated likeness to it and to the next document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", squeezed("text").alias("packed"))
     paired = beside_next(in_order(docs, "doc_id", ["packed"]), "doc_id long, text string, edited string", _edited, lambda r: len(r[3]) + len(r[4]))
-    marked = sketch.fingerprints(sketch.fingerprints(paired, text_col="text"), text_col="edited", out="edited_fingerprint")
+    marked = sketch.fingerprints(paired, more={"edited": "edited_fingerprint"})
     digests = marked.select("_range", "_ghost", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
     # rows are still in order: the next row has the next document's sketch
-    beside = beside_next(digests, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string",
-                         lambda row, after: (*row, after[3] if after is not None else None), lambda r: 3 * len(r[5]) + 100)
-    return beside.where("NOT _ghost").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                                             sketch.resemblance(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                                             sketch.resemblance(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    beside = beside_next(digests, schema, _compared, lambda r: 2 * len(r[5]) + 200)
+    return beside.where("NOT _ghost").drop("_range", "_ghost")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

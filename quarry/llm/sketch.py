@@ -138,12 +138,13 @@ def merge(parts: DataFrame, by: list[str], sketch_col: str = "fingerprint", k: i
     return ranked.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_h")), "").alias(sketch_col))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "fingerprint", k: int = K, width: int = WIDTH) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", k: int = K, width: int = WIDTH, more: dict[str, str] | None = None) -> DataFrame:
     """``docs`` with the sketch of each whole text in ``out`` (a column of that name is replaced).
 
-    One row out for each row in, any id; equal texts have equal sketches; null,
-    empty and blank texts have the empty sketch; an empty table stays empty.
-    Rows stay in their partitions; a task holds an Arrow batch and the hashes of
-    the words of one text.
+    ``more`` names further text columns and their sketches' columns; one Python
+    worker makes all sketches of a task.  One row out for each row in, any id;
+    equal texts have equal sketches; null, empty and blank texts have the empty
+    sketch; an empty table stays empty.  Rows stay in their partitions; a task
+    holds an Arrow batch and the hashes of the words of one text.
     """
-    return docs.withColumn(out, sketch(F.col(f"`{text_col}`"), k, width))
+    return docs.withColumns({o: sketch(F.col(f"`{t}`"), k, width) for t, o in ({text_col: out} | (more or {})).items()})

@@ -61,7 +61,7 @@ def test_merge_equals_the_sketch_of_the_whole(spark):
 def test_estimates(spark, n, shared):
     a, b = [f"a{i}" for i in range(n)], [f"b{i}" for i in range(n)]
     b[:shared] = a[:shared]
-    frame = sketch.fingerprints(sketch.fingerprints(spark.createDataFrame([(" ".join(a), " ".join(b[:2 * shared]))], "x string, y string"), text_col="x", out="fx"), text_col="y", out="fy")
+    frame = sketch.fingerprints(spark.createDataFrame([(" ".join(a), " ".join(b[:2 * shared]))], "x string, y string"), text_col="x", out="fx", more={"y": "fy"})
     row = frame.select(sketch.resemblance(F.col("fx"), F.col("fy")), sketch.containment(F.col("fy"), F.col("fx")), sketch.distinct_shingles(F.col("fx"))).first()
     x, y = shingles(" ".join(a)), shingles(" ".join(b[:2 * shared]))
     assert abs(row[0] - jaccard(x, y)) < 0.15 and abs(row[1] - len(x & y) / len(y)) < 0.2 and abs(row[2] - len(x)) <= 0.25 * len(x)
