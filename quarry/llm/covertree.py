@@ -22,7 +22,8 @@ from quarry.llm.common import stored, uniform
 BLOCK, QUERY_BLOCK, QUERY_GROUP = 8192, 4096, 512
 #: pivots at most: the driver keeps them and their inner products
 PIVOTS = 256
-LEAF = 48
+#: points of a leaf: few on the query side, where a node's worst score decides
+LEAF, QUERY_LEAF = 48, 4
 #: children of a node; points that need more centres at the next radius are a leaf
 FANOUT = 96
 SHRINK = 0.6
@@ -36,12 +37,12 @@ class Node:
         self.norm = float(np.linalg.norm(centre))
 
 
-def cover_tree(x: np.ndarray, points: np.ndarray) -> Node:
+def cover_tree(x: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Node:
     """A cover tree over rows ``points`` of x: a node's children cover it at SHRINK times its radius, centres further apart than that."""
     centre = x[points[0]]
     far = np.sqrt(np.maximum(((x[points] - centre) ** 2).sum(axis=1), 0.0))
     radius = float(far.max())
-    if len(points) <= LEAF or radius == 0.0:
+    if len(points) <= leaf or radius == 0.0:
         return Node(centre, radius, points, None)
     groups, rest = [], points
     while len(rest):
@@ -52,7 +53,7 @@ def cover_tree(x: np.ndarray, points: np.ndarray) -> Node:
             return Node(centre, radius, points, None)
     if len(groups) == 1:
         return Node(centre, radius, points, None)
-    return Node(centre, radius, None, [cover_tree(x, g) for g in groups])
+    return Node(centre, radius, None, [cover_tree(x, g, leaf) for g in groups])
 
 
 def bound(q: Node, c: Node) -> float:
@@ -142,7 +143,7 @@ def pairwise(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> D
         dims = max(q["v"].map(len).max(), c["v"].map(len).max())
         x, y = matrix(q["v"], dims), matrix(c["v"], dims)
         search = Search(x, q["query_id"].to_numpy(), q["floor"].to_numpy(), y, c["vec_id"].to_numpy(), k)
-        search.visit(cover_tree(x, np.arange(len(x))), [cover_tree(y, np.arange(len(y)))])
+        search.visit(cover_tree(x, np.arange(len(x)), QUERY_LEAF), [cover_tree(y, np.arange(len(y)))])
         at, place = np.nonzero(search.scores > -np.inf)
         out = search.scores[at, place] if search.exact else [int(a) for a in (x[at].astype(np.int64) * matrix_of(y, c, search.found[at, place]).astype(np.int64)).sum(axis=1)]
         return pd.DataFrame({"qkey": q["qkey"].to_numpy()[at], "query_id": q["query_id"].to_numpy()[at], "vec_id": search.found[at, place], "score": np.asarray(out).astype(np.int64)})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from quarry.llm import cotraining, covertree, mixing, packing, pii, sharding, simhash, sketch, toxicity, urls
-from quarry.llm.common import read_table
+from quarry.llm.common import read_table, small_batches
 from quarry.llm.following import beside_next, in_order
 
 TOKENIZERS = "/opt/tokenizers"
@@ -109,6 +109,7 @@ def _compared(row: tuple, after: tuple | None) -> tuple:
 
 def op9_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited text, with estimated likeness to it and to the next document."""
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", squeezed("text").alias("packed"))
     paired = beside_next(in_order(docs, "doc_id", ["packed"]), "doc_id long, text string, edited string", _edited, lambda r: len(r[3]) + len(r[4]))
     marked = sketch.fingerprints(paired, more={"edited": "edited_fingerprint"})
