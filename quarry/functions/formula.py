@@ -9,14 +9,14 @@ prunes columns and codegens it like any built-in expression (no UDF).
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import floor_mod, is_numeric_type, safe_divide
 
-MAX_FORMULA_MEASURES = 6
-
 _BINARY = {
     ast.Add: lambda a, b: a + b,
     ast.Sub: lambda a, b: a - b,
@@ -57,7 +57,8 @@ def formula_names(formula: str) -> set[str]:
 
 
 def compile_formula(formula: str) -> Column:
-    """Translate an allowed formula into a ``Column``; raises FormulaError."""
+    """Translate an allowed formula into a ``Column``; raises FormulaError.
+    A result that is no finite number is NULL."""
     if not formula_names(formula):
         raise FormulaError(f"formula not allowed: {formula!r}")
 
@@ -74,42 +75,48 @@ def compile_formula(formula: str) -> Column:
             return _BINARY[type(node.op)](build(node.left), build(node.right))
         raise FormulaError(f"unsupported syntax: {ast.dump(node)}")
 
-    return build(ast.parse(formula, mode="eval"))
+    value = build(ast.parse(formula, mode="eval"))
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 
 
+def _requests(df: DataFrame, measures: list[dict]) -> Iterator[tuple[str, str, str]]:
+    """(name, formula, description) of the requests that have a name and use numeric columns of ``df`` only."""
+    allowed = set(numeric_columns(df))
+    for request in measures:
+        name, formula, text = (str(request.get(k, "")) for k in ("name", "formula", "description"))
+        columns = formula_names(formula)
+        if name.strip() and columns and columns <= allowed:
+            yield name.strip(), formula, text.strip()
+
+
 def validate_measures(df: DataFrame, measures: list[dict]) -> list[dict]:
-    """Keep measures with a non-empty name whose formula uses only numeric
-    columns of ``df``; at most ``MAX_FORMULA_MEASURES``."""
-    numeric = set(numeric_columns(df))
-    valid = []
-    for m in measures:
-        formula = str(m.get("formula", ""))
-        used = formula_names(formula)
-        name = str(m.get("name", "")).strip()
-        if used and used <= numeric and name:
-            valid.append({"name": name, "formula": formula,
-                          "description": str(m.get("description", "")).strip()})
-    return valid[:MAX_FORMULA_MEASURES]
+    """Every request that passes, in order; none is cut off."""
+    return [dict(zip(("name", "formula", "description"), r)) for r in _requests(df, measures)]
 
 
 def add_formula_measures(df: DataFrame, measures: list[dict]) -> tuple[DataFrame, list[dict]]:
-    """Add each validated formula as a column.  A name already present is
-    skipped; a formula that fails to compile or resolve is reported with
-    status ``formula_execution_failed`` instead of raising."""
-    statuses = []
-    for m in validate_measures(df, measures):
-        if m["name"] in df.columns:
+    """Add each passing request as a column, with one status each.  A name
+    that the frame already has, by the session's rule on upper and lower case,
+    is skipped; a formula that does not resolve gets
+    ``formula_execution_failed`` instead of raising."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    fold = (lambda s: s) if exact else str.lower
+    taken, statuses = {fold(c) for c in df.columns}, []
+    for name, formula, text in _requests(df, measures):
+        if fold(name) in taken:
             continue
+        status = {"name": name, "formula": formula, "description": text, "status": "created"}
         try:
-            candidate = df.withColumn(m["name"], compile_formula(m["formula"]))
-            candidate.schema  # resolve now, so bad references fail here
-        except Exception:  # noqa: BLE001 - reported, not raised
-            statuses.append({**m, "status": "formula_execution_failed"})
-            continue
-        df = candidate
-        statuses.append({**m, "status": "created"})
+            wider = df.withColumn(name, compile_formula(formula))
+            wider.schema  # resolves now, so that a bad reference fails here
+        except (AnalysisException, FormulaError):
+            status["status"] = "formula_execution_failed"
+        else:
+            df = wider
+            taken.add(fold(name))
+        statuses.append(status)
     return df, statuses

@@ -37,7 +37,7 @@ def normalized_columns(columns: list[str]) -> list[str]:
 def dataset_name(path: str) -> str:
     """Table name from a file path: the stem, normalised; empty -> ``dataset``."""
     base = os.path.basename(str(path).rstrip("/"))
-    stem = base.split(".", 1)[0] if not base.startswith(".") else base
+    stem = os.path.splitext(base)[0]
     return normalize_name(stem, empty="dataset")
 
 

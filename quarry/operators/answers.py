@@ -31,9 +31,8 @@ def _v(c: str) -> Column:
 
 def ranges_outliers(df: DataFrame, cols: list[str], quantiles: str = "exact",
                     persist: bool = False) -> DataFrame:
-    """ANS-1: count, mean, min, max and IQR outliers of up to 4 columns.
+    """ANS-1: count, mean, min, max and IQR outliers of every column given.
     The quartiles are computed once, together with the medians."""
-    cols = cols[:4]
     with reused(df, persist) as kept:
         counts: dict = {}
         q = column_quantiles(kept, cols, [0.25, 0.5, 0.75], method=quantiles, counts=counts)
@@ -100,8 +99,9 @@ def top_contributor(df: DataFrame, category: str, measure: str = "gross_profit")
 
 def _top_ratio(df, category, num, den) -> DataFrame:
     per = df.groupBy(F.col(category).cast("string").alias("subject")).agg(
-        F.round(safe_divide(F.sum(_v(num)), F.sum(_v(den))), DIGITS).alias("value"))
-    return per.orderBy(F.col("value").desc_nulls_last(), F.col("subject").asc_nulls_first()).limit(1)
+        safe_divide(F.sum(_v(num)), F.sum(_v(den))).alias("value"))
+    best = per.orderBy(F.col("value").desc_nulls_last(), F.col("subject").asc_nulls_first()).limit(1)
+    return best.select("subject", F.round("value", DIGITS).alias("value"))
 
 
 def top_margin(df: DataFrame, category: str) -> DataFrame:

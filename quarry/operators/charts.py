@@ -52,12 +52,11 @@ def aggregate_expr(y: str, agg: str) -> Column:
 def bar_data(df: DataFrame, x: str, y: str, agg: str = "sum", top: int = BAR_TOP,
              digits: int | None = None) -> DataFrame:
     """Group by ``x`` (the NULL group is kept), aggregate ``y``, keep the
-    ``top`` largest (ties by label); result columns ``x`` (string), ``y``."""
-    value = aggregate_expr(y, agg)
-    if digits is not None:
-        value = F.round(value, digits)
-    grouped = df.groupBy(_label(df, x).alias("x")).agg(value.alias("y"))
-    return grouped.orderBy(F.col("y").desc_nulls_last(), F.col("x").asc_nulls_first()).limit(top)
+    ``top`` largest (ties by label); result columns ``x`` (string), ``y``.
+    Ranks follow the unrounded values; ``digits`` rounds only what is shown."""
+    grouped = df.groupBy(_label(df, x).alias("x")).agg(aggregate_expr(y, agg).alias("y"))
+    best = grouped.orderBy(F.col("y").desc_nulls_last(), F.col("x").asc_nulls_first()).limit(top)
+    return best if digits is None else best.select("x", F.round("y", digits).alias("y"))
 
 
 def line_data(df: DataFrame, x: str, y: str, agg: str = "sum", grain: str | None = None,

@@ -7,7 +7,10 @@ no UDF); each is added only when the columns it needs exist.  Divisions use
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.formula import add_formula_measures
@@ -17,47 +20,40 @@ from quarry.functions.numeric import safe_divide
 UNIT_COLUMNS = ("units_sold", "quantity", "qty", "units")
 
 
-def _first_existing(columns, candidates):
-    for c in candidates:
-        if c in columns:
-            return c
-    return None
+@dataclass(frozen=True)
+class Kpi:
+    """A standard measure: the columns it needs, and its text and expression given the unit column's name."""
+
+    name: str
+    needs: tuple[str, ...]
+    text: str
+    build: Callable[[str | None], Column]
+    per_unit: bool = False
+    replaces: bool = False
+
+
+# Names and formulas of the standard measures, in the order in which they may build on each other.
+KPIS = (
+    Kpi("gross_profit", ("revenue", "cost"), "revenue - cost", lambda u: F.col("revenue") - F.col("cost"), replaces=True),
+    Kpi("gross_margin_pct", ("gross_profit", "revenue"), "gross_profit / revenue", lambda u: safe_divide("gross_profit", "revenue"), replaces=True),
+    Kpi("line_item_revenue", ("quantity", "unit_price"), "quantity * unit_price", lambda u: F.col("quantity") * F.col("unit_price")),
+    Kpi("inventory_value", ("price", "stock_quantity"), "price * stock_quantity", lambda u: F.col("price") * F.col("stock_quantity")),
+    Kpi("avg_revenue_per_unit", ("revenue",), "revenue / {units}", lambda u: safe_divide("revenue", u), per_unit=True, replaces=True),
+    Kpi("cost_per_unit", ("cost",), "cost / {units}", lambda u: safe_divide("cost", u), per_unit=True, replaces=True),
+    Kpi("revenue_per_customer_record", ("revenue", "customer_id"), "revenue grouped by customer_id", lambda u: F.col("revenue"), replaces=True),
+)
 
 
 def add_measures(df: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """Add the standard KPI columns; returns the frame and the measure list."""
-    measures: list[dict] = []
-    start = set(df.columns)
-
-    def add(name, expr, formula, description):
-        nonlocal df
-        df = df.withColumn(name, expr)
-        measures.append({"name": name, "formula": formula, "description": description,
-                         "source": "inferred"})
-
-    if {"revenue", "cost"} <= start:
-        add("gross_profit", F.col("revenue") - F.col("cost"), "revenue - cost",
-            "Revenue retained after cost.")
-    if {"gross_profit", "revenue"} <= set(df.columns):
-        add("gross_margin_pct", safe_divide("gross_profit", "revenue"), "gross_profit / revenue",
-            "Gross profit as a share of revenue.")
-    units = _first_existing(df.columns, UNIT_COLUMNS)
-    if {"quantity", "unit_price"} <= start and "line_item_revenue" not in df.columns:
-        add("line_item_revenue", F.col("quantity") * F.col("unit_price"), "quantity * unit_price",
-            "Revenue estimated at the order-line level.")
-    if {"price", "stock_quantity"} <= start and "inventory_value" not in df.columns:
-        add("inventory_value", F.col("price") * F.col("stock_quantity"), "price * stock_quantity",
-            "Estimated value of current stock on hand.")
-    if units and "revenue" in df.columns:
-        add("avg_revenue_per_unit", safe_divide("revenue", units), f"revenue / {units}",
-            "Average revenue earned per unit.")
-    if units and "cost" in df.columns:
-        add("cost_per_unit", safe_divide("cost", units), f"cost / {units}",
-            "Average cost per unit.")
-    if {"revenue", "customer_id"} <= set(df.columns):
-        add("revenue_per_customer_record", F.col("revenue"), "revenue grouped by customer_id",
-            "Revenue available for customer-level aggregation.")
-    return df, measures
+    """Add every standard KPI whose columns exist; returns the frame and the measure list."""
+    units = next((c for c in UNIT_COLUMNS if c in df.columns), None)
+    made = []
+    for kpi in KPIS:
+        ready = set(kpi.needs) <= set(df.columns) and (units is not None or not kpi.per_unit)
+        if ready and (kpi.replaces or kpi.name not in df.columns):
+            df = df.withColumn(kpi.name, kpi.build(units))
+            made.append({"name": kpi.name, "formula": kpi.text.format(units=units), "source": "inferred"})
+    return df, made
 
 
 def revenue_per_customer(df: DataFrame, customer: str = "customer_id",

@@ -66,15 +66,6 @@ class TableProfile:
         return spark.createDataFrame([tuple(asdict(c).values()) for c in self.columns],
                                      PROFILE_SCHEMA)
 
-    def warnings(self) -> list[str]:
-        out = []
-        for c in self.columns:
-            if c.null_ratio > MISSING_RATIO_WARN:
-                out.append(f"{c.column} has {c.null_ratio:.0%} missing values.")
-            if c.outlier_count:
-                out.append(f"{c.column} has {c.outlier_count} potential outliers by IQR.")
-        return out
-
 
 def distinct_key(field: T.StructField) -> Column:
     """Value of a column as a typed key for distinct counting: whole numbers
@@ -169,8 +160,9 @@ def _iqr_outliers(df, cols, method, with_bounds, quartiles, counts, sketch_row)
     live = [c for c in cols if bounds[c] is not None]
     counts = {}
     if live:
-        row = aggregate_row(df, [F.count(F.when((F.col(c) < F.lit(bounds[c][0]))
-                                                | (F.col(c) > F.lit(bounds[c][1])), 1)).alias(f"o{i}")
+        value = {c: ty.no_nan(F.col(c).cast("double")) for c in live}  # NaN is above any bound in Spark
+        row = aggregate_row(df, [F.count(F.when((value[c] < F.lit(bounds[c][0]))
+                                                | (value[c] > F.lit(bounds[c][1])), 1)).alias(f"o{i}")
                                  for i, c in enumerate(live)])
         counts = {c: row[f"o{i}"] for i, c in enumerate(live)}
     if not with_bounds:

@@ -25,8 +25,6 @@ from quarry.session import reused
 
 # Fixed values of the summary step.
 TOP_K = 8
-MAX_CATEGORY_COLUMNS = 12
-MAX_INSIGHTS = 8
 DIGITS = 4
 
 
@@ -100,9 +98,9 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None,
     return df.sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
 
 
-def category_topk(df: DataFrame, k: int = TOP_K, max_cols: int = MAX_CATEGORY_COLUMNS,
+def category_topk(df: DataFrame, k: int = TOP_K, max_cols: int | None = None,
                   cols: list[str] | None = None) -> DataFrame:
-    """Most frequent values of the first ``max_cols`` string columns.
+    """Most frequent values of all string columns (of the first ``max_cols``, if given).
 
     Values are trimmed and blanks dropped; ties are broken by value.
     Result: column, value, n, rank.
@@ -231,14 +229,15 @@ INSIGHT_SCHEMA = T.StructType([
 ])
 
 
-def insight_facts(df: DataFrame, quantiles: str = "exact", persist="auto") -> DataFrame:
-    needed = numeric_columns(df) + categorical_columns(df)[:MAX_CATEGORY_COLUMNS]
+def insight_facts(df: DataFrame, quantiles: str = "exact", persist="auto",
+                  limit: int | None = None) -> DataFrame:
+    needed = numeric_columns(df) + categorical_columns(df)
     with reused(df.select(*needed), persist) as kept:
-        return _insight_facts(kept, quantiles)
+        return _insight_facts(kept, quantiles, limit)
 
 
-def _insight_facts(df: DataFrame, quantiles: str) -> DataFrame:
-    """Up to 8 facts: range and mean per numeric column, leading value per
+def _insight_facts(df: DataFrame, quantiles: str, limit: int | None) -> DataFrame:
+    """All facts (the first ``limit``, if given): range and mean per numeric column, leading value per
     categorical column, strongest correlation.  Facts are columns (kind,
     subject, other, v1..v3), not prose."""
     facts = []
@@ -248,24 +247,11 @@ def _insight_facts(df: DataFrame, quantiles: str) -> DataFrame:
     leaders = (category_topk(df, k=1).where(F.col("rank") == 1)
                .select("column", "value").collect())
     lead = {r["column"]: r["value"] for r in leaders}
-    for c in categorical_columns(df)[:MAX_CATEGORY_COLUMNS]:
+    for c in categorical_columns(df):
         if c in lead:
             facts.append(("leader", c, lead[c], None, None, None))
     best = strongest_correlation_row(correlation_rows(df))
     if best:
         facts.append(("correlation", best[0], best[1], best[2], None, None))
-    rows = [(i + 1,) + f for i, f in enumerate(facts[:MAX_INSIGHTS])]
+    rows = [(i + 1,) + f for i, f in enumerate(facts[:limit])]
     return df.sparkSession.createDataFrame(rows, INSIGHT_SCHEMA)
-
-
-def insight_lines(df: DataFrame) -> list[str]:
-    """The same facts as sentences, for display."""
-    lines = []
-    for r in insight_facts(df).collect():
-        if r.kind == "range":
-            lines.append(f"{r.subject} ranges from {r.v1} to {r.v2} with an average of {r.v3}.")
-        elif r.kind == "leader":
-            lines.append(f"{r.subject} is led by '{r.other}' among observed categories.")
-        else:
-            lines.append(f"{r.subject} and {r.other} show the strongest numeric correlation at {r.v1}.")
-    return lines

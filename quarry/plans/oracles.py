@@ -189,8 +189,11 @@ LEFT JOIN region r ON r.r_regionkey = n.n_regionkey)"""
 
 
 def bar_sql(src: str, x: str, value: str, order_limit: bool = True) -> str:
-    return f"""SELECT CAST({x} AS VARCHAR) AS x, {value} AS y FROM {src} t GROUP BY {x}
-ORDER BY y DESC NULLS LAST, x ASC NULLS FIRST LIMIT 12"""
+    """``value`` ranks as it is; its rounding, ``round(raw, n)``, is for show only."""
+    raw, digits = value.removeprefix("round(").removesuffix(")").rsplit(", ", 1)
+    return f"""SELECT x, round(raw, {digits}) AS y FROM (
+  SELECT CAST({x} AS VARCHAR) AS x, {raw} AS raw FROM {src} t GROUP BY {x}
+  ORDER BY raw DESC NULLS LAST, x ASC NULLS FIRST LIMIT 12)"""
 
 
 def sum2(c: str) -> str:
@@ -202,9 +205,7 @@ def preset_bar(x, y, agg, src=SALES_M):
         value = sum2(y)
     else:
         value = f"round(avg(CAST({y} AS DOUBLE)), 4)"
-    return f"""SELECT {lit(x)} AS x_column, {lit(y)} AS y_column, label, value FROM (
-  SELECT CAST({x} AS VARCHAR) AS label, {value} AS value FROM {src} t GROUP BY {x}
-  ORDER BY value DESC NULLS LAST, label ASC NULLS FIRST LIMIT 12)"""
+    return f"""SELECT {lit(x)} AS x_column, {lit(y)} AS y_column, x AS label, y AS value FROM ({bar_sql(src, x, value)})"""
 
 
 def preset_line(x, y):
@@ -397,10 +398,10 @@ FROM (SELECT CAST(category AS VARCHAR) AS subject, sum(gross_profit) AS total FR
 ORDER BY total DESC NULLS LAST, subject ASC NULLS FIRST LIMIT 1""",
         "ans_top_margin": f"""SELECT CAST(category AS VARCHAR) AS subject,
   round(sum(gross_profit) / nullif(sum(revenue), 0), 4) AS value FROM {SALES_M} t GROUP BY category
-ORDER BY value DESC NULLS LAST, subject ASC NULLS FIRST LIMIT 1""",
+ORDER BY sum(gross_profit) / nullif(sum(revenue), 0) DESC NULLS LAST, subject ASC NULLS FIRST LIMIT 1""",
         "ans_top_revenue_per_unit": f"""SELECT CAST(category AS VARCHAR) AS subject,
   round(sum(revenue) / nullif(sum(quantity), 0), 4) AS value FROM {SALES_M} t GROUP BY category
-ORDER BY value DESC NULLS LAST, subject ASC NULLS FIRST LIMIT 1""",
+ORDER BY sum(revenue) / nullif(sum(quantity), 0) DESC NULLS LAST, subject ASC NULLS FIRST LIMIT 1""",
         "ans_margin_direction": f"""SELECT count(margin) AS periods, round(regr_slope(margin, idx), 8) AS slope,
   CASE WHEN regr_slope(margin, idx) IS NULL THEN 'unknown'
        WHEN regr_slope(margin, idx) > 1e-9 THEN 'improving'

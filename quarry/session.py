@@ -37,7 +37,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # checkpoint files of frames that are no longer referenced are removed
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-        "spark.driver.memory": os.environ.get("QUARRY_DRIVER_MEMORY", "16g"),
+        # the submitter's choice; local runs hold executors and driver in one JVM
+        **({"spark.driver.memory": os.environ["QUARRY_DRIVER_MEMORY"]} if "QUARRY_DRIVER_MEMORY" in os.environ else {}),
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -51,8 +52,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir`` (shared storage).  Only when
-    nothing is configured (local tests) a private temporary folder is set.
+    Uses the cluster's ``spark.checkpoint.dir`` (shared storage).  Where it is
+    unset, a local session gets a private temporary folder (tests), any other
+    an error: executors would not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +62,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -19,7 +19,7 @@ from quarry.functions.names import dataset_name
 SUPPORTED = (".csv", ".parquet", ".json")
 # Tokens read as missing in CSV input, and the scan defaults.
 NA_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "#N/A", "-NaN",
-             "-nan", "<NA>")
+             "-nan", "<NA>", "#NA", "#N/A N/A", "-1.#IND", "1.#IND", "-1.#QNAN", "1.#QNAN")
 DEFAULT_CHUNK_SIZE = 100_000
 DEFAULT_SAMPLE_ROWS = 50_000
 
@@ -33,26 +33,28 @@ def _extension(path: str) -> str:
     return os.path.splitext(base)[1].lower()
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header, every column a string; NA tokens become NULL."""
-    header = spark.read.option("header", True).csv(path).columns
+def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with header, every column a string; NA tokens become NULL.
+
+    A doubled quote inside quotes is a quote.  ``multi_line`` allows line ends
+    inside quotes; such a file cannot be split, so it is off unless asked for.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    header = reader.csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    df = reader.option("mode", "PERMISSIVE").schema(schema).csv(path)
     return df.select(*[F.when(F.trim(F.col(c)).isin(*NA_TOKENS), F.lit(None))
                        .otherwise(F.col(c)).alias(c) for c in header])
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """One file (or folder of part files) by extension; unknown extension or a
-    missing local path is an error."""
+def read_dataset(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """One file (or folder of part files) by extension, in any store that Spark
+    reads.  An unknown extension is a ValueError; a missing path is Spark's own error."""
     ext = _extension(path)
     if ext not in SUPPORTED:
-        raise ValueError(f"Unsupported file type '{ext}'. Supported types: {', '.join(SUPPORTED)}")
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if ":" not in local.split("/", 1)[0] and not os.path.exists(local):
-        raise FileNotFoundError(f"Input file does not exist: {path}")
+        raise ValueError(f"no reader for {ext or 'a name without extension'}: {path} (readers: {' '.join(SUPPORTED)})")
     if ext == ".csv":
-        return read_csv_strings(spark, path)
+        return read_csv_strings(spark, path, multi_line)
     if ext == ".json":
         return spark.read.json(path)
     return spark.read.parquet(path)
