@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from quarry.functions.names import normalized_columns, semantic_hint
 from quarry.functions.numeric import aggregate_row, round_half_up
 from quarry.operators import types as ty
-from quarry.operators.quantiles import column_quantiles, sketch_exprs
+from quarry.operators.quantiles import column_quantiles
 from quarry.session import reused
 
 # Warning threshold and IQR rule of the profile.
@@ -88,19 +88,12 @@ def _key_present(key: str = "v") -> Column:
 
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Row count and per-column null count in one aggregate."""
-    rows, nulls, _ = _null_counts(df, [])
-    return rows, nulls
-
-
-def _null_counts(df: DataFrame, extra: list[Column]) -> tuple[int, dict[str, int], dict]:
-    """:func:`null_counts` plus ``extra`` aggregates evaluated in the same scan
-    (their names must not be ``rows`` or ``c{i}``)."""
     fields = df.schema.fields
     row = aggregate_row(df, [F.count(F.lit(1)).alias("rows")] + [
         F.count(ty.no_nan(f.name) if isinstance(f.dataType, (T.FloatType, T.DoubleType))
-                else F.col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)] + extra)
+                else F.col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)])
     rows = row["rows"]
-    return rows, {f.name: rows - row[f"c{i}"] for i, f in enumerate(fields)}, row
+    return rows, {f.name: rows - row[f"c{i}"] for i, f in enumerate(fields)}
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None,
@@ -127,23 +120,19 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
 
 def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact",
                  with_bounds: bool = False, quartiles: dict | None = None,
-                 persist="auto", counts: dict | None = None,
-                 sketch_row: dict | None = None) -> dict:
+                 persist="auto", counts: dict | None = None) -> dict:
     """Per numeric column: values strictly outside [q1 - 1.5 iqr, q3 + 1.5 iqr].
     Fewer than 4 values or an IQR of 0 give 0 outliers.  ``quartiles``
     (column -> (q1, q3)) and ``counts`` (column -> non-null, non-NaN count)
-    may be passed in when already known; so may ``sketch_row``, the result of
-    ``quantiles.sketch_exprs(cols, IQR_PROBS)`` (exact method)."""
+    may be passed in when already known."""
     if not cols:
         return {}
     with reused(df.select(*cols), persist) as kept:
-        return _iqr_outliers(kept, cols, method, with_bounds, quartiles, dict(counts or {}),
-                             sketch_row)
+        return _iqr_outliers(kept, cols, method, with_bounds, quartiles, dict(counts or {}))
 
 
-def _iqr_outliers(df, cols, method, with_bounds, quartiles, counts, sketch_row) -> dict:
-    q = quartiles or column_quantiles(df, cols, IQR_PROBS, method=method, counts=counts,
-                                      sketch_row=sketch_row)
+def _iqr_outliers(df, cols, method, with_bounds, quartiles, counts) -> dict:
+    q = quartiles or column_quantiles(df, cols, IQR_PROBS, method=method, counts=counts)
     if len(counts) < len(cols):  # quartiles were given: count in a pass of its own
         row = aggregate_row(df, [F.count(ty.no_nan(F.col(c).cast("double"))).alias(f"n{i}")
                                  for i, c in enumerate(cols)])
@@ -184,11 +173,8 @@ def profile(df: DataFrame, approx: bool = False, persist="auto") -> TableProfile
 
 
 def _profile(df: DataFrame, approx: bool) -> TableProfile:
-    # numeric columns are known from the schema, so the first quantile pass
-    # (counts and sketches) rides along with the null counts
     numeric = [f.name for f in df.schema.fields if ty.type_of_field(f) == ty.NUMERIC]
-    sketch = [] if approx or not numeric else sketch_exprs(numeric, IQR_PROBS)
-    rows, nulls, row = _null_counts(df, sketch)
+    rows, nulls = null_counts(df)
     distinct = distinct_counts(df, approx=approx)
     kinds = {}
     for f in df.schema.fields:
@@ -196,8 +182,7 @@ def _profile(df: DataFrame, approx: bool) -> TableProfile:
         if kind is None:  # plain string column
             kind = ty.string_kind(distinct.get(f.name, 0), rows - nulls[f.name])
         kinds[f.name] = kind
-    outliers = iqr_outliers(df, numeric, method="approx" if approx else "exact",
-                            sketch_row=row if sketch else None)
+    outliers = iqr_outliers(df, numeric, method="approx" if approx else "exact")
     cols = [ColumnProfile(
         column=f.name, type=kinds[f.name], spark_type=f.dataType.simpleString(),
         null_count=nulls[f.name], null_ratio=round_half_up(nulls[f.name] / max(rows, 1), 4),

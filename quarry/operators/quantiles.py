@@ -9,21 +9,23 @@ pass of ``percentile_approx`` (bounded sketch per column).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.numeric import aggregate_row
-from quarry.session import checkpoint_root, reused
+from quarry.session import reused, stored
 
-# Largest number of bracket values that is grouped and brought back for the
-# final exact pick; fixed, independent of the table size.
-BRACKET_LIMIT = 200_000
+# Buckets that a bracket is cut into in each round of the exact method.
+BUCKETS = 1024
 SKETCH_ACCURACY = 10_000
+# Above the largest and below the smallest binary exponent of a double.
+EXPONENT_BOUND = 1100
 
 
 def _values(c: str) -> Column:
-    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    """The column as double, NaN as NULL and -0.0 as 0.0."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) + F.lit(0.0)
 
 
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
@@ -43,220 +45,124 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    bracket_limit: int = BRACKET_LIMIT,
-                    accuracy: int = SKETCH_ACCURACY,
                     counts_out: dict | None = None,
-                    sketch_row: dict | None = None) -> dict[str, list[float | None]]:
+                    buckets: int = BUCKETS) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles for several columns.
 
     For n non-null values and probability p the answer is
     ``x[k] + (x[k+1] - x[k]) * frac`` with ``k = floor(p (n-1))`` on the sorted
-    values.  Instead of sorting (or a value->count map per column, which
-    ``percentile`` keeps in a single final task), the order statistics are
-    found by narrowing:
-
-    1. one aggregate: ``count`` and a ``percentile_approx`` sketch per column
-       give bracket bounds around each wanted rank;
-    2. one aggregate: how many values fall below / inside every bracket;
-    3. the values inside the brackets (a fixed-size set: at most
-       ``bracket_limit`` per bracket, re-narrowed otherwise) are grouped
-       with their multiplicities and the ranks are read off.
-    Every step is a distributed aggregate; the driver only handles
-    per-column bounds and bracket contents of fixed size.  ``counts_out`` (a
-    dict) receives each column's non-null, non-NaN count from step 1.
-    ``sketch_row`` is step 1's result when the caller already evaluated
-    :func:`sketch_exprs` inside an aggregate of its own (one scan less).
+    values.  The order statistics are found by narrowing: the first round
+    counts the values of every column by sign and binary exponent; each later
+    round cuts the buckets that hold a wanted rank into ``buckets`` equal parts.
+    A round is one aggregate over all columns and ranks (count, least and
+    largest value of each bucket, counted map-side), whose result has a
+    bounded size; it ends where a bucket holds one value.  Values of one
+    exponent lie on a grid of 2^52 steps, so 1024 buckets take 7 rounds at most,
+    and a table of n values about log(n) / log(1024) + 2.
+
+    ``counts_out`` (a dict) receives each column's non-null, non-NaN count.
     """
     if not cols:
         return {}
-    wanted = {}  # (col, rank) -> position list; ranks are 0-based
-    stats = sketch_row if sketch_row is not None else aggregate_row(
-        df, sketch_exprs(cols, probs, accuracy))
-    counts = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
+    histograms = _bucket_counts(df, {c: _magnitude(_values(c)) for c in cols})
+    counts = {c: sum(n for _, n, _, _ in histograms.get(c, [])) for c in cols}
     if counts_out is not None:
         counts_out.update(counts)
-    # brackets: per column and rank, [lo, hi] value bounds (None = open end)
-    brackets: dict[tuple[str, int], tuple[float | None, float | None]] = {}
-    for i, c in enumerate(cols):
-        n = counts[c]
-        if not n:
-            continue
-        sketch = list(stats[f"s{i}"])
-        for j, p in enumerate(probs):
-            pos = p * (n - 1)
-            k = int(math.floor(pos))
-            lo, hi = sketch[3 * j], sketch[3 * j + 2]
-            for r in {k, min(k + 1, n - 1)}:
-                brackets[(c, r)] = (lo, hi)
-            wanted[(c, j)] = (k, pos - k)
-
-    values = _resolve_ranks(df, brackets, bracket_limit, accuracy)
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        n = counts[c]
-        res = []
-        for j, _ in enumerate(probs):
-            if not n:
-                res.append(None)
-                continue
-            k, frac = wanted[(c, j)]
-            lo_v = values[(c, k)]
-            hi_v = values[(c, min(k + 1, n - 1))]
-            res.append(lo_v + (hi_v - lo_v) * frac if frac else lo_v)
-        out[c] = res
-    return out
-
+    position = {(c, p): p * (counts[c] - 1) for c in cols if counts[c] for p in probs}
+    ranks: dict[str, set[int]] = {}
+    for (c, _), at in position.items():
+        k = math.floor(at)
+        ranks.setdefault(c, set()).update((k, min(k + 1, counts[c] - 1)))
+
+    value: dict[tuple[str, int], float] = {}
+    # column -> bracket (least value, largest value) -> [(wanted rank, its rank in the bracket)]
+    pending: dict[str, dict[tuple[float, float], list[tuple[int, int]]]] = {}
+
+    def settle(c: str, histogram: list, wanted: list[tuple[int, int]]) -> None:
+        for name, inner, lo, hi in _locate(histogram, wanted):
+            if lo == hi:
+                value[(c, name)] = lo
+            else:
+                pending.setdefault(c, {}).setdefault((lo, hi), []).append((name, inner))
 
-def sketch_exprs(cols: list[str], probs: list[float],
-                 accuracy: int = SKETCH_ACCURACY, prefix: str = "") -> list[Column]:
-    """Step 1 of :func:`exact_quantiles` as aggregate expressions (named
-    ``{prefix}n{i}`` and ``{prefix}s{i}``), so a caller can fold it into
-    another pass; see :func:`sketch_row_of` for reading them back."""
-    eps = 4.0 / accuracy
-    return [F.count(_values(c)).alias(f"{prefix}n{i}") for i, c in enumerate(cols)] + [
-        F.percentile_approx(_values(c), _bracket_probs(probs, eps), accuracy).alias(f"{prefix}s{i}")
-        for i, c in enumerate(cols)]
-
-
-def sketch_row_of(row: dict, cols: list[str], prefix: str = "") -> dict:
-    """The ``sketch_row`` argument of :func:`exact_quantiles` from an
-    aggregate result that evaluated ``sketch_exprs(..., prefix=prefix)``."""
-    out = {}
-    for i, _ in enumerate(cols):
-        out[f"n{i}"] = row[f"{prefix}n{i}"]
-        out[f"s{i}"] = row[f"{prefix}s{i}"]
+    for c, wanted in ranks.items():
+        settle(c, histograms[c], [(r, r) for r in wanted])
+    while pending:
+        open_brackets, pending = pending, {}
+        histograms = _bucket_counts(df, {
+            c: _bracket_bucket(_values(c), list(brackets), buckets)
+            for c, brackets in open_brackets.items()})
+        for c, brackets in open_brackets.items():
+            for i, wanted in enumerate(brackets.values()):
+                mine = [h for h in histograms[c] if h[0] // buckets == i]
+                settle(c, mine, wanted)
+
+    def interpolate(c: str, p: float) -> float | None:
+        if not counts[c]:
+            return None
+        k = math.floor(position[(c, p)])
+        frac = position[(c, p)] - k
+        low = value[(c, k)]
+        return low + (value[(c, min(k + 1, counts[c] - 1))] - low) * frac if frac else low
+
+    return {c: [interpolate(c, p) for p in probs] for c in cols}
+
+
+def _magnitude(v: Column) -> Column:
+    """A bucket number that never falls as ``v`` grows: sign and binary
+    exponent (the logarithm rounds monotonically, which is all it takes)."""
+    def exponent(x: Column) -> Column:
+        return F.floor(F.least(F.log2(x), F.lit(float(EXPONENT_BOUND)))).cast("int") + 2 * EXPONENT_BOUND
+    return (F.when(v > 0, exponent(v)).when(v < 0, -exponent(-v)).when(v == 0, F.lit(0)))
+
+
+def _bracket_bucket(v: Column, brackets: list[tuple[float, float]], buckets: int) -> Column:
+    """Bucket of ``v`` in the (disjoint, closed) bracket it lies in, NULL
+    outside all of them; bracket i has the numbers from ``i * buckets``."""
+    out = F.lit(None).cast("int")
+    for i, (lo, hi) in enumerate(brackets):
+        share = (v - F.lit(lo)) / F.lit(hi - lo)
+        part = F.least(F.floor(share * F.lit(float(buckets))).cast("int"), F.lit(buckets - 1))
+        out = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), part + i * buckets).otherwise(out)
     return out
 
 
-def _bracket_probs(probs: list[float], eps: float) -> list[float]:
-    out = []
-    for p in probs:
-        out += [max(0.0, p - eps), p, min(1.0, p + eps)]
+def _bucket_counts(df: DataFrame, bucket: dict[str, Column]) -> dict[str, list[tuple]]:
+    """Per column the (bucket, count, least, largest value) rows in bucket
+    order, from one scan."""
+    names = list(bucket)
+    hits = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), bucket[c].alias("b"), _values(c).alias("v"))
+        for i, c in enumerate(names)]))).where(F.col("b").isNotNull())
+    rows = hits.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                      F.max("v").alias("hi")).collect()
+    out: dict[str, list[tuple]] = {}
+    for r in sorted(rows, key=lambda r: (r["c"], r["b"])):
+        out.setdefault(names[r["c"]], []).append((r["b"], r["n"], r["lo"], r["hi"]))
     return out
 
 
-def _in_range(v: Column, lo, hi) -> Column:
-    cond = v.isNotNull()
-    if lo is not None:
-        cond = cond & (v >= F.lit(float(lo)))
-    if hi is not None:
-        cond = cond & (v <= F.lit(float(hi)))
-    return cond
-
-
-def _resolve_ranks(df: DataFrame, brackets: dict, bracket_limit: int,
-                   accuracy: int) -> dict[tuple[str, int], float]:
-    """Exact value at each (column, rank) given approximate bracket bounds.
-
-    Per round, one aggregate counts for every pending bracket the values
-    below it, inside it and tied with each bound.  A rank that falls on a
-    tied bound is answered at once; a bracket small enough is grouped and
-    read off; a larger one is narrowed on its open interior, which always
-    shrinks it.
-    """
-    result: dict[tuple[str, int], float] = {}
-    pending = dict(brackets)
-    while pending:
-        keys = list(pending)
-        # ranks sharing a bracket (k and k+1 usually do) share its counts
-        slot: dict[tuple, int] = {}
-        for key in keys:
-            slot.setdefault((key[0],) + tuple(pending[key]), len(slot))
-        aggs = []
-        for (c, lo, hi), i in slot.items():
-            v = _values(c)
-            below = v < F.lit(float(lo)) if lo is not None else F.lit(False)
-            eq_lo = v == F.lit(float(lo)) if lo is not None else F.lit(False)
-            eq_hi = v == F.lit(float(hi)) if hi is not None else F.lit(False)
-            aggs += [F.count(F.when(below, 1)).alias(f"b{i}"),
-                     F.count(F.when(_in_range(v, lo, hi), 1)).alias(f"w{i}"),
-                     F.count(F.when(eq_lo, 1)).alias(f"l{i}"),
-                     F.count(F.when(eq_hi, 1)).alias(f"h{i}")]
-        row = aggregate_row(df, aggs)
-        ready, again = [], {}
-        for key in keys:
-            c, r = key
-            lo, hi = pending[key]
-            i = slot[(c, lo, hi)]
-            below, inside = row[f"b{i}"], row[f"w{i}"]
-            tied_lo, tied_hi = row[f"l{i}"], row[f"h{i}"]
-            rel = r - below
-            if not (0 <= rel < inside):
-                # the sketch missed (rare): open the bracket on the failing side
-                again[key] = (lo if rel >= 0 else None, hi if rel < inside else None)
-            elif rel < tied_lo:
-                result[key] = float(lo)
-            elif rel >= inside - tied_hi:
-                result[key] = float(hi)
-            elif inside <= bracket_limit:
-                ready.append((key, lo, hi, below))
-            else:
-                again[key] = _narrow(df, c, lo, hi, rel - tied_lo,
-                                     inside - tied_lo - tied_hi, accuracy)
-        if ready:
-            result.update(_pick_in_brackets(df, ready))
-        pending = again
-    return result
-
-
-def _narrow(df, c, lo, hi, rank_inside, inside, accuracy):
-    """Tighter bounds from a sketch of the values strictly inside (lo, hi)."""
-    v = _values(c)
-    cond = v.isNotNull()
-    if lo is not None:
-        cond = cond & (v > F.lit(float(lo)))
-    if hi is not None:
-        cond = cond & (v < F.lit(float(hi)))
-    p = rank_inside / max(inside - 1, 1)
-    eps = 4.0 / accuracy
-    new_lo, new_hi = (df.where(cond)
-                      .agg(F.percentile_approx(v, [max(0.0, p - eps), min(1.0, p + eps)], accuracy))
-                      .first()[0])
-    return (new_lo, new_hi)
-
-
-def _pick_in_brackets(df: DataFrame, ready: list) -> dict:
-    """Group the values inside each ready bracket and read off the rank.
-
-    One scan: every row yields only the (bracket, value) pairs whose bracket
-    it falls in; the grouped result has at most ``BRACKET_LIMIT`` rows per
-    bracket, whatever the table size.
-    """
-    distinct = {}
-    for (c, _r), lo, hi, _below in ready:
-        distinct.setdefault((c, lo, hi), len(distinct))
-    hits = F.array(*[F.when(_in_range(_values(c), lo, hi),
-                            F.struct(F.lit(b).alias("b"), _values(c).alias("v")))
-                     for (c, lo, hi), b in distinct.items()])
-    grouped = (df.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h"))
-               .groupBy("h.b", "h.v").count()
-               .collect())
-    by_bracket: dict[int, list] = {}
-    for row in grouped:
-        by_bracket.setdefault(row["b"], []).append((row["v"], row["count"]))
-    out = {}
-    for (c, r), lo, hi, below in ready:
-        need = r - below
-        seen = 0
-        for value, cnt in sorted(by_bracket.get(distinct[(c, lo, hi)], [])):
-            seen += cnt
-            if seen > need:
-                out[(c, r)] = value
+def _locate(histogram: list[tuple], wanted: list[tuple[int, int]]) -> Iterator[tuple]:
+    """(name, rank inside the bucket, least, largest value) of the bucket that
+    holds each wanted (name, rank)."""
+    for name, rank in wanted:
+        below = 0
+        for _, n, lo, hi in histogram:
+            if rank < below + n:
+                yield name, rank - below, lo, hi
                 break
-    return out
+            below += n
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     method: str = "exact", counts: dict | None = None,
-                     sketch_row: dict | None = None) -> dict[str, list[float | None]]:
+                     method: str = "exact", counts: dict | None = None) -> dict[str, list[float | None]]:
     """``counts`` (a dict) receives the non-null, non-NaN count per column,
-    computed in the same first pass.  ``sketch_row``: see
-    :func:`exact_quantiles` (exact method only)."""
+    computed in the same first pass."""
     if method == "approx":
         return approx_quantiles(df, cols, probs, counts=counts)
     if method == "exact":
         with reused(df.select(*cols), "auto") as kept:
-            return exact_quantiles(kept, cols, probs, counts_out=counts, sketch_row=sketch_row)
+            return exact_quantiles(kept, cols, probs, counts_out=counts)
     raise ValueError(f"unknown quantile method {method!r}")
 
 
@@ -265,118 +171,43 @@ def grouped_percentile_approx(c: str, p: float) -> Column:
     return F.percentile_approx(_values(c), p, SKETCH_ACCURACY)
 
 
-GRID = 128  # sketch grid used to narrow a per-group bracket
-
-
-def _between(v: Column, lo: Column, hi: Column) -> Column:
-    return v.isNotNull() & (lo.isNull() | (v >= lo)) & (hi.isNull() | (v <= hi))
-
-
-def _join_g(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Join on the group column with NULL-safe equality (a NULL group is a
-    group), plus plain equality on ``keys``."""
-    r = right.withColumnRenamed("g", "_g")
-    for k in keys:
-        r = r.withColumnRenamed(k, f"_{k}")
-    cond = left["g"].eqNullSafe(r["_g"])
-    for k in keys:
-        cond = cond & (left[k] == r[f"_{k}"])
-    return left.join(r, cond).drop("_g", *[f"_{k}" for k in keys])
-
-
-def grouped_quantile(df: DataFrame, group: str, value: str, p: float,
-                     accuracy: int = SKETCH_ACCURACY, bracket_limit: int = BRACKET_LIMIT,
-                     max_rounds: int = 16) -> DataFrame:
-    """Exact linear-interpolated ``p``-quantile of ``value`` per ``group``.
-
-    Same narrowing idea as :func:`exact_quantiles`, per group and entirely in
-    DataFrames (no per-group data reaches the driver):
+def grouped_quantile(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """Exact linear-interpolated ``p``-quantile of ``value`` per ``group``
+    (columns ``group``, ``quantile``); groups without a value have no row.
 
-    1. per group: count and a sketch bracket around rank ``p (n-1)``;
-    2. per (group, rank): rows below / inside / tied with the bracket ends,
-       by a grouped aggregate whose partial step runs in every task - a group
-       holding a third of all rows is counted by all tasks, not one;
-    3. ranks on a tied end are answered; brackets with at most
-       ``bracket_limit`` rows are grouped by value and read off with a
-       running count (a window over at most that many rows per group);
-       larger brackets are narrowed on a fixed sketch grid of their interior
-       and go round again.
-    Result columns: ``group`` (as given), ``quantile``.
+    Equal (group, value) pairs are counted map-side and range-partitioned by
+    group and value, so a group that holds most rows spreads over many
+    slices; the slices are written once to shared storage.  Sums by (group,
+    slice) tell which slice holds each wanted rank, and only those slices'
+    rows of the group are put in order.  No step meets a whole group.
     """
-    checkpoint_root(df.sparkSession)
-    v = _values(value)
-    data = df.select(F.col(group).alias("g"), v.alias("v")).where(F.col("v").isNotNull())
-    eps = 4.0 / accuracy
-    stats = data.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", [max(0.0, p - eps), min(1.0, p + eps)], accuracy).alias("b"))
-    pos = F.lit(p) * (F.col("n") - 1)
-    k = F.floor(pos).cast("long")
-    base = stats.select("g", "n", k.alias("k"), (pos - k).alias("frac"),
-                        F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
-    pending = (base.select("g", "lo", "hi", F.explode(F.array_distinct(F.array(
-        F.col("k"), F.least(F.col("k") + 1, F.col("n") - 1)))).alias("r")))
-    found = []
-    for _ in range(max_rounds):
-        joined = _join_g(data, pending)
-        lo, hi, val = F.col("lo"), F.col("hi"), F.col("v")
-        counts = joined.groupBy("g", "r", "lo", "hi").agg(
-            F.count(F.when(lo.isNotNull() & (val < lo), 1)).alias("below"),
-            F.count(F.when(_between(val, lo, hi), 1)).alias("inside"),
-            F.count(F.when(val == lo, 1)).alias("tied_lo"),
-            F.count(F.when(val == hi, 1)).alias("tied_hi"))
-        rel = F.col("r") - F.col("below")
-        state = (F.when((rel < 0) | (rel >= F.col("inside")), "miss")
-                 .when(rel < F.col("tied_lo"), "at_lo")
-                 .when(rel >= F.col("inside") - F.col("tied_hi"), "at_hi")
-                 .when(F.col("inside") <= bracket_limit, "pick")
-                 .otherwise("narrow"))
-        # one small row per pending (group, rank); checkpointing it (and the
-        # next round's brackets) keeps every round's plan the same size
-        classified = counts.withColumn("state", state).withColumn("rel", rel).checkpoint()
-        found.append(classified.where(F.col("state") == "at_lo")
-                     .select("g", "r", F.col("lo").alias("x")))
-        found.append(classified.where(F.col("state") == "at_hi")
-                     .select("g", "r", F.col("hi").alias("x")))
-        picks = classified.where(F.col("state") == "pick").select("g", "r", "lo", "hi", "rel")
-        in_bracket = (_join_g(data, picks).where(_between(F.col("v"), F.col("lo"), F.col("hi")))
-                      .groupBy("g", "r", "rel", "v").agg(F.count(F.lit(1)).alias("c")))
-        w = Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        running = in_bracket.withColumn("upto", F.sum("c").over(w))
-        found.append(running.where((F.col("upto") - F.col("c") <= F.col("rel"))
-                                   & (F.col("rel") < F.col("upto")))
-                     .select("g", "r", F.col("v").alias("x")))
-        misses = (classified.where(F.col("state") == "miss")
-                  .select("g", "r",
-                          F.when(F.col("rel") >= 0, F.col("lo")).alias("lo"),
-                          F.when(F.col("rel") < F.col("inside"), F.col("hi")).alias("hi")))
-        wide = classified.where(F.col("state") == "narrow").select(
-            "g", "r", "lo", "hi",
-            ((F.col("rel") - F.col("tied_lo"))
-             / F.greatest(F.col("inside") - F.col("tied_lo") - F.col("tied_hi") - 1, F.lit(1)))
-            .alias("q"))
-        interior = (_join_g(data, wide)
-                    .where((F.col("lo").isNull() | (F.col("v") > F.col("lo")))
-                           & (F.col("hi").isNull() | (F.col("v") < F.col("hi"))))
-                    .groupBy("g", "r", "q")
-                    .agg(F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], accuracy)
-                         .alias("grid")))
-        at = F.floor(F.col("q") * GRID).cast("int")
-        narrowed = interior.select(
-            "g", "r",
-            F.element_at("grid", F.greatest(at, F.lit(1))).alias("lo"),          # 1-based
-            F.element_at("grid", F.least(at + 3, F.lit(GRID + 1))).alias("hi"))
-        pending = misses.unionByName(narrowed).checkpoint()
-        if pending.isEmpty():
-            break
-    values = found[0]
-    for f in found[1:]:
-        values = values.unionByName(f)
-    lower = values.withColumnRenamed("x", "x_lo").withColumnRenamed("r", "k")
-    upper = values.withColumnRenamed("x", "x_hi").withColumnRenamed("r", "k_hi")
-    res = _join_g(_join_g(base.select("g", "k", "frac",
-                                      F.least(F.col("k") + 1, F.col("n") - 1).alias("k_hi")),
-                          lower, ("k",)), upper, ("k_hi",))
-    q = F.when(F.col("frac") == 0, F.col("x_lo")).otherwise(
-        F.col("x_lo") + (F.col("x_hi") - F.col("x_lo")) * F.col("frac"))
-    return res.select(F.col("g").alias(group), q.alias("quantile"))
+    counted = (df.select(F.col(group).alias("g"), _values(value).alias("v"))
+               .where(F.col("v").isNotNull())
+               .groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
+    slices = stored(counted.repartitionByRange("g", "v")
+                    .withColumn("slice", F.spark_partition_id()), "quantile")
+    sums = slices.groupBy("g", "slice").agg(F.sum("c").alias("m"))
+    in_order = Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.withColumn("upto", F.sum("m").over(in_order)).withColumn(
+        "n", F.sum("m").over(Window.partitionBy("g")))
+    at = F.lit(p) * (F.col("n") - 1)
+    k = F.floor(at).cast("long")
+    wanted = F.array_distinct(F.array(k, F.least(k + 1, F.col("n") - 1)))
+    targets = (ends.select("g", "slice", (F.col("upto") - F.col("m")).alias("before"), "upto",
+                           (at - k).alias("frac"), k.alias("k"), F.explode(wanted).alias("r"))
+               .where((F.col("before") <= F.col("r")) & (F.col("r") < F.col("upto"))))
+    held = (targets.groupBy("g", "slice")
+            .agg(F.first("before").alias("before"), F.first("frac").alias("frac"),
+                 F.first("k").alias("k"), F.collect_set("r").alias("ranks"))
+            .withColumnsRenamed({"g": "tg", "slice": "ts"}))
+    near = slices.join(held, F.col("g").eqNullSafe(F.col("tg")) & (F.col("slice") == F.col("ts")))
+    running = Window.partitionBy("g", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = (near.withColumn("end", F.col("before") + F.sum("c").over(running))
+             .select("g", "v", "frac", "k", "end", "c", F.explode("ranks").alias("r"))
+             .where((F.col("end") - F.col("c") <= F.col("r")) & (F.col("r") < F.col("end"))))
+    # one or two rows a group: the values at ranks k and k + 1
+    pair = found.groupBy("g").agg(F.first("frac").alias("frac"), F.min("v").alias("lo"),
+                                  F.max("v").alias("hi"))
+    quantile = F.when(F.col("frac") == 0, F.col("lo")).otherwise(
+        F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac"))
+    return pair.select(F.col("g").alias(group), quantile.alias("quantile"))

@@ -13,7 +13,10 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Inputs of multi-pass operators up to this estimate are kept in memory.
+KEEP_BYTES = 256 * 1024 * 1024
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -75,36 +78,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/quarry-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared scratch folder and read back:
+    lineage is cut, and later passes read only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _plan_bytes(df: DataFrame) -> int:
+    """Catalyst's own size estimate of ``df`` (upper end for joins)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 @contextmanager
-def reused(df, enabled=True):
+def reused(df: DataFrame, enabled: bool | str = True):
     """Keep ``df`` for the several passes of a multi-pass operator.
 
     ``enabled=True`` is for derived frames (joins, aggregates): the frame is
-    written once as a reliable checkpoint under ``spark.checkpoint.dir``
-    (shared storage), which cuts the lineage, so a lost executor costs a
-    re-read of checkpoint files rather than a re-run of the joins.
-    ``enabled="auto"`` keeps ``df`` only when it has fewer partitions than
-    the cluster's parallelism (a small input), in memory/disk; a large file
-    scan is left alone, since each pass re-reads just its own columns.
-    Either way an input with fewer partitions than the parallelism is first
-    spread round-robin, so later passes use every core.
+    written once under ``spark.checkpoint.dir`` (shared storage), so a lost
+    executor costs a re-read of files rather than a re-run of the joins.
+    ``enabled="auto"`` keeps an input that Catalyst estimates at no more than
+    ``KEEP_BYTES``, spread over the cores, in memory; anything larger is left
+    alone, since each pass re-reads just its own columns.
     """
     if not enabled:
         yield df
-        return
-    spark = df.sparkSession
-    parts = df.rdd.getNumPartitions()
-    target = spark.sparkContext.defaultParallelism
-    if enabled == "auto" and parts >= target:
+    elif enabled != "auto":
+        yield stored(df, "reused")
+    elif df.storageLevel.useMemory or _plan_bytes(df) > KEEP_BYTES:
         yield df
-        return
-    spread = df.repartition(target) if parts < target else df
-    if enabled == "auto":
-        kept = spread.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        kept = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_ONLY)
         try:
             yield kept
         finally:
             kept.unpersist()
-        return
-    checkpoint_root(spark)
-    yield spread.checkpoint(eager=True)

@@ -44,7 +44,7 @@ def test_exact_quantiles_match_numpy_with_narrowing(spark, seed):
     vals = [float(rnd.choice([rnd.randint(0, 50), rnd.random() * 1000])) for _ in range(3000)]
     frame = spark.createDataFrame([(v,) for v in vals], "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(frame, ["x"], probs, bracket_limit=20, accuracy=50)["x"]
+    got = exact_quantiles(frame, ["x"], probs, buckets=4)["x"]
     want = list(np.quantile(vals, probs))
     assert got == pytest.approx(want, rel=1e-12, abs=1e-12)
 
@@ -66,7 +66,7 @@ def test_grouped_quantile_hot_and_null_groups(spark):
     for k, x in rows:
         groups.setdefault(k, []).append(x)
     got = {r.k: r.quantile for r in
-           grouped_quantile(frame, "k", "x", 0.5, accuracy=40, bracket_limit=15).collect()}
+           grouped_quantile(frame, "k", "x", 0.5).collect()}
     assert got == pytest.approx({k: float(np.quantile(v, 0.5)) for k, v in groups.items()})
 
 
@@ -95,10 +95,54 @@ def test_quantile_pass_counts_and_profile_sketch_reuse(df):
     assert counts == {"x": len(xs), "y": len(ys)}
     assert np.allclose(q["x"], np.quantile(xs, [0.25, 0.75]))
     assert np.allclose(q["y"], np.quantile(ys, [0.25, 0.75]))
-    # the profile folds the sketch into its null-count scan: same answers as
-    # the stand-alone operator with its own passes
+    # the profile gives the same answers as the stand-alone operator
     by_col = pf.profile(frame).by_name()
     alone = pf.iqr_outliers(frame, ["x", "y"])
     assert {c: by_col[c].outlier_count for c in ("x", "y")} == alone
     assert alone["x"] >= 1 and alone["y"] >= 1
     assert by_col["y"].null_count == len(rows) - len(ys)
+
+
+def test_exact_quantiles_of_extreme_values(spark):
+    vals = [0.0, -0.0, 5e-324, -5e-324, 1.0, 1.0 + 2 ** -52, 2.0 - 2 ** -52, 2.0, -2.0, 1e308, -1e308, 1e12] + [0.1] * 5
+    frame = spark.createDataFrame([(v,) for v in vals] + [(float("nan"),), (None,)], "x double")
+    probs = [i / (len(vals) - 1) for i in range(len(vals))]
+    for buckets in (2, 1024):
+        counts = {}
+        got = exact_quantiles(frame, ["x"], probs, counts_out=counts, buckets=buckets)["x"]
+        assert counts == {"x": len(vals)}
+        ordered = sorted(vals)
+        for p, g in zip(probs, got):
+            k = int(p * (len(vals) - 1))
+            step = p * (len(vals) - 1) - k
+            assert g == (ordered[k] + (ordered[min(k + 1, len(vals) - 1)] - ordered[k]) * step if step else ordered[k])
+
+
+def test_infinities_are_order_statistics(spark):
+    frame = spark.createDataFrame([(float(v),) for v in ("-inf", "1", "2", "3", "inf")], "x double")
+    assert exact_quantiles(frame, ["x"], [0.0, 0.25, 0.5, 1.0])["x"] == [float("-inf"), 1.0, 2.0, float("inf")]
+
+
+def test_quantile_jobs_do_not_grow_with_columns_and_ranks(spark):
+    frame = spark.range(2000).selectExpr("sqrt(id) AS a", "id * 0.37 AS b", "exp(id / 300) AS c", "-id / 7 AS d").cache()
+    frame.count()
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(cols, probs):
+        group = f"quantiles-{len(cols)}-{len(probs)}"
+        spark.sparkContext.setJobGroup(group, group)
+        exact_quantiles(frame, cols, probs)
+        return len(tracker.getJobIdsForGroup(group))
+
+    few, many = jobs(["a"], [0.5]), jobs(["a", "b", "c", "d"], [0.1, 0.25, 0.5, 0.75, 0.9])
+    frame.unpersist()
+    assert many <= 2 * few + 2
+
+
+def test_hot_group_without_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_grouped_quantile_hot_and_null_groups(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
