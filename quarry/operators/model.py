@@ -10,10 +10,9 @@ Two fixes over a by-name merge: keys are resolved through a provenance map
 ``nationkey_customer`` is still found), and both key sides are cast to one
 common type.
 
-Join strategy: a dimension is broadcast only when its exact row count (known
-from the key statistics) and estimated width are under fixed bounds;
-otherwise the join is left to Spark (sort-merge; AQE splits skewed fact-side
-partitions and may still switch to broadcast from runtime sizes).
+The join strategy is left to Spark: it broadcasts a dimension only below its
+own size threshold, from file sizes or the sizes seen at run time; otherwise
+it sort-merges and AQE splits skewed fact-side partitions.
 """
 
 from __future__ import annotations
@@ -22,17 +21,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions.numeric import is_datetime_type, is_numeric_type
 from quarry.operators.relationships import KeyStats, Relationship, common_key_type, key_stats
 
-# Fixed bounds for an explicit broadcast of a dimension table.
-BROADCAST_MAX_ROWS = 5_000_000
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-STRING_WIDTH_GUESS = 64
-
-
 @dataclass
 class Model:
     frame: DataFrame
@@ -42,30 +34,6 @@ class Model:
     flags: dict[str, str] = field(default_factory=dict)
 
 
-_FIXED_WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4,
-                T.DateType: 4, T.FloatType: 4, T.LongType: 8, T.DoubleType: 8,
-                T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16}
-
-
-def estimated_row_bytes(schema: T.StructType) -> int:
-    """Upper-end width guess per row: fixed types at their size, strings,
-    binaries and nested values at a generous constant."""
-    width = 0
-    for f in schema.fields:
-        width += _FIXED_WIDTH.get(type(f.dataType), STRING_WIDTH_GUESS)
-    return max(width, 1)
-
-
-def broadcast_if_small(df: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast hint only behind a checked size; ``rows`` must be an exact
-    count.  Unknown or large sizes leave the choice to Spark."""
-    if rows is None:
-        return df
-    if rows <= BROADCAST_MAX_ROWS and rows * estimated_row_bytes(df.schema) <= BROADCAST_MAX_BYTES:
-        return F.broadcast(df)
-    return df
-
-
 def select_base_table(tables: dict[str, DataFrame], rows: dict[str, int]) -> str:
     def score(name: str):
         schema = tables[name].schema
@@ -160,7 +128,6 @@ def build_model(tables: dict[str, DataFrame], relationships: list[Relationship],
             branch, key_alias = build_branch(j)
             as_type = common_key_type(frame.schema[j["left_key"]].dataType,
                                       branch.schema[key_alias].dataType)
-            branch = broadcast_if_small(branch, rows.get(j["table"]))
             frame = (frame.join(branch, F.col(j["left_key"]).cast(as_type)
                                 == branch[key_alias].cast(as_type), "left")
                      .drop(key_alias))
