@@ -32,7 +32,8 @@ APPROX_RSD = 0.01
 # Timestamp patterns tried besides ISO-8601 (which ``try_cast`` covers).
 DATE_PATTERNS = ("MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm",
                  "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy",
-                 "dd-MMM-yyyy", "MMM d, yyyy", "yyyyMMdd'T'HHmmss")
+                 "dd-MMM-yyyy", "MMM d, yyyy", "yyyyMMdd'T'HHmmss",
+                 "dd/MM/yyyy", "MMM d yyyy", "d MMM yyyy", "d MMMM yyyy")
 ISO = "iso"
 # Shape of the text each pattern can parse; the parser runs only on matches.
 DATE_SHAPES = {
@@ -45,6 +46,10 @@ DATE_SHAPES = {
     "dd.MM.yyyy": r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$",
     "dd-MMM-yyyy": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$",
     "MMM d, yyyy": r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$",
+    "dd/MM/yyyy": r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+    "MMM d yyyy": r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4}$",
+    "d MMM yyyy": r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$",
+    "d MMMM yyyy": r"^[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}$",
     "yyyyMMdd'T'HHmmss": r"^[0-9]{8}T[0-9]{6}$",
 }
 
@@ -59,7 +64,8 @@ class ColumnType:
     date_pattern: str | None = None
 
 
-def _blank_to_null(c: str) -> Column:
+def blank_to_null(c: str) -> Column:
+    """The trimmed text of a column, NULL where nothing is left (PRJ-5)."""
     return F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
 
 
@@ -129,7 +135,7 @@ def _infer_types(df: DataFrame, patterns: tuple[str, ...], approx: bool) -> list
     idx = {c: i for i, c in enumerate(strings)}
     aggs: list[Column] = []
     for c, i in idx.items():
-        v = _blank_to_null(c)
+        v = blank_to_null(c)
         d = parse_number(v)
         aggs += [
             F.count(v).alias(f"n{i}"),
@@ -156,7 +162,7 @@ def _infer_types(df: DataFrame, patterns: tuple[str, ...], approx: bool) -> list
 
     if undecided:
         second = aggregate_row(df, [
-            F.count(_parse_ts(_blank_to_null(c), p)).alias(f"t{idx[c]}_{k + 1}")
+            F.count(_parse_ts(blank_to_null(c), p)).alias(f"t{idx[c]}_{k + 1}")
             for c in undecided for k, p in enumerate(patterns)]) if patterns else {}
         distinct = _string_distinct(df, undecided, approx)
         for c in undecided:
@@ -175,10 +181,10 @@ def _string_distinct(df: DataFrame, cols: list[str], approx: bool) -> dict[str,
     """Distinct non-blank values per column: one grouped job for all of
     them (the partial aggregate dedups before the shuffle)."""
     if approx:
-        return aggregate_row(df, [F.approx_count_distinct(_blank_to_null(c), rsd=APPROX_RSD).alias(c)
+        return aggregate_row(df, [F.approx_count_distinct(blank_to_null(c), rsd=APPROX_RSD).alias(c)
                                   for c in cols])
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), _blank_to_null(c).alias("v")) for i, c in enumerate(cols)
+        F.struct(F.lit(i).alias("k"), blank_to_null(c).alias("v")) for i, c in enumerate(cols)
     ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
     found = {r["k"]: r["u"] for r in pairs.distinct().groupBy("k")
              .agg(F.count(F.lit(1)).alias("u")).collect()}
@@ -186,7 +192,7 @@ def _string_distinct(df: DataFrame, cols: list[str], approx: bool) -> dict[str,
 
 
 def _coerced(name: str, ctype: ColumnType) -> Column:
-    v = _blank_to_null(name)
+    v = blank_to_null(name)
     if ctype.semantic_type == NUMERIC:
         if ctype.storage == "bigint":
             return parse_integer(v)

@@ -67,7 +67,7 @@ def sales_units(spark, sf, columns=None) -> DataFrame:
 def star_model(spark, sf, match_flags=False):
     tabs = views.v_star(spark, sf)
     rels, stats = infer_relationships(tabs)
-    # exact row counts (metadata-only on Parquet) for base choice and broadcast checks
+    # exact row counts (metadata-only on Parquet) for the choice of the base table
     rows = {name: df.count() for name, df in tabs.items()}
     return tabs, rels, build_model(tabs, rels, stats=stats, rows=rows, match_flags=match_flags)
 
@@ -117,6 +117,21 @@ def export_summary(spark, sf):
     return spark.read.schema(summary.SUMMARY_SCHEMA).json(path)
 
 
+@query
+def export_profile(spark, sf):
+    """SNK-2: the profile of orders written as JSON lines, read back."""
+    path = scratch_path(spark, "profile") + ".json"
+    sinks.export_summary(table_profile(spark, sf), path)
+    return spark.read.schema(profile.PROFILE_SCHEMA).json(path)
+
+
+@query
+def head_sample(spark, sf):
+    """SRC-3: the first 50,000 line items in the order of their columns."""
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return tables.head_sample(tables.read_table(spark, sf, "lineitem").select(*cols), cols)
+
+
 # ---------------------------------------------------------------- projections
 
 MESSY = {"l_orderkey": " Order Key ", "l_linenumber": "Line#Number", "l_quantity": "QUANTITY",
@@ -168,7 +183,7 @@ def pair_projection(spark, sf):
 def blank_to_null(spark, sf):
     """PRJ-5: blanks become NULL; counts of values kept per column."""
     junk = _junk_quantity(spark, sf)
-    clean = junk.select(F.nullif(F.trim(F.col("quantity")), F.lit("")).alias("quantity"))
+    clean = junk.select(ty.blank_to_null("quantity").alias("quantity"))
     return clean.agg(F.count(F.lit(1)).alias("rows"), F.count("quantity").alias("non_blank"))
 
 
@@ -177,8 +192,9 @@ def blank_to_null(spark, sf):
 @query
 def null_profile(spark, sf):
     """PRF-1: null count and ratio per column of V_DIRTY."""
-    df = views.v_dirty(spark, sf)
-    return profile.profile(df).to_frame(spark).select("column", "null_count", "null_ratio")
+    rows, nulls = profile.null_counts(views.v_dirty(spark, sf))
+    return spark.createDataFrame([(c, n, ty_round(n / max(rows, 1))) for c, n in nulls.items()],
+                                 "column string, null_count long, null_ratio double")
 
 
 @query
@@ -232,6 +248,15 @@ def combined_profile(spark, sf):
     return profile.combined_profile(tabs, model.frame)
 
 
+@query
+def column_roles(spark, sf):
+    """AGG-6: role of every column of orders with its number of values."""
+    df = tables.read_table(spark, sf, "orders")
+    rows, nulls = profile.null_counts(df)
+    return spark.createDataFrame([(role, c, rows - nulls[c]) for role, cols in summary.column_roles(df).items() for c in cols],
+                                 "role string, column string, non_null long")
+
+
 # ---------------------------------------------------------------- joins
 
 @query
@@ -408,61 +433,65 @@ def heatmap_corr(spark, sf):
         return charts.heatmap(df, chart_plan.chart_numeric(df)[:chart_plan.HEATMAP_MAX_COLUMNS])
 
 
-def _preset(role, spark, sf, df=None, ms=None):
-    if df is None:
-        df, ms = measures.add_measures(views.v_sales(spark, sf))
-    specs = [s for s in chart_plan.dedupe(chart_plan.candidate_specs(df, ms)) if s.role == role]
-    spec = specs[0]
-    return chart_plan.chart_data(df, spec).select(
-        F.lit(spec.x).alias("x_column"), F.lit(spec.y).alias("y_column"), "label", "value")
+def _preset(spark, sf, role=None, angle=None) -> DataFrame:
+    """The preset chart of a role or angle over the sales view.  It is chosen
+    from the whole view's schema; its data come from a view with only the
+    spec's columns, so only the joins behind them are built."""
+    whole, ms = measures.add_measures(views.v_sales(spark, sf))
+    spec = _preset_spec(whole, ms, role, angle)
+    return _preset_data(sales(spark, sf, needs(spec.x, spec.y)), spec)
+
+
+def _preset_spec(df, ms, role=None, angle=None):
+    return next(s for s in chart_plan.candidate_specs(df, ms)
+                if (role is None or s.role == role) and (angle is None or s.angle == angle))
 
 
-def _preset_angle(angle, spark, sf, df=None, ms=None):
-    if df is None:
-        df, ms = measures.add_measures(views.v_sales(spark, sf))
-    spec = next(s for s in chart_plan.candidate_specs(df, ms) if s.angle == angle)
+def _preset_data(df, spec) -> DataFrame:
     return chart_plan.chart_data(df, spec).select(
         F.lit(spec.x).alias("x_column"), F.lit(spec.y).alias("y_column"), "label", "value")
 
 
 @query
 def chart_trend(spark, sf):
-    return _preset("trend", spark, sf)
+    return _preset(spark, sf, role="trend")
 
 
 @query
 def chart_segment(spark, sf):
-    return _preset("segment_compare", spark, sf)
+    return _preset(spark, sf, role="segment_compare")
 
 
 @query
 def chart_category_mix(spark, sf):
-    return _preset("driver", spark, sf)
+    return _preset(spark, sf, role="driver")
 
 
 @query
 def chart_geography(spark, sf):
-    return _preset_angle("geography", spark, sf)
+    return _preset(spark, sf, angle="geography")
 
 
 @query
 def chart_payment(spark, sf):
-    return _preset_angle("payment_behavior", spark, sf)
+    return _preset(spark, sf, angle="payment_behavior")
 
 
 @query
 def chart_inventory(spark, sf):
-    return _preset("risk", spark, sf, df=views.v_inventory(spark, sf), ms=[])
+    df = views.v_inventory(spark, sf)
+    return _preset_data(df, _preset_spec(df, [], role="risk"))
 
 
 @query
 def chart_rating(spark, sf):
-    return _preset("opportunity", spark, sf, df=views.v_rating(spark, sf), ms=[])
+    df = views.v_rating(spark, sf)
+    return _preset_data(df, _preset_spec(df, [], role="opportunity"))
 
 
 @query
 def chart_margin(spark, sf):
-    return _preset("efficiency", spark, sf)
+    return _preset(spark, sf, role="efficiency")
 
 
 @query
@@ -529,7 +558,7 @@ def ans_join_coverage(spark, sf):
 def audit_rows(spark, sf):
     """AUD-1: the sales view and the star-join model have the same rows."""
     _tabs, _rels, model = star_model(spark, sf)
-    return audit.audit_rows(views.v_sales(spark, sf, ["order_id"]), model.frame)
+    return audit.audit_rows(views.v_sales(spark, sf), model.frame)
 
 
 @query

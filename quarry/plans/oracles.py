@@ -313,6 +313,12 @@ def oracle_sql() -> dict[str, str]:
   strftime(ship_date, '%Y-%m-%dT%H:%M:%S') AS ship_date, quantity, unit_price, revenue, cost,
   payment_method, category, brand, region, price, stock_quantity FROM {SALES} s""",
         "export_summary": summary_sql("lineitem", LINEITEM_NUMERIC),
+        "head_sample": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice
+  FROM lineitem ORDER BY 1, 2, 3, 4, 5, 6 LIMIT 50000""",
+        "column_roles": "\nUNION ALL\n".join(
+            f"""SELECT CASE WHEN any_value(typeof({c})) LIKE 'TIMESTAMP%' OR any_value(typeof({c})) = 'DATE' THEN 'datetime'
+  WHEN any_value(typeof({c})) = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS role,
+  {lit(c)} AS "column", count({c}) AS non_null FROM orders""" for c, _ in ORDERS_COLS),
         "normalized_columns": """SELECT l_orderkey AS order_key, l_linenumber AS line_number,
   l_quantity AS quantity, l_extendedprice AS extended_price, l_returnflag AS return_flag,
   l_linestatus AS line_status FROM lineitem""",
@@ -453,6 +459,7 @@ FROM la FULL OUTER JOIN lb ON la.key = lb.key AND la.kpi = lb.kpi""",
         (5, "bar", "risk", "category", "stock_quantity", "mean",
          preset_bar("category", "stock_quantity", "mean")),
     ]
+    out["export_profile"] = out["table_profile"]
     out["chart_bundle"] = "\nUNION ALL\n".join(
         f"SELECT {i} AS chart_id, {lit(t)} AS chart_type, {lit(role)} AS role, {lit(x)} AS x_column, "
         f"{lit(y)} AS y_column, {lit(agg)} AS aggregation, label, value FROM ({sql})"

@@ -98,3 +98,15 @@ def test_typed_columns_keep_their_type(df):
     frame = df([(1, 2.5, True, dt.datetime(2026, 1, 1))], "a long, b double, c boolean, d timestamp")
     kinds = [t.semantic_type for t in ty.infer_types(frame)]
     assert kinds == ["numeric", "numeric", "boolean", "datetime"]
+
+
+def test_day_first_and_month_name_dates(df):
+    from quarry.operators import types as ty
+    rows = [("25/12/2026", "Jan 5 2026", "5 Jan 2026", "14 February 2026"),
+            ("03/01/2026", "Mar 31 2026", "31 Mar 2026", "1 May 2026")]
+    frame = df(rows, "day_first string, month_first string, short string, long string")
+    typed, types = ty.infer_and_coerce(frame)
+    assert {t.column: t.semantic_type for t in types} == dict.fromkeys(frame.columns, "datetime")
+    got = [[v.strftime("%Y-%m-%d") for v in r] for r in typed.collect()]
+    assert got == [["2026-12-25", "2026-01-05", "2026-01-05", "2026-02-14"],
+                   ["2026-01-03", "2026-03-31", "2026-03-31", "2026-05-01"]]
