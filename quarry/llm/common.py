@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.session import scratch_path
 
+#: a key with at least a HOT-th of all rows is joined by a broadcast, the others by a shuffle
+HOT = 1000
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
@@ -19,6 +22,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, key: str, table: DataFrame, table_key: str, size: str) -> DataFrame:
+    """``rows`` joined to the one row of ``table`` with their ``key`` (others drop out).
+
+    ``size`` counts the rows that each row of ``table`` meets.  At most ``HOT``
+    of them can each meet a ``HOT``-th of all rows: these are broadcast, which
+    is a proven bound, and the rest is joined by a shuffle with no hot key.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(size) * HOT >= total))
+    common = rows.join(hot, F.col(key) == F.col(table_key))
+    others = rows.join(hot.select(table_key), F.col(key) == F.col(table_key), "left_anti")
+    return common.unionByName(others.join(table.where(F.col(size) * HOT < total), F.col(key) == F.col(table_key)))
+
+
 def small_batches(spark: SparkSession, limit: str = "16m") -> None:
     """Let Arrow batches to Python hold 16 MB at most in this session (Spark's default is 64 MB): several workers of a task hold one each."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import spread_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,8 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     the label of that label (pointer jumping), so the number of rounds grows
     with the logarithm of the longest path.  Each round's labels are written to
     shared storage.  A hub's edges are reduced before the shuffle (partial
-    ``min``) and its side of a join can be split at run time.  Null ends are
-    dropped; an empty edge table gives an empty result.
+    ``min``); labels that many nodes share are looked up by a bounded broadcast.
+    Null ends are dropped; an empty edge table gives an empty result.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -24,8 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = (both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("near_node")).agg(F.min("root").alias("low")))
         step = labels.join(near, labels.node == near.near_node).select("node", F.col("root").alias("was"), F.least("root", "low").alias("root"))
-        ahead = labels.select(F.col("node").alias("next_node"), F.col("root").alias("next_root"))
-        moved = step.join(ahead, step.root == ahead.next_node).select("node", "was", F.least("root", "next_root").alias("root"))
+        step = stored(step, "step")
+        # a large component's nodes share their label: count how many look each label up
+        met = step.groupBy(F.col("root").alias("met")).agg(F.count("*").alias("lookups"))
+        ahead = stored(labels.join(met, labels.node == met.met).select(F.col("node").alias("next_node"), F.col("root").alias("next_root"), "lookups"), "ahead")
+        moved = spread_join(step, "root", ahead, "next_node", "lookups").select("node", "was", F.least("root", "next_root").alias("root"))
         moved = stored(moved, "labels")
         if moved.where("was <> root").isEmpty():
             return moved.select("node", "root")

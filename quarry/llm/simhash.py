@@ -17,13 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, unwrapped, wrapped
+from quarry.llm.common import spread_join, stored, unwrapped, wrapped
 from quarry.llm.components import components
 
 BITS = 64
 SEED = 42
-#: a fingerprint with at least a HOT-th of all rows is joined by a broadcast, the others by a shuffle
-HOT = 1000
 
 
 def simhash(text: bytes, width: int) -> int:
@@ -84,18 +82,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(docs.select(F.col(f"`{id_col}`").alias(id_col), fingerprint(F.col(f"`{text_col}`"), width).alias("fingerprint")), "simhash")
     classes = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")), "classes")
     roots = components(links(classes.select("fp"), distance))
-    linked = classes.join(roots, classes.fp == roots.node)
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    moved = linked.select("fp", "root").join(least, "root").select(F.col("fp").alias("moved_fp"), "least_id")
+    linked = stored(classes.join(roots, classes.fp == roots.node).select("fp", "root", "first_id"), "linked")
+    least = stored(linked.groupBy(F.col("root").alias("least_root")).agg(F.min("first_id").alias("least_id"), F.count("*").alias("members")), "least")
+    moved = spread_join(linked.select("fp", "root"), "root", least, "least_root", "members").select(F.col("fp").alias("moved_fp"), "least_id")
     ids = classes.join(moved, classes.fp == moved.moved_fp, "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     ids = stored(ids.join(classes.select(F.col("fp").alias("counted"), "n"), F.col("fp") == F.col("counted")).select("fp", "component_id", "n"), "ids")
-    # copies share a fingerprint.  At most HOT classes can each hold a HOT-th of the rows: a proven bound for a broadcast
-    total = ids.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(ids.where(F.col("n") * HOT >= total).select(F.col("fp").alias("hot_fp"), F.col("component_id")))
-    common = rows.join(hot, rows.fingerprint == F.col("hot_fp")).select(id_col, "fingerprint", "component_id")
-    others = rows.join(hot.select("hot_fp"), rows.fingerprint == F.col("hot_fp"), "left_anti")
-    rest = others.join(ids.where(F.col("n") * HOT < total), F.col("fingerprint") == F.col("fp")).select(id_col, "fingerprint", "component_id")
-    return common.unionByName(rest)
+    return spread_join(rows, "fingerprint", ids, "fp", "n").select(id_col, "fingerprint", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
