@@ -122,15 +122,15 @@ def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> tuple[int,
     return max(1, int(math.ceil(span / width))), lo, hi
 
 
-HIST_SCHEMA = "bin int, lo double, hi double, n long"
+HIST_SCHEMA = "bin long, lo double, hi double, n long"
 
 
 def histogram(df: DataFrame, x: str, bins: int | None = None) -> DataFrame:
-    """Counts per equal-width bin: bin, lo, hi, n (empty bins included).
+    """Counts per equal-width bin: bin, lo, hi, n (empty bins omitted).
 
     Pass 1 (one aggregate plus the exact quartiles) fixes the edges; pass 2 is
-    a grouped count by bin index.  The bin list itself is generated from the
-    bin count with ``range``; it is joined to the counts on the bin index.
+    a grouped count by bin index, from which the edges follow.  So the result
+    has at most one row per value, however wide the range.
     """
     with reused(df.select(_value(x).alias("v")), "auto") as vals:
         return _histogram(vals, bins)
@@ -146,17 +146,13 @@ def _histogram(vals: DataFrame, bins: int | None) -> DataFrame:
         bins, lo, hi = auto_bins(n, lo, hi, q1, q3)
     elif hi == lo:
         lo, hi = lo - 0.5, hi + 0.5
-    step = (hi - lo) / bins
-    counts = (vals.where(F.col("v").isNotNull())
-              .groupBy(_bin_index(F.col("v"), lo, hi, bins).alias("bin"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    edges = spark.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (F.lit(lo) + F.col("id") * F.lit(step)).alias("lo"),
-        F.when(F.col("id") == bins - 1, F.lit(hi))
-        .otherwise(F.lit(lo) + (F.col("id") + 1) * F.lit(step)).alias("hi"))
-    return (edges.join(counts, "bin", "left")
-            .select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    step, at = F.lit((hi - lo) / bins), F.col("bin")
+    raw = F.floor((F.col("v") - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo))
+    return (vals.where(F.col("v").isNotNull())
+            .groupBy(F.least(raw, F.lit(bins - 1)).cast("bigint").alias("bin"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select("bin", (F.lit(lo) + at * step).alias("lo"),
+                    F.when(at == bins - 1, F.lit(hi)).otherwise(F.lit(lo) + (at + 1) * step).alias("hi"), "n"))
 
 
 DENSITY_SCHEMA = "point int, x double, density double"
@@ -166,16 +162,13 @@ def density(df: DataFrame, x: str, points: int = DENSITY_POINTS, cut: float = 0.
     """Gaussian kernel density of ``x`` on an even grid of ``points``.
 
     Bandwidth by Scott's rule, ``h = std * n^(-1/5)``; the grid spans
-    [min - cut*h, max + cut*h].  The estimate is exact over all rows: a
-    aggregate with one running sum per grid point (fixed-size partial state
-    per task, chunked to stay inside generated code), so no row is paired
-    with anything.
+    [min - cut*h, max + cut*h].  The estimate is exact over all rows, in two
+    scans: one for count, range and deviation, one that counts equal values
+    (map-side) and sums each distinct value's kernel, times its count, at all
+    grid points in a single aggregate (one sum per point and task).  Nothing
+    is paired with anything.
     """
-    with reused(df.select(_value(x).alias("v")).where(F.col("v").isNotNull()), "auto") as vals:
-        return _density(vals, points, cut)
-
-
-def _density(vals: DataFrame, points: int, cut: float) -> DataFrame:
+    vals = df.select(_value(x).alias("v")).where(F.col("v").isNotNull())
     row = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
                    F.stddev_samp("v").alias("sd")).first()
     spark = vals.sparkSession
@@ -185,9 +178,10 @@ def _density(vals: DataFrame, points: int, cut: float) -> DataFrame:
     h = round_half_up(sd * n ** (-0.2), 10)
     lo, hi = row["lo"] - cut * h, row["hi"] + cut * h
     grid = [lo + k * (hi - lo) / (points - 1) for k in range(points)]
-    sums = aggregate_row(vals, [
-        F.sum(F.exp(F.lit(-0.5) * F.pow((F.lit(g) - F.col("v")) / F.lit(h), 2))).alias(f"s{k}")
-        for k, g in enumerate(grid)])
+    weighed = vals.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    sums = aggregate_row(weighed, [
+        F.sum(F.col("w") * F.exp(F.lit(-0.5) * F.pow((F.lit(g) - F.col("v")) / F.lit(h), 2))).alias(f"s{k}")
+        for k, g in enumerate(grid)], max_fields=points)
     norm = n * h * math.sqrt(2.0 * math.pi)
     return spark.createDataFrame([(k, g, sums[f"s{k}"] / norm) for k, g in enumerate(grid)],
                                  DENSITY_SCHEMA)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.numeric import (aggregate_row, is_datetime_type, is_numeric_type,
+from quarry.functions.numeric import (MAX_AGG_FIELDS, aggregate_row, is_datetime_type, is_numeric_type,
                                       no_nan, round_half_up)
 from quarry.operators.quantiles import column_quantiles
 from quarry.session import reused
@@ -115,6 +115,37 @@ def category_topk(df: DataFrame, k: int = TOP_K, max_cols: int | None = None,
 CORR_SCHEMA = "left string, right string, r double"
 
 
+def _column_moments(df: DataFrame, v: list[Column]) -> dict:
+    """rows, and n, a (mean), lo, hi of each column, in one scan at any width."""
+    aggs = lambda x, i="": [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
+                            F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    flat = [F.count(F.lit(1)).alias("rows")] + [e for i, x in enumerate(v) for e in aggs(x, i)]
+    if len(flat) <= MAX_AGG_FIELDS:
+        return aggregate_row(df, flat)
+    cells = df.select(F.posexplode(F.array(*v)).alias("i", "x"))
+    found = cells.groupBy("i").agg(F.count(F.lit(1)).alias("rows"), *aggs(F.col("x"))).collect()
+    return {"rows": found[0]["rows"] if found else 0} | {
+        f"{k}{i}": None for i in range(len(v)) for k in ("a", "lo", "hi")} | {f"n{i}": 0 for i in range(len(v))} | {
+        f"{k}{r['i']}": r[k] for r in found for k in ("n", "a", "lo", "hi")}
+
+
+def _pair_sums(df: DataFrame, x: list[Column], pairs: list[tuple[int, int]]) -> dict:
+    """Masked sums of every pair of shifted columns in one scan: a row is dealt
+    to its pairs and summed there map-side, so a task sends one row per pair."""
+    index = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    cells = (df.select(F.array(*x).alias("x")).select("x", F.explode(index).alias("p"))
+             .select("p.i", "p.j", F.get("x", F.col("p.i")).alias("a"), F.get("x", F.col("p.j")).alias("b"))
+             .where("a IS NOT NULL AND b IS NOT NULL"))
+    found = cells.groupBy("i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("sx"), F.sum("b").alias("sy"),
+        F.sum(F.col("a") * F.col("a")).alias("sxx"), F.sum(F.col("b") * F.col("b")).alias("syy"),
+        F.sum(F.col("a") * F.col("b")).alias("p"), (F.min("a") < F.max("a")).alias("vx"),
+        (F.min("b") < F.max("b")).alias("vy")).collect()
+    keys = ("sx", "sy", "sxx", "syy", "p", "vx", "vy")
+    return ({f"{k}{i}_{j}": None for i, j in pairs for k in keys} | {f"n{i}_{j}": 0 for i, j in pairs}
+            | {f"{k}{r['i']}_{r['j']}": r[k] for r in found for k in ("n", *keys)})
+
+
 def correlation_rows(df: DataFrame, cols: list[str] | None = None) -> list[tuple]:
     """Full Pearson matrix as (left, right, r) over pairwise-complete rows.
 
@@ -122,8 +153,9 @@ def correlation_rows(df: DataFrame, cols: list[str] | None = None) -> list[tuple
     pass 1 gives count, mean, min and max per column; pass 2 sums products
     of mean-shifted values, which keeps the co-moments free of cancellation.
     Pairs of columns without nulls share per-column sums; only pairs that
-    touch a column with nulls need masked sums.  A side without variation
-    gives NULL (as does a 0/0 correlation); the diagonal is 1.0 for a
+    touch a column with nulls need masked sums.  Where these sums are more
+    than one aggregate holds, both passes group by column or pair instead, so
+    any width takes two scans.  A side without variation gives NULL (as does a 0/0 correlation); the diagonal is 1.0 for a
     varying column.  Rounded to 4 digits.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
@@ -131,9 +163,7 @@ def correlation_rows(df: DataFrame, cols: list[str] | None = None) -> list[tuple
         return []
     k = len(cols)
     v = [_num(c) for c in cols]
-    first = aggregate_row(df, [F.count(F.lit(1)).alias("rows")] + [
-        e for i in range(k) for e in (F.count(v[i]).alias(f"n{i}"), F.avg(v[i]).alias(f"a{i}"),
-                                      F.min(v[i]).alias(f"lo{i}"), F.max(v[i]).alias(f"hi{i}"))])
+    first = _column_moments(df, v)
     rows = first["rows"]
     complete = [first[f"n{i}"] == rows for i in range(k)]
     x = [v[i] - F.lit(float(first[f"a{i}"] or 0.0)) for i in range(k)]
@@ -153,7 +183,10 @@ def correlation_rows(df: DataFrame, cols: list[str] | None = None) -> list[tuple
                       F.sum(my * my).alias(f"syy{i}_{j}"), F.sum(mx * my).alias(f"p{i}_{j}"),
                       (F.min(mx) < F.max(mx)).alias(f"vx{i}_{j}"),
                       (F.min(my) < F.max(my)).alias(f"vy{i}_{j}")]
-    second = aggregate_row(df, exprs)
+    if len(exprs) <= MAX_AGG_FIELDS:
+        second = aggregate_row(df, exprs)
+    else:
+        second, complete = _pair_sums(df, x, pairs), [False] * k
 
     def varies(i):
         lo, hi = first[f"lo{i}"], first[f"hi{i}"]

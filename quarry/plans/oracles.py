@@ -225,12 +225,12 @@ st AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.25)
 w AS (SELECT n, lo, hi, (hi - lo) / (log2(n) + 1.0) AS sturges,
              2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) AS fd FROM st),
 b AS (SELECT lo, hi, CAST(ceil((hi - lo) / (CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END)) AS INTEGER) AS bins FROM w),
-c AS (SELECT least(CAST(floor((v - lo) * CAST(bins AS DOUBLE) / (hi - lo)) AS INTEGER), bins - 1) AS bin,
+c AS (SELECT CAST(least(floor((v - lo) * CAST(bins AS DOUBLE) / (hi - lo)), bins - 1) AS BIGINT) AS bin,
              count(*) AS n FROM v, b GROUP BY 1)
-SELECT CAST(g.i AS INTEGER) AS bin, round(b.lo + g.i * ((b.hi - b.lo) / b.bins), 6) AS lo,
-  round(CASE WHEN g.i = b.bins - 1 THEN b.hi ELSE b.lo + (g.i + 1) * ((b.hi - b.lo) / b.bins) END, 6) AS hi,
-  coalesce(c.n, 0) AS n
-FROM b, range(b.bins) g(i) LEFT JOIN c ON c.bin = g.i"""
+SELECT c.bin, round(b.lo + c.bin * ((b.hi - b.lo) / b.bins), 6) AS lo,
+  round(CASE WHEN c.bin = b.bins - 1 THEN b.hi ELSE b.lo + (c.bin + 1) * ((b.hi - b.lo) / b.bins) END, 6) AS hi,
+  c.n
+FROM c, b"""
 
 DENSITY = """WITH d AS (SELECT CAST(l_discount AS DOUBLE) AS v FROM lineitem WHERE l_discount IS NOT NULL),
 s AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi,
@@ -301,6 +301,17 @@ def star_counts_sql() -> str:
             + "\nUNION ALL\n".join(parts) + ")")
 
 
+def inferred_types_sql() -> str:
+    """The type rule on the text of every column of events: shares of values that cast, then distinct values."""
+    one = """SELECT {name} AS "column", CASE WHEN n = 0 THEN 'text' WHEN bools = n THEN 'boolean'
+  WHEN numbers >= 0.9 * n THEN 'numeric' WHEN dates >= 0.9 * n THEN 'datetime'
+  WHEN kinds <= greatest(20, n * 0.1) THEN 'categorical' ELSE 'text' END AS type
+FROM (SELECT count(v) AS n, count(*) FILTER (WHERE lower(v) IN ('true', 'false')) AS bools,
+        count(TRY_CAST(v AS DOUBLE)) AS numbers, count(TRY_CAST(v AS TIMESTAMP)) AS dates, count(DISTINCT v) AS kinds
+      FROM (SELECT nullif(trim(CAST({col} AS VARCHAR)), '') AS v FROM events))"""
+    return "\nUNION ALL\n".join(one.format(name=lit(c), col=q(c)) for c, _ in DIRTY_COLS)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "csv_roundtrip": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
@@ -322,9 +333,7 @@ def oracle_sql() -> dict[str, str]:
         "normalized_columns": """SELECT l_orderkey AS order_key, l_linenumber AS line_number,
   l_quantity AS quantity, l_extendedprice AS extended_price, l_returnflag AS return_flag,
   l_linestatus AS line_status FROM lineitem""",
-        "inferred_types": """SELECT * FROM (VALUES ('event_id', 'numeric'), ('ts', 'datetime'),
-  ('user_id', 'numeric'), ('event_type', 'categorical'), ('value', 'numeric'), ('props', 'categorical'))
-  AS t("column", type)""",
+        "inferred_types": inferred_types_sql(),
         "coerce_values": """SELECT l_orderkey, l_linenumber,
   CASE WHEN l_orderkey % 20 IN (0, 1) THEN NULL ELSE l_quantity END AS quantity FROM lineitem""",
         "pair_projection": f"SELECT event_type, value FROM {DIRTY} d WHERE event_type IS NOT NULL AND value IS NOT NULL",

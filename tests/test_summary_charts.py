@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.operators import charts
@@ -113,3 +115,39 @@ def test_profile_new_columns_only(df):
     first = profile(frame.select("a"))
     both = profile_new_columns(frame, first)
     assert [c.column for c in both.columns] == ["a", "b"] and both.by_name()["b"].null_count == 1
+
+
+def test_histogram_of_a_wide_range_lists_filled_bins_only(spark):
+    frame = spark.createDataFrame([(float(i % 100),) for i in range(2000)] + [(1e12,)], "x double")
+    h = charts.histogram(frame, "x").orderBy("bin").collect()
+    assert sum(r.n for r in h) == 2001 and len(h) <= 101 and h[-1].bin > 2**31 and h[-1].hi == 1e12
+
+
+def test_density_sums_repeated_values(spark):
+    vals = [1.0, 1.0, 1.0, 2.0, 4.0]
+    d = charts.density(spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double"), "x", points=3).orderBy("point").collect()
+    h = round(np.std(vals, ddof=1) * 5 ** -0.2, 10)
+    want = [sum(np.exp(-0.5 * ((g - v) / h) ** 2) for v in vals) / (5 * h * np.sqrt(2 * np.pi)) for g in (1.0, 2.5, 4.0)]
+    assert [r.density for r in d] == pytest.approx(want)
+
+
+def test_wide_correlations_with_nulls(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 30))
+    x[:, 1:] += x[:, :1]
+    x[:, 7] = 3.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 9] = np.nan
+    names = [f"c{i}" for i in range(30)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    got = {(a, b): r for a, b, r in correlation_rows(frame)}
+    want = pd.DataFrame(x, columns=names).corr()
+    assert len(got) == 900
+    for a in names:
+        for b in names:
+            if a in ("c7", "c9") or b in ("c7", "c9"):
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(want.loc[a, b], abs=6e-5)
+    assert {r for _, _, r in correlation_rows(frame.limit(0))} == {None}
