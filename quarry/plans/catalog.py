@@ -17,7 +17,7 @@ from quarry.operators import types as ty
 from quarry.operators.model import build_model
 from quarry.operators.relationships import (infer_relationships, key_overlap,
                                             key_uniqueness, relationships_frame)
-from quarry.plans import chart_plan, views
+from quarry.plans import analysis, chart_plan, views
 from quarry.session import reused, scratch_path
 from quarry.sources import sinks, tables
 
@@ -248,6 +248,13 @@ def combined_profile(spark, sf):
     return profile.combined_profile(tabs, model.frame)
 
 
+@query
+def manifest(spark, sf):
+    """PRF-7: the long manifest of orders and customer and their analysis table."""
+    star = views.v_star(spark, sf)
+    return analysis.manifest(analysis.build_semantic_model({t: star[t] for t in ("orders", "customer")}))
+
+
 @query
 def column_roles(spark, sf):
     """AGG-6: role of every column of orders with its number of values."""
@@ -500,6 +507,14 @@ def chart_bundle(spark, sf):
     return chart_plan.chart_bundle(df, ms, persist=True)
 
 
+@query
+def csv_to_charts(spark, sf):
+    """The whole path: the sales view as a CSV file, read, cleaned, typed, modelled, measured and charted."""
+    path = scratch_path(spark, "sales-csv") + ".csv"
+    sinks.export_clean(views.v_sales(spark, sf), path, "csv")
+    return analysis.charts(analysis.analyze_files(spark, [path]))
+
+
 # ---------------------------------------------------------------- answers
 
 @query

@@ -40,6 +40,8 @@ STAR = {
     "nation": ("n_", ["nationkey", "name", "regionkey"]),
     "region": ("r_", ["regionkey", "name"]),
 }
+MANIFEST_TYPES = {"orderkey": "bigint", "custkey": "bigint", "totalprice": "double", "orderdate": "timestamp_ntz",
+                  "nationkey": "int", "acctbal": "double"}
 ALL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
               "events", "documents", "embeddings", "pages", "benchmark", "labels",
               "conversations")
@@ -301,6 +303,24 @@ def star_counts_sql() -> str:
             + "\nUNION ALL\n".join(parts) + ")")
 
 
+def manifest_sql() -> str:
+    """Profiles of two star tables, the schema of orders with customer's columns, and how they relate."""
+    bare = {t: f"(SELECT {', '.join(f'{STAR[t][0]}{c} AS {q(c)}' for c in STAR[t][1])} FROM {t})" for t in ("orders", "customer")}
+    kinds = {t: [(c, MANIFEST_TYPES.get(c, "string")) for c in STAR[t][1]] for t in bare}
+    parts = [f"""SELECT 'column' AS kind, {lit(t)} AS table_name, "column", type, spark_type, semantic_hint AS hint, null_count, null_ratio,
+  null_count > 0.3 * (SELECT count(*) FROM {t}) AS missing_warning, outlier_count, coalesce(outlier_count, 0) > 0 AS outlier_warning,
+  NULL AS detail FROM ({profile_sql(bare[t], kinds[t])})""" for t in bare]
+    none = "NULL, NULL, NULL, NULL, NULL"
+    parts += [f"SELECT 'analysis', 'analysis', {lit(c)}, NULL, {lit(kind)}, {HINT_SQL.format(n=lit(c))}, {none}, NULL"
+              for c, kind in kinds["orders"] + [x for x in kinds["customer"] if x[0] != "custkey"]]
+    parts.append(f"SELECT 'base', 'orders', NULL, NULL, NULL, NULL, {none}, NULL")
+    parts.append(f"""SELECT 'relationship', 'orders', 'custkey',
+  (SELECT CASE WHEN count(o_custkey) = count(DISTINCT o_custkey) THEN 'one' ELSE 'many' END FROM orders) || '_to_' ||
+  (SELECT CASE WHEN count(c_custkey) = count(DISTINCT c_custkey) THEN 'one' ELSE 'many' END FROM customer),
+  NULL, NULL, {none}, 'customer.custkey'""")
+    return "\nUNION ALL\n".join(parts)
+
+
 def inferred_types_sql() -> str:
     """The type rule on the text of every column of events: shares of values that cast, then distinct values."""
     one = """SELECT {name} AS "column", CASE WHEN n = 0 THEN 'text' WHEN bools = n THEN 'boolean'
@@ -349,6 +369,7 @@ def oracle_sql() -> dict[str, str]:
         "table_profile": profile_sql("orders", ORDERS_COLS),
         "model_profile": profile_sql(SALES_M, SALES_M_COLS),
         "combined_profile": star_counts_sql(),
+        "manifest": manifest_sql(),
         "key_uniqueness": "\nUNION ALL\n".join(
             [f"SELECT 'orders' AS table_name, {lit(c)} AS \"column\", count({c}) = count(DISTINCT {c}) AS is_unique FROM orders"
              for c, _ in ORDERS_COLS] +
@@ -473,4 +494,5 @@ FROM la FULL OUTER JOIN lb ON la.key = lb.key AND la.kpi = lb.kpi""",
         f"SELECT {i} AS chart_id, {lit(t)} AS chart_type, {lit(role)} AS role, {lit(x)} AS x_column, "
         f"{lit(y)} AS y_column, {lit(agg)} AS aggregation, label, value FROM ({sql})"
         for i, t, role, x, y, agg, sql in bundle)
+    out["csv_to_charts"] = out["chart_bundle"]
     return out
