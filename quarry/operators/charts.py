@@ -50,11 +50,20 @@ def aggregate_expr(y: str, agg: str) -> Column:
 
 
 def bar_data(df: DataFrame, x: str, y: str, agg: str = "sum", top: int = BAR_TOP,
-             digits: int | None = None) -> DataFrame:
+             digits: int | None = None, weight: str | None = None) -> DataFrame:
     """Group by ``x`` (the NULL group is kept), aggregate ``y``, keep the
     ``top`` largest (ties by label); result columns ``x`` (string), ``y``.
-    Ranks follow the unrounded values; ``digits`` rounds only what is shown."""
-    grouped = df.groupBy(_label(df, x).alias("x")).agg(aggregate_expr(y, agg).alias("y"))
+    Ranks follow the unrounded values; ``digits`` rounds only what is shown.
+    ``weight`` makes a mean a weighted one (a margin weighted by revenue is
+    total profit over total revenue); rows without value or weight do not
+    count, and a total weight of 0 gives NULL."""
+    value = aggregate_expr(y, agg)
+    if weight is not None:
+        if agg != "mean":
+            raise ValueError("only a mean can be weighted")
+        v, w = _value(y), _value(weight)
+        value = F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+    grouped = df.groupBy(_label(df, x).alias("x")).agg(value.alias("y"))
     best = grouped.orderBy(F.col("y").desc_nulls_last(), F.col("x").asc_nulls_first()).limit(top)
     return best if digits is None else best.select("x", F.round("y", digits).alias("y"))
 

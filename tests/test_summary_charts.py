@@ -151,3 +151,12 @@ def test_wide_correlations_with_nulls(spark):
             else:
                 assert got[a, b] == pytest.approx(want.loc[a, b], abs=6e-5)
     assert {r for _, _, r in correlation_rows(frame.limit(0))} == {None}
+
+
+def test_weighted_bar_is_ratio_of_sums(spark):
+    rows = [("a", 0.5, 100.0), ("a", 0.1, 300.0), ("a", None, 900.0), ("b", 0.4, 10.0), ("b", 0.9, None), ("c", 0.3, 0.0)]
+    frame = spark.createDataFrame(rows, "k string, margin double, revenue double")
+    got = {r.x: r.y for r in charts.bar_data(frame, "k", "margin", "mean", digits=4, weight="revenue").collect()}
+    assert got == {"a": 0.2, "b": 0.4, "c": None}
+    with pytest.raises(ValueError):
+        charts.bar_data(frame, "k", "margin", "sum", weight="revenue")
