@@ -80,26 +80,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row; other columns are ignored.  An empty table gives an empty result.
     """
     rows = stored(docs.select(F.col(f"`{id_col}`").alias(id_col), fingerprint(F.col(f"`{text_col}`"), width).alias("fingerprint")), "simhash")
+    return spread_join(rows, "fingerprint", classes_of(rows, id_col, distance), "fp", "n").select(id_col, "fingerprint", "component_id")
+
+
+def classes_of(rows: DataFrame, id_col: str, distance: int) -> DataFrame:
+    """(fp, root, component_id, n) of each distinct ``fingerprint`` of ``rows``: the smallest fingerprint and id that links reach, and its number of rows."""
     classes = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")), "classes")
     roots = components(links(classes.select("fp"), distance))
     linked = stored(classes.join(roots, classes.fp == roots.node).select("fp", "root", "first_id"), "linked")
     least = stored(linked.groupBy(F.col("root").alias("least_root")).agg(F.min("first_id").alias("least_id"), F.count("*").alias("members")), "least")
-    moved = spread_join(linked.select("fp", "root"), "root", least, "least_root", "members").select(F.col("fp").alias("moved_fp"), "least_id")
-    ids = classes.join(moved, classes.fp == moved.moved_fp, "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    ids = stored(ids.join(classes.select(F.col("fp").alias("counted"), "n"), F.col("fp") == F.col("counted")).select("fp", "component_id", "n"), "ids")
-    return spread_join(rows, "fingerprint", ids, "fp", "n").select(id_col, "fingerprint", "component_id")
+    moved = spread_join(linked.select("fp", "root"), "root", least, "least_root", "members").select(F.col("fp").alias("moved_fp"), "root", "least_id")
+    ids = classes.join(moved, classes.fp == moved.moved_fp, "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
+    return stored(ids.join(classes.select(F.col("fp").alias("counted"), "n"), F.col("fp") == F.col("counted")).select("fp", "root", "component_id", "n"), "ids")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``docs`` with one row kept for each component: one with its smallest id.
 
-    All columns stay.  Rows with a repeated id count as one document; one of
-    them stays.
+    All columns stay.  Ids only order the rows of a component: rows of
+    different components all stay, also with equal or null ids.  Of several
+    rows with a component's smallest id, the one with the smallest fingerprint
+    stays, then the first as written.
     """
-    found = near_duplicates(docs, id_col, text_col, width, distance)
-    keep = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("keep")).distinct()
-    kept = wrapped(docs).join(keep, F.col("row")[id_col].eqNullSafe(F.col("keep")), "left_semi")
-    return unwrapped(kept.withColumn("key", F.col("row")[id_col]).dropDuplicates(["key"]).select("row"))
+    row = wrapped(docs).withColumn("id", F.col("row")[id_col]).withColumn("fingerprint", fingerprint(F.col("row")[text_col], width))
+    # written with its place: the choice names one row, and a lost task finds the same
+    rows = stored(row.withColumn("place", F.monotonically_increasing_id()), "placed")
+    classes = classes_of(rows.select("id", "fingerprint"), "id", distance)
+    found = spread_join(rows.select("id", "fingerprint", "place"), "fingerprint", classes, "fp", "n")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "fingerprint", "place"))["place"]
+    keep = found.groupBy("root").agg(first.alias("keep")).select("keep")
+    return unwrapped(rows.join(keep, F.col("place") == F.col("keep"), "left_semi").select("row"))
 
 
 def hex_of(fp: Column) -> Column:

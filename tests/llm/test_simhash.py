@@ -91,6 +91,14 @@ def test_one_row_of_each_component_stays(odd):
     assert kept[0].__fields__ == odd.columns
 
 
+def test_ids_do_not_merge_components(spark):
+    """Null and repeated ids: as many rows stay as there are components, each with its own text."""
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue white", "north south east west up")
+    docs = spark.createDataFrame([(None, a), (None, b), (None, b), (5, c), (5, d), (3, d), (7, c)], "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (5, c), (3, d)], key=str)
+
+
 def test_a_long_chain_is_one_component(spark):
     from quarry.llm.components import components
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long")
