@@ -115,6 +115,35 @@ def test_views_teach_each_other():
     assert right[1] >= right[0] - 0.005 and right[1] > 0.97
 
 
+def test_labelled_rows_stay_whatever_the_others(spark):
+    """The labelled rows' bound is their own: with few labels among many documents all of them teach."""
+    rows = [(i, ("good plain words here " if i % 2 else "#### $$ || 1234 ") * (3 + i % 7), "en", "a" if i % 2 else "b", 10 + i) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = cotraining.fit(docs, labels, sample=100)
+    assert model is not None
+    out = cotraining.score(docs, model).where("doc_id >= 60").select("doc_id", "keep").collect()
+    assert sum(r["keep"] != bool(r["doc_id"] % 2) for r in out) <= 0.01 * len(out)
+
+
+def test_every_unlabelled_row_is_in_the_pool(spark):
+    """Passes over a stored pool count and pass on the same rows as the pool in memory."""
+    rng = np.random.default_rng(4)
+    metas = [("en", "a", 5.0), ("de", "b", 900.0), (None, None, None)]
+    views = [cotraining.packed(bytes(rng.integers(32, 127, rng.integers(5, 60)).astype(np.uint8)), *metas[i % 3]) for i in range(500)]
+    x, y = cotraining.unpacked(views)
+    draw = rng.random(500)
+    assert (y == np.stack([cotraining.meta_features(*metas[i % 3]) for i in range(500)])).all()
+    turn = cotraining.Passing((Logistic(rng.normal(size=x.shape[1]) * 20, 0.0), Logistic(rng.normal(size=y.shape[1]) * 20, 0.0)), ((1.0, 0.0), (1.0, 0.0)), {})
+    here, there = cotraining.Pool(x, y), cotraining.StoredPool(spark.createDataFrame(list(zip(map(bytearray, views), draw.tolist())), "view binary, draw double"), 10_000)
+    here.draw = draw
+    counts = here.counts(turn)
+    assert there.size == 500 and counts == there.counts(turn) and counts
+    turn = cotraining.replace(turn, cuts={at: cotraining.cut(c, 50) for at, c in counts.items()})
+    for mine, other in zip(here.taught([turn]), there.taught([turn])):
+        assert mine[2].sum() == other[2].sum() > 0 and np.allclose(sorted(mine[0].sum(axis=1)), sorted(other[0].sum(axis=1)))
+
+
 def test_quality_odd_rows(spark, odd, none, clashing):
     labels = spark.read.parquet(f"{MID}/labels.parquet")
     model = cotraining.fit(spark.read.parquet(f"{MID}/documents.parquet"), labels)
