@@ -25,6 +25,8 @@ class Encoder:
     def __init__(self, ranks_path: str, pattern: str):
         lines = map(bytes.split, Path(ranks_path).read_bytes().splitlines())
         ranks = {base64.b64decode(word): int(rank) for word, rank in lines}
+        #: the bytes of each id
+        self.words = [word for word, _ in sorted(ranks.items(), key=lambda r: r[1])]
         self.whole = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         # without the look-ahead the pattern runs as an automaton, half again as fast
         self.plain = tiktoken.Encoding("bpe", pat_str=pattern.replace(RUN_RULE, ""), mergeable_ranks=ranks, special_tokens={})

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from quarry.llm import cotraining, covertree, mixing, packing, pii, sharding, simhash, sketch, toxicity, urls
+from quarry.llm import align, cotraining, covertree, lexical, mixing, packing, pii, sharding, signhash, simhash, sketch, toxicity, urls
 from quarry.llm.common import read_table, small_batches
 from quarry.llm.following import beside_next, in_order
 
@@ -128,13 +128,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of each benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_signhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings at a cosine of 0.95 or more."""
+    return signhash.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap links and common groups of every document's tokens under two tokenizers."""
+    small_batches(spark)
+    return align.align(read_table(spark, sf_dir, "documents"), vocabulary(), BYTE_BPE_PATTERN, str(Path(TOKENIZERS) / "piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op4_covertree": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op4_covertree": OP4_SQL, "op8_mixing": OP8_SQL, "op11_lexical": OP11_SQL, "op12_signhash": OP12_SQL}
 
 
 OP4_SQL = """
@@ -160,3 +176,35 @@ drawn AS (SELECT d.doc_id, d.source, s.rate, d.text, count(*) FILTER (WHERE s.st
 SELECT doc_id, source, c.copy AS copy, round(rate, 6) AS rate, strlen(coalesce(text, ''))::BIGINT AS n_bytes
 FROM drawn, generate_series(0, drawn.copies - 1) c(copy)
 """
+
+OP11_SQL = r"""
+WITH split AS (
+    SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT doc, doc_id, terms, len(terms)::BIGINT AS n FROM split WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs),
+wanted AS (SELECT DISTINCT item, item_id, term FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT *, row_number() OVER () AS item FROM benchmark))),
+held AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * t.docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals t GROUP BY term, t.docs),
+impacts AS (SELECT h.doc, d.doc_id, h.term, w.w * ((1000000000 * h.tf) // (1000 * h.tf + 20 * (50 + (50 * d.n * t.docs) // t.terms))) AS impact
+            FROM held h JOIN docs d USING (doc) JOIN weights w USING (term), totals t),
+scores AS (SELECT item, item_id, doc, doc_id, sum(impact)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
+           embedding IS NOT NULL AND coalesce(list_bool_and([coalesce(isfinite(x), false) for x in embedding]), false) AND coalesce(list_bool_or([x <> 0 for x in embedding]), false) AS ok
+    FROM embeddings),
+links AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.ok AND b.ok AND a.r <> b.r AND len(a.e) = len(b.e)
+          WHERE CASE WHEN a.ok AND b.ok AND len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 END),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT reach.a, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.b = v.r GROUP BY reach.a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, coalesce(v.vec_id = component_id, false) AS kept
+FROM v JOIN least ON v.r = least.a LEFT JOIN counts ON v.r = counts.a
+"""
