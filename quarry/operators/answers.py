@@ -1,7 +1,7 @@
 """Answers to the standard business questions (ANS-1..8, join coverage).
 
 Each answer is one grouped job over the analysis table; windows (``lag``)
-run only on the already aggregated time series, never on raw rows.
+run only on the already aggregated time series, by ranges of time.
 """
 
 from __future__ import annotations
@@ -9,17 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.exact import exact_sum
 from quarry.functions.numeric import no_nan, round_half_up, safe_divide
 from quarry.operators.model import Model
-from quarry.operators.profile import MISSING_RATIO_WARN, iqr_outliers, null_counts
+from quarry.operators.profile import MISSING_RATIO_WARN, iqr_outliers, null_counts, table_outliers
 from quarry.operators.quantiles import (column_quantiles, grouped_percentile_approx,
                                         grouped_quantile)
-from quarry.session import reused
+from quarry.operators.values import value_table
+from quarry.session import reused, stored
 from quarry.operators.summary import category_topk, numeric_summary_rows
 
 DIGITS = 4
-# money totals keep 4 decimals: sums of 4-decimal amounts are then exact
-# after rounding, whatever order the partial sums were merged in
+# decimals of money totals
 MONEY = 4
 # Fixed value: a slope smaller than this in absolute value counts as flat.
 FLAT_SLOPE = 1e-9
@@ -32,13 +33,16 @@ def _v(c: str) -> Column:
 def ranges_outliers(df: DataFrame, cols: list[str], quantiles: str = "exact",
                     persist: bool = False) -> DataFrame:
     """ANS-1: count, mean, min, max and IQR outliers of every column given.
-    The quartiles are computed once, together with the medians."""
+    The exact quartiles and outliers come from one value table."""
     with reused(df, persist) as kept:
-        counts: dict = {}
-        q = column_quantiles(kept, cols, [0.25, 0.5, 0.75], method=quantiles, counts=counts)
+        if quantiles == "exact":
+            table = value_table(kept.select(*cols))
+            q = table.quantiles(cols, [0.25, 0.5, 0.75])
+            outliers = table_outliers(table, cols, {c: (q[c][0], q[c][2]) for c in cols})
+        else:
+            q = column_quantiles(kept, cols, [0.25, 0.5, 0.75], method=quantiles)
+            outliers = iqr_outliers(kept, cols, method=quantiles)
         summary = numeric_summary_rows(kept, cols, quantiles, medians={c: q[c][1] for c in cols})
-        outliers = iqr_outliers(kept, cols, quartiles={c: (q[c][0], q[c][2]) for c in cols},
-                                counts=counts)
     rows = [(c, n, mean, lo, hi, outliers[c]) for c, n, mean, _m, lo, hi, _s in summary]
     return df.sparkSession.createDataFrame(
         rows, "column string, count long, mean double, min double, max double, outlier_count long")
@@ -73,24 +77,45 @@ def trend_change(df: DataFrame, date: str, value: str, grain: str = "month") ->
     period (absolute and relative)."""
     series = (df.where(F.col(date).isNotNull())
               .groupBy(_period(date, grain).alias("t"))
-              .agg(F.round(F.coalesce(F.sum(_v(value)), F.lit(0.0)), MONEY).alias("value")))
-    w = Window.orderBy("t")  # over the aggregated series only
-    prev = F.lag("value").over(w)
-    return series.select(
-        F.date_format("t", "yyyy-MM-dd").alias("period"), "value",
-        prev.alias("previous"), F.round(F.col("value") - prev, MONEY).alias("change"),
+              .agg(F.round(F.coalesce(exact_sum(_v(value)), F.lit(0.0)), MONEY).alias("value")))
+    out = with_previous(series, "t", "value")
+    prev = F.col("previous")
+    return out.select(
+        F.date_format("t", _period_format(grain)).alias("period"), "value",
+        "previous", F.round(F.col("value") - prev, MONEY).alias("change"),
         F.round(safe_divide(F.col("value") - prev, prev), DIGITS).alias("pct_change"))
 
 
+def _period_format(grain: str) -> str:
+    return "yyyy-MM-dd" if grain in ("year", "quarter", "month", "week", "day") else "yyyy-MM-dd HH:mm:ss"
+
+
+def with_previous(series: DataFrame, at: str, value: str) -> DataFrame:
+    """``series`` (one row for each value of ``at``) with ``previous``, the ``value`` of the row before.
+
+    Rows are put in order by ranges of ``at`` and written; within a range the
+    previous row is a window's, and each range is told the last value of the
+    range before it.  So a series of any length is never one task's.
+    """
+    ranges = stored(series.repartitionByRange(at).withColumn("_range", F.spark_partition_id()), "series")
+    ends = sorted(ranges.groupBy("_range").agg(F.max_by(value, at).alias("last")).collect(), key=lambda r: r["_range"])
+    carried = [(after["_range"], before["last"]) for before, after in zip(ends, ends[1:])]
+    carry = series.sparkSession.createDataFrame(carried, f"_of int, _carried {dict(series.dtypes)[value]}")
+    w = Window.partitionBy("_range").orderBy(at)
+    first = F.row_number().over(w) == 1
+    joined = ranges.join(F.broadcast(carry), F.col("_range") == F.col("_of"), "left")
+    return joined.withColumn("previous", F.when(first, F.col("_carried")).otherwise(F.lag(value).over(w))).drop("_range", "_of", "_carried")
+
+
 def top_contributor(df: DataFrame, category: str, measure: str = "gross_profit") -> DataFrame:
     """ANS-4: the category with the largest total of ``measure`` and its
     share of the overall total."""
     per = df.groupBy(F.col(category).cast("string").alias("subject")).agg(
-        F.sum(_v(measure)).alias("total"))
+        exact_sum(_v(measure)).alias("total"))
     # two one-row results: the leader and the grand total of the groups
     best = (per.orderBy(F.col("total").desc_nulls_last(), F.col("subject").asc_nulls_first())
             .limit(1).collect())
-    grand = per.agg(F.sum("total").alias("all")).first()["all"]
+    grand = per.agg(exact_sum(F.col("total")).alias("all")).first()["all"]
     rows = [(b["subject"], None if b["total"] is None else round_half_up(b["total"], MONEY),
              round_half_up(b["total"] / grand, DIGITS) if grand and b["total"] is not None else None)
             for b in best]
@@ -99,7 +124,7 @@ def top_contributor(df: DataFrame, category: str, measure: str = "gross_profit")
 
 def _top_ratio(df, category, num, den) -> DataFrame:
     per = df.groupBy(F.col(category).cast("string").alias("subject")).agg(
-        safe_divide(F.sum(_v(num)), F.sum(_v(den))).alias("value"))
+        safe_divide(exact_sum(_v(num)), exact_sum(_v(den))).alias("value"))
     best = per.orderBy(F.col("value").desc_nulls_last(), F.col("subject").asc_nulls_first()).limit(1)
     return best.select("subject", F.round("value", DIGITS).alias("value"))
 
@@ -119,7 +144,7 @@ def margin_direction(df: DataFrame, date: str, grain: str = "month") -> DataFram
     slope of margin over the month index, and its direction."""
     monthly = (df.where(F.col(date).isNotNull())
                .groupBy(_period(date, grain).alias("t"))
-               .agg(safe_divide(F.sum(_v("gross_profit")), F.sum(_v("revenue"))).alias("margin")))
+               .agg(safe_divide(exact_sum(_v("gross_profit")), exact_sum(_v("revenue"))).alias("margin")))
     idx = (F.year("t") * 12 + F.month("t")).cast("double")
     fit = monthly.agg(F.regr_slope("margin", idx).alias("slope"),
                       F.count("margin").alias("periods"))

@@ -10,12 +10,15 @@ the shuffle; top-k is ``orderBy().limit()`` which Spark plans as a
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+from numpy.polynomial import hermite_e
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.numeric import aggregate_row, is_datetime_type, no_nan, round_half_up
+from quarry.functions.exact import exact_mean, exact_sum
+from quarry.functions.numeric import is_datetime_type, no_nan, round_half_up
 from quarry.operators.quantiles import column_quantiles
 from quarry.operators.summary import correlations
 from quarry.session import reused
@@ -23,6 +26,9 @@ from quarry.session import reused
 # Fixed values of the chart step.
 BAR_TOP = 12
 DENSITY_POINTS = 200
+# bins of the density for each bandwidth, and the highest power that their series keeps
+DENSITY_BINS = 4
+DENSITY_ORDER = 7
 ISO_SECONDS = "yyyy-MM-dd HH:mm:ss"
 ISO_DAY = "yyyy-MM-dd"
 
@@ -38,12 +44,12 @@ def _value(y: str) -> Column:
 
 
 def aggregate_expr(y: str, agg: str) -> Column:
-    """sum (all-null group -> 0), mean, or count of non-null ``y``."""
+    """sum (all-null group -> 0), mean, or count of non-null ``y``; sums and means do not depend on the order of the rows."""
     v = _value(y)
     if agg == "sum":
-        return F.coalesce(F.sum(v), F.lit(0.0))
+        return F.coalesce(exact_sum(v), F.lit(0.0))
     if agg == "mean":
-        return F.avg(v)
+        return exact_mean(v)
     if agg == "count":
         return F.count(v).cast("double")
     raise ValueError(f"unknown aggregation {agg!r}")
@@ -62,7 +68,7 @@ def bar_data(df: DataFrame, x: str, y: str, agg: str = "sum", top: int = BAR_TOP
         if agg != "mean":
             raise ValueError("only a mean can be weighted")
         v, w = _value(y), _value(weight)
-        value = F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+        value = F.try_divide(exact_sum(v * w), exact_sum(F.when(v.isNotNull(), w)))
     grouped = df.groupBy(_label(df, x).alias("x")).agg(value.alias("y"))
     best = grouped.orderBy(F.col("y").desc_nulls_last(), F.col("x").asc_nulls_first()).limit(top)
     return best if digits is None else best.select("x", F.round("y", digits).alias("y"))
@@ -85,6 +91,12 @@ def line_data(df: DataFrame, x: str, y: str, agg: str = "sum", grain: str | None
     return grouped.orderBy("t").select(F.date_format("t", fmt).alias("x"), "y")
 
 
+def _finite(y: str) -> Column:
+    """The value as a double; NaN and infinities, which have no place on an axis, as NULL."""
+    v = _value(y)
+    return F.when(F.abs(v) < F.lit(math.inf), v)
+
+
 def pair_projection(df: DataFrame, x: str, y: str) -> DataFrame:
     """The raw (x, y) points of a scatter chart: both non-null."""
     return df.select(x, y).dropna()
@@ -107,8 +119,9 @@ def _bin_index(v: Column, lo: float, hi: float, bins: int) -> Column:
 
 def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     """Scatter data of any size as a ``bins`` x ``bins`` grid of counts over
-    the (x, y) ranges: x_bin, y_bin, n (empty cells omitted)."""
-    pts = df.select(_value(x).alias("x"), _value(y).alias("y")).dropna()
+    the (x, y) ranges: x_bin, y_bin, n (empty cells omitted).  Points with a
+    null, NaN or infinite side are left out."""
+    pts = df.select(_finite(x).alias("x"), _finite(y).alias("y")).dropna()
     stats = _range_stats(pts, ["x", "y"])
     (n, xlo, xhi), (_, ylo, yhi) = stats["x"], stats["y"]
     if not n:
@@ -118,6 +131,20 @@ def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def scatter_sample(df: DataFrame, x: str, y: str, key: list[str], rows: int) -> DataFrame:
+    """About ``rows`` of the raw points of a scatter chart (all, if there are
+    no more), with their ``key`` columns: those whose key has a low hash, so the
+    choice is the same in every run and partitioning.  Two scans, no shuffle of
+    points."""
+    pts = df.select(*key, _finite(x).alias("x"), _finite(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    n = pts.count()
+    if n <= rows:
+        return pts
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    share = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+    return pts.where(share < F.lit(rows * 2**48 // n))
+
+
 def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> tuple[int, float, float]:
     """Bin count and edges for an automatic histogram: the smaller of the
     Sturges and Freedman-Diaconis widths (Sturges alone when the IQR is 0).
@@ -139,9 +166,10 @@ def histogram(df: DataFrame, x: str, bins: int | None = None) -> DataFrame:
 
     Pass 1 (one aggregate plus the exact quartiles) fixes the edges; pass 2 is
     a grouped count by bin index, from which the edges follow.  So the result
-    has at most one row per value, however wide the range.
+    has at most one row per value, however wide the range.  NaN and infinite
+    values are left out, like nulls.
     """
-    with reused(df.select(_value(x).alias("v")), "auto") as vals:
+    with reused(df.select(_finite(x).alias("v")), "auto") as vals:
         return _histogram(vals, bins)
 
 
@@ -171,29 +199,60 @@ def density(df: DataFrame, x: str, points: int = DENSITY_POINTS, cut: float = 0.
     """Gaussian kernel density of ``x`` on an even grid of ``points``.
 
     Bandwidth by Scott's rule, ``h = std * n^(-1/5)``; the grid spans
-    [min - cut*h, max + cut*h].  The estimate is exact over all rows, in two
-    scans: one for count, range and deviation, one that counts equal values
-    (map-side) and sums each distinct value's kernel, times its count, at all
-    grid points in a single aggregate (one sum per point and task).  Nothing
-    is paired with anything.
+    [min - cut*h, max + cut*h].  Two scans over all rows: one for count, range
+    and deviation, one that sums, map-side, the first DENSITY_ORDER powers of
+    the distance to the middle of its bin, in bins of h / 4.  The kernel's
+    Hermite series (Greengard and Strain 1991) turns a bin's power sums into
+    its part of the curve; what the series leaves out is below 1e-7 of the
+    curve's greatest possible value.  A task sends one row for each filled bin
+    (a few thousand for most columns), never a value.  NaN and infinite values
+    are left out, like nulls.
     """
-    vals = df.select(_value(x).alias("v")).where(F.col("v").isNotNull())
+    vals = df.select(_finite(x).alias("v")).where(F.col("v").isNotNull())
     row = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
                    F.stddev_samp("v").alias("sd")).first()
     spark = vals.sparkSession
     n, sd = row["n"], row["sd"]
-    if not n or sd is None or sd == 0:
+    if not n or sd is None or sd == 0 or not math.isfinite(sd):
         return spark.createDataFrame([], DENSITY_SCHEMA)
-    h = round_half_up(sd * n ** (-0.2), 10)
+    h = round_half_up(sd * n ** (-0.2), 10) or sd * n ** (-0.2)
     lo, hi = row["lo"] - cut * h, row["hi"] + cut * h
     grid = [lo + k * (hi - lo) / (points - 1) for k in range(points)]
-    weighed = vals.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    sums = aggregate_row(weighed, [
-        F.sum(F.col("w") * F.exp(F.lit(-0.5) * F.pow((F.lit(g) - F.col("v")) / F.lit(h), 2))).alias(f"s{k}")
-        for k, g in enumerate(grid)], max_fields=points)
+    series = _bin_series(vals, row["lo"], h)
+    # each bin adds its part to every point of the grid, map-side
+    at_points = series.select("*", F.posexplode(F.lit(grid)).alias("point", "x"))
+    curve = at_points.groupBy("point", "x").agg(F.sum(_part_at(F.col("x"), h)).alias("s"))
     norm = n * h * math.sqrt(2.0 * math.pi)
-    return spark.createDataFrame([(k, g, sums[f"s{k}"] / norm) for k, g in enumerate(grid)],
-                                 DENSITY_SCHEMA)
+    return curve.select("point", "x", (F.greatest(F.lit(0.0), "s") / F.lit(norm)).alias("density"))
+
+
+def _bin_series(vals: DataFrame, lo: float, h: float) -> DataFrame:
+    """For each bin of h / 4 its middle ``c`` and the coefficients a0, a1, ... of its kernels' sum, as a polynomial
+    in t = (point - c) / h that exp(-t^2 / 2) multiplies."""
+    width = h / DENSITY_BINS
+    middle = F.lit(lo) + (F.col("bin") + F.lit(0.5)) * F.lit(width)
+    at = vals.select("v", F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).alias("bin")).select("bin", ((F.col("v") - middle) / F.lit(h)).alias("u"))
+    power, powers = F.lit(1.0), []
+    for k in range(DENSITY_ORDER + 1):
+        powers.append(F.sum(power).alias(f"m{k}"))
+        power = power * F.col("u")
+    sums = at.groupBy("bin").agg(*powers)
+    # He_k(t) / k! times the k-th power sum, gathered by powers of t
+    terms: list[list[Column]] = [[] for _ in range(DENSITY_ORDER + 1)]
+    for k in range(DENSITY_ORDER + 1):
+        for j, a in enumerate(hermite_e.herme2poly([0] * k + [1])):
+            if a:
+                terms[j].append(F.lit(float(a) / math.factorial(k)) * F.col(f"m{k}"))
+    return sums.select(middle.alias("c"), *[reduce(Column.__add__, t).alias(f"a{j}") for j, t in enumerate(terms)])
+
+
+def _part_at(point: Column, h: float) -> Column:
+    """A bin's part of the kernels' sum at a point."""
+    t = (point - F.col("c")) / F.lit(h)
+    value = F.col(f"a{DENSITY_ORDER}")
+    for j in reversed(range(DENSITY_ORDER)):
+        value = value * t + F.col(f"a{j}")
+    return value * F.exp(F.lit(-0.5) * t * t)
 
 
 def heatmap(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.exact import exact_sum
 from quarry.functions.formula import add_formula_measures
 from quarry.functions.numeric import safe_divide
 
@@ -60,7 +61,7 @@ def revenue_per_customer(df: DataFrame, customer: str = "customer_id",
                          revenue: str = "revenue") -> DataFrame:
     """Revenue summed per customer (the aggregate MSR-7 describes).
     A partial aggregate per task keeps a hot customer from skewing the shuffle."""
-    return df.groupBy(customer).agg(F.sum(revenue).alias("revenue"),
+    return df.groupBy(customer).agg(exact_sum(F.col(revenue)).alias("revenue"),
                                     F.count(F.lit(1)).alias("records"))
 
 

@@ -12,18 +12,31 @@ common type.
 
 The join strategy is left to Spark: it broadcasts a dimension only below its
 own size threshold, from file sizes or the sizes seen at run time; otherwise
-it sort-merges and AQE splits skewed fact-side partitions.
+it sort-merges.  Rows whose key is null find nothing wherever they are, so they
+are dealt out over all partitions instead of meeting in one; rows of a frequent
+key (measured in a large table) are dealt to several partitions, and the one
+dimension row of that key is copied to each of them.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.numeric import is_datetime_type, is_numeric_type
 from quarry.operators.relationships import KeyStats, Relationship, common_key_type, key_stats
+from quarry.session import KEEP_BYTES, plan_bytes
+
+#: share of a large table's rows from which on a key is spread, and values that its sketch tracks at least
+HOT_SHARE = 0.01
+HOT_TRACKED = 10_000
+#: salts for each partition that a key's rows fill: enough for the hash to fill partitions evenly
+SALTS = 16
+
 
 @dataclass
 class Model:
@@ -34,6 +47,47 @@ class Model:
     flags: dict[str, str] = field(default_factory=dict)
 
 
+def hot_keys(df: DataFrame, cols: list[str], share: float) -> dict[str, dict[str, float]]:
+    """For each key column the values (as text) with about ``share`` of the rows or more, and their share.
+
+    One scan; frequent-items sketches have a bounded state and overstate a
+    value by their error at most, so no hot key is missed."""
+    tracked = max(HOT_TRACKED, math.ceil(4 * 2.625 / share))
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.expr(f"approx_top_k(CAST(`{c}` AS STRING), {math.ceil(1 / share) + 1}, {tracked}) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"t{i}")
+        for i, c in enumerate(cols)]).first()
+    return {c: {t["item"]: t["count"] / row["rows"] for t in row[f"t{i}"] or [] if t["count"] >= share * row["rows"]} for i, c in enumerate(cols)}
+
+
+def spread_left_join(frame: DataFrame, branch: DataFrame, left_key: str, key_alias: str, hot: dict[str, float]) -> DataFrame:
+    """``frame`` left-joined to the rows of ``branch`` (unique in ``key_alias``, which is dropped) with its ``left_key``.
+
+    A row's salt is part of the join key: for a null key a hash over SALTS
+    values for each partition, for a hot one over as many as its share of the
+    partitions has, else 0.  Hashes of
+    the row, not of its place, so that a lost task deals its rows alike again.
+    """
+    as_type = common_key_type(frame.schema[left_key].dataType, branch.schema[key_alias].dataType)
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = {key: max(2, math.ceil(SALTS * s * partitions)) for key, s in hot.items()}
+
+    def parts_of(key: Column) -> Column:
+        if not parts:
+            return F.lit(1)
+        table = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+        return F.coalesce(F.try_element_at(table, key.cast("string")), F.lit(1))
+
+    key, dim_key = F.col(f"`{left_key}`"), F.col(f"`{key_alias}`")
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in frame.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    # an absent key has a salt of its own kind; the dimension has none such
+    salt = F.when(key.isNull(), F.pmod(row, F.lit(SALTS * partitions))).otherwise(F.pmod(row, parts_of(key).cast("bigint")) if parts else F.lit(0).cast("bigint"))
+    # a generated column also where all are 0: a literal would be folded out of the key, and null rows would meet again
+    salted = branch.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts_of(dim_key).cast("bigint") - 1)))
+    left = frame.withColumn("__row_salt", salt)
+    joined = left.join(salted, (left[f"`{left_key}`"].cast(as_type) == salted[f"`{key_alias}`"].cast(as_type)) & (left["__row_salt"] == salted["__salt"]), "left")
+    return joined.drop(key_alias, "__salt", "__row_salt")
+
+
 def select_base_table(tables: dict[str, DataFrame], rows: dict[str, int]) -> str:
     def score(name: str):
         schema = tables[name].schema
@@ -58,7 +112,7 @@ def _free_name(name: str, taken: set[str]) -> str:
 def build_model(tables: dict[str, DataFrame], relationships: list[Relationship],
                 stats: dict[str, dict[str, KeyStats]] | None = None,
                 rows: dict[str, int] | None = None,
-                match_flags: bool = False) -> Model:
+                match_flags: bool = False, hot_share: float | None = None) -> Model:
     """Left-join the unique side of each relationship onto the base table.
 
     The walk over the relationships (which tables join, through which
@@ -69,6 +123,9 @@ def build_model(tables: dict[str, DataFrame], relationships: list[Relationship],
     branches once.  The wide base table is thus shuffled at most once per
     direct dimension instead of once per hop, and the result equals the
     sequential left-join chain because every joined key is unique.
+
+    ``hot_share``: a key with this share of a table's rows or more is spread
+    (default: HOT_SHARE where Catalyst takes the base table to be large, else none).
     """
     stats = {k: dict(v) for k, v in (stats or {}).items()}
     rows = dict(rows or {})
@@ -78,6 +135,7 @@ def build_model(tables: dict[str, DataFrame], relationships: list[Relationship],
     base = select_base_table(tables, rows)
     model = Model(frame=tables[base], base_table=base,
                   provenance={(base, c): c for c in tables[base].columns})
+    share = hot_share or (HOT_SHARE if plan_bytes(tables[base]) > KEEP_BYTES else None)
     owner = {c: base for c in tables[base].columns}      # physical column -> table
     order = list(tables[base].columns)                    # sequential column order
     used = {base}
@@ -124,13 +182,11 @@ def build_model(tables: dict[str, DataFrame], relationships: list[Relationship],
         children.setdefault(j["parent"], []).append(j)
 
     def attach(frame: DataFrame, table: str) -> DataFrame:
-        for j in children.get(table, []):
+        mine = children.get(table, [])
+        measured = hot_keys(frame, [j["left_key"] for j in mine], share) if mine and share else {}
+        for j in mine:
             branch, key_alias = build_branch(j)
-            as_type = common_key_type(frame.schema[j["left_key"]].dataType,
-                                      branch.schema[key_alias].dataType)
-            frame = (frame.join(branch, F.col(j["left_key"]).cast(as_type)
-                                == branch[key_alias].cast(as_type), "left")
-                     .drop(key_alias))
+            frame = spread_left_join(frame, branch, j["left_key"], key_alias, measured.get(j["left_key"], {}))
         return frame
 
     def build_branch(j: dict) -> tuple[DataFrame, str]:

@@ -1,11 +1,10 @@
 """Column profiling (PRF-1..7).
 
-Cost model: a profile is a fixed number of passes over the table, whatever
-its width: one aggregate for row/non-null counts, one grouped job for exact
-distinct counts (all columns unpivoted into (column, value) so the distinct
-work is a single partial+final hash aggregate, instead of one Expand
-projection per ``count_distinct``), and the quantile passes plus one
-aggregate for IQR outliers.  Only one row per column returns to the driver.
+Cost model: an exact profile reads its table once, whatever the width: its
+value table (:mod:`quarry.operators.values`) is written, and null counts,
+distinct counts, quartiles and IQR outliers are read off its slices.  The
+approximate one takes a fixed number of sketch passes.  Only sums by slice
+return to the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from quarry.functions.names import normalized_columns, semantic_hint
 from quarry.functions.numeric import aggregate_row, round_half_up
 from quarry.operators import types as ty
 from quarry.operators.quantiles import column_quantiles
+from quarry.operators.values import ValueTable, value_table
 from quarry.session import reused
 
 # Warning threshold and IQR rule of the profile.
@@ -119,70 +119,79 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
 
 
 def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact",
-                 with_bounds: bool = False, quartiles: dict | None = None,
-                 persist="auto", counts: dict | None = None) -> dict:
+                 with_bounds: bool = False, persist="auto") -> dict:
     """Per numeric column: values strictly outside [q1 - 1.5 iqr, q3 + 1.5 iqr].
-    Fewer than 4 values or an IQR of 0 give 0 outliers.  ``quartiles``
-    (column -> (q1, q3)) and ``counts`` (column -> non-null, non-NaN count)
-    may be passed in when already known."""
+    Fewer than 4 values or an IQR of 0 give 0 outliers.  The exact method reads
+    ``df`` once, into a value table; the approximate one takes a sketch pass and
+    a counting pass."""
     if not cols:
         return {}
-    with reused(df.select(*cols), persist) as kept:
-        return _iqr_outliers(kept, cols, method, with_bounds, quartiles, dict(counts or {}))
-
-
-def _iqr_outliers(df, cols, method, with_bounds, quartiles, counts) -> dict:
-    q = quartiles or column_quantiles(df, cols, IQR_PROBS, method=method, counts=counts)
-    if len(counts) < len(cols):  # quartiles were given: count in a pass of its own
-        row = aggregate_row(df, [F.count(ty.no_nan(F.col(c).cast("double"))).alias(f"n{i}")
-                                 for i, c in enumerate(cols)])
-        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    bounds = {}
-    for c in cols:
-        q1, q3 = q[c]
-        n = counts[c]
-        if n < IQR_MIN_VALUES or q1 is None or q3 - q1 == 0:
-            bounds[c] = None
-        else:
-            iqr = q3 - q1
-            bounds[c] = (q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr)
-    live = [c for c in cols if bounds[c] is not None]
-    counts = {}
-    if live:
-        value = {c: ty.no_nan(F.col(c).cast("double")) for c in live}  # NaN is above any bound in Spark
-        row = aggregate_row(df, [F.count(F.when((value[c] < F.lit(bounds[c][0]))
-                                                | (value[c] > F.lit(bounds[c][1])), 1)).alias(f"o{i}")
-                                 for i, c in enumerate(live)])
-        counts = {c: row[f"o{i}"] for i, c in enumerate(live)}
+    if method == "exact":
+        table = value_table(df.select(*[F.col(f"`{c}`") for c in cols]))
+        quartiles = table.quantiles(cols, IQR_PROBS)
+        bounds = {c: _bounds(table.non_null(c), *quartiles[c]) for c in cols}
+        outliers = table.outside({c: b for c, b in bounds.items() if b is not None})
+    elif method == "approx":
+        with reused(df.select(*cols), persist) as kept:
+            counts: dict = {}
+            quartiles = column_quantiles(kept, cols, IQR_PROBS, method=method, counts=counts)
+            bounds = {c: _bounds(counts[c], *quartiles[c]) for c in cols}
+            outliers = _count_outside(kept, {c: b for c, b in bounds.items() if b is not None})
+    else:
+        raise ValueError(f"unknown quantile method {method!r}")
     if not with_bounds:
-        return {c: counts.get(c, 0) for c in cols}
-    return {c: {"q1": q[c][0], "q3": q[c][1], "bounds": bounds[c], "outliers": counts.get(c, 0)}
+        return {c: outliers.get(c, 0) for c in cols}
+    return {c: {"q1": quartiles[c][0], "q3": quartiles[c][1], "bounds": bounds[c], "outliers": outliers.get(c, 0)}
             for c in cols}
 
 
+def _bounds(n: int, q1: float | None, q3: float | None) -> tuple[float, float] | None:
+    if n < IQR_MIN_VALUES or q1 is None or q3 - q1 == 0:
+        return None
+    return q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
+
+
+def table_outliers(table: ValueTable, cols: list[str], quartiles: dict[str, tuple[float | None, float | None]]) -> dict[str, int]:
+    """IQR outliers of each column from a value table and quartiles already known."""
+    bounds = {c: _bounds(table.non_null(c), *quartiles[c]) for c in cols}
+    return dict.fromkeys(cols, 0) | table.outside({c: b for c, b in bounds.items() if b is not None})
+
+
+def _count_outside(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, int]:
+    value = {c: ty.no_nan(F.col(c).cast("double")) for c in bounds}  # NaN is above any bound in Spark
+    row = aggregate_row(df, [F.count(F.when((value[c] < F.lit(lo)) | (value[c] > F.lit(hi)), 1)).alias(f"o{i}")
+                             for i, (c, (lo, hi)) in enumerate(bounds.items())])
+    return {c: row[f"o{i}"] for i, c in enumerate(bounds)}
+
+
 def profile(df: DataFrame, approx: bool = False, persist="auto") -> TableProfile:
     """Profile every column of ``df`` (already typed, e.g. by ``coerce``).
 
-    ``approx=True`` swaps exact distinct counts and quantiles for HLL and
-    quantile sketches: one pass each, fixed memory, for very large tables.
-    ``persist=True`` keeps a derived ``df`` (e.g. a join) for the passes;
-    the default keeps it only when it is small (see ``session.reused``).
+    The exact profile reads ``df`` once.  ``approx=True`` swaps exact distinct
+    counts and quantiles for HLL and quantile sketches: one pass each, fixed
+    memory, for very large tables; ``persist=True`` keeps a derived ``df`` (e.g.
+    a join) for these passes, the default only when it is small (see
+    ``session.reused``).
     """
+    numeric = [f.name for f in df.schema.fields if ty.type_of_field(f) == ty.NUMERIC]
+    if not approx:
+        table = value_table(df)
+        quartiles = table.quantiles(numeric, IQR_PROBS)
+        nulls = {c: table.rows - table.non_null(c) for c in df.columns}
+        distinct = {f.name: table.distinct(f.name) for f in df.schema.fields if ty.type_of_field(f) != ty.NESTED}
+        return _described(df, table.rows, nulls, distinct, table_outliers(table, numeric, quartiles))
     with reused(df, persist) as kept:
-        return _profile(kept, approx)
+        rows, nulls = null_counts(kept)
+        return _described(kept, rows, nulls, distinct_counts(kept, approx=True), iqr_outliers(kept, numeric, method="approx"))
 
 
-def _profile(df: DataFrame, approx: bool) -> TableProfile:
-    numeric = [f.name for f in df.schema.fields if ty.type_of_field(f) == ty.NUMERIC]
-    rows, nulls = null_counts(df)
-    distinct = distinct_counts(df, approx=approx)
+def _described(df: DataFrame, rows: int, nulls: dict, distinct: dict, outliers: dict) -> TableProfile:
     kinds = {}
     for f in df.schema.fields:
         kind = ty.type_of_field(f)
         if kind is None:  # plain string column
             kind = ty.string_kind(distinct.get(f.name, 0), rows - nulls[f.name])
         kinds[f.name] = kind
-    outliers = iqr_outliers(df, numeric, method="approx" if approx else "exact")
     cols = [ColumnProfile(
         column=f.name, type=kinds[f.name], spark_type=f.dataType.simpleString(),
         null_count=nulls[f.name], null_ratio=round_half_up(nulls[f.name] / max(rows, 1), 4),

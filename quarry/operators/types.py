@@ -26,8 +26,9 @@ NUMERIC, DATETIME, BOOLEAN, CATEGORICAL, TEXT, NESTED = (
 PARSE_SHARE = 0.9          # share of non-nulls that must parse
 CATEGORICAL_MIN_LEVELS = 20
 CATEGORICAL_SHARE = 0.1
-# relative standard deviation of HLL distinct counts in approximate mode
+# relative standard deviation of HLL distinct counts, and how many of them an estimate is trusted to
 APPROX_RSD = 0.01
+SURE = 5
 
 # Timestamp patterns tried besides ISO-8601 (which ``try_cast`` covers).
 DATE_PATTERNS = ("MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm",
@@ -115,8 +116,9 @@ def infer_types(df: DataFrame, patterns: tuple[str, ...] = DATE_PATTERNS,
 
     Pass 1 is one aggregate of cheap counts for every string column
     (non-null, numeric, whole, boolean, ISO timestamp).  Pass 2 runs only for
-    the columns still undecided: the other date patterns and the exact (or
-    HLL) distinct count, the latter as one grouped job over all of them.
+    the columns still undecided: the other date patterns, and distinct counts by
+    sketches, made exact where a sketch cannot settle the categorical rule
+    (with ``approx`` nowhere).
     """
     with reused(df, "auto") as kept:
         return _infer_types(kept, tuple(patterns), approx)
@@ -164,7 +166,7 @@ def _infer_types(df: DataFrame, patterns: tuple[str, ...], approx: bool) -> list
         second = aggregate_row(df, [
             F.count(_parse_ts(blank_to_null(c), p)).alias(f"t{idx[c]}_{k + 1}")
             for c in undecided for k, p in enumerate(patterns)]) if patterns else {}
-        distinct = _string_distinct(df, undecided, approx)
+        distinct = _string_distinct(df, undecided, approx, {c: first[f"n{idx[c]}"] for c in undecided})
         for c in undecided:
             i, n = idx[c], first[f"n{idx[c]}"]
             hits = [(first[f"t{i}_0"], 0, ISO)] + [
@@ -177,18 +179,24 @@ def _infer_types(df: DataFrame, patterns: tuple[str, ...], approx: bool) -> list
     return [decided[f.name] for f in fields]
 
 
-def _string_distinct(df: DataFrame, cols: list[str], approx: bool) -> dict[str, int]:
-    """Distinct non-blank values per column: one grouped job for all of
-    them (the partial aggregate dedups before the shuffle)."""
-    if approx:
-        return aggregate_row(df, [F.approx_count_distinct(blank_to_null(c), rsd=APPROX_RSD).alias(c)
-                                  for c in cols])
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), blank_to_null(c).alias("v")) for i, c in enumerate(cols)
-    ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
-    found = {r["k"]: r["u"] for r in pairs.distinct().groupBy("k")
-             .agg(F.count(F.lit(1)).alias("u")).collect()}
-    return {c: found.get(i, 0) for i, c in enumerate(cols)}
+def _string_distinct(df: DataFrame, cols: list[str], approx: bool, non_null: dict[str, int] | None = None) -> dict[str, int]:
+    """Distinct non-blank values per column, as exact as the categorical rule needs.
+
+    One scan of sketches; only columns whose estimate is within its error of
+    the rule's limit are counted exactly, in one grouped job (the partial
+    aggregate dedups before the shuffle).  An id-like column is never shuffled.
+    """
+    estimate = aggregate_row(df, [F.approx_count_distinct(blank_to_null(c), rsd=APPROX_RSD).alias(f"u{i}") for i, c in enumerate(cols)])
+    found = {c: estimate[f"u{i}"] for i, c in enumerate(cols)}
+    close = [] if approx else [c for c in cols if abs(found[c] - categorical_limit((non_null or {}).get(c, 0))) <= SURE * APPROX_RSD * found[c] + 1]
+    if close:
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("k"), blank_to_null(c).alias("v")) for i, c in enumerate(close)
+        ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
+        exact = {r["k"]: r["u"] for r in pairs.distinct().groupBy("k")
+                 .agg(F.count(F.lit(1)).alias("u")).collect()}
+        found |= {c: exact.get(i, 0) for i, c in enumerate(close)}
+    return found
 
 
 def _coerced(name: str, ctype: ColumnType) -> Column:

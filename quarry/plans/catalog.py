@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.exact import exact_sum
 from quarry.operators import answers, audit, charts, measures, profile, summary
 from quarry.operators import types as ty
 from quarry.operators.model import build_model
@@ -88,6 +89,17 @@ def csv_roundtrip(spark, sf):
                         "o_orderpriority")
 
 
+@query
+def csv_parts(spark, sf):
+    """SRC-1: orders in part files whose headers differ in their order of columns (and one column that a part lacks)."""
+    path = scratch_path(spark, "orders-parts") + ".csv"
+    orders = tables.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    for i, cols in enumerate((orders.columns, orders.columns[::-1], orders.columns[1:] + orders.columns[:1], [c for c in orders.columns if c != "o_orderstatus"])):
+        orders.where(F.col("o_orderkey") % 4 == i).select(*cols).write.mode("append").option("header", True).csv(path)
+    typed, _ = ty.infer_and_coerce(tables.read_dataset(spark, path))
+    return typed.select(*orders.columns)
+
+
 @query
 def table_counts(spark, sf):
     """SRC-2: named table set and row count per table."""
@@ -238,7 +250,15 @@ def table_profile(spark, sf):
 @query
 def model_profile(spark, sf):
     """PRF-6: profile of the sales analysis table with its measures."""
-    return profile.profile(sales(spark, sf), persist=True).to_frame(spark)
+    return profile.profile(sales(spark, sf)).to_frame(spark)
+
+
+@query
+def profile_increment(spark, sf):
+    """PRF-5: a profile of orders taken further to a column that came later."""
+    orders = tables.read_table(spark, sf, "orders")
+    known = profile.profile(orders)
+    return profile.profile_new_columns(orders.withColumn("o_total_thousands", F.col("o_totalprice") / 1000), known).to_frame(spark)
 
 
 @query
@@ -292,6 +312,13 @@ def relationships(spark, sf):
     return relationships_frame(spark, rels)
 
 
+@query
+def relationships_screened(spark, sf):
+    """JON-3: the same relationships, pairs that theta sketches rule out not counted."""
+    rels, _ = infer_relationships(views.v_star(spark, sf), screen=True)
+    return relationships_frame(spark, rels)
+
+
 @query
 def star_join(spark, sf):
     """JON-4: star-join model; rows and revenue per region name."""
@@ -299,14 +326,14 @@ def star_join(spark, sf):
     region = model.provenance[("region", "name")]
     return (model.frame.groupBy(F.col(region).alias("region"))
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.round(F.sum("extendedprice"), 4).alias("revenue")))
+                 F.round(exact_sum(F.col("extendedprice")), 4).alias("revenue")))
 
 
 # ---------------------------------------------------------------- measures
 
 def _by_category(df, measure, digits):
     return df.groupBy("category").agg(
-        F.round(F.sum(measure), digits).alias(f"{measure}_sum"),
+        F.round(exact_sum(F.col(measure)), digits).alias(f"{measure}_sum"),
         F.count(measure).alias("n"))
 
 
@@ -361,6 +388,21 @@ def m_formula(spark, sf):
     return _by_category(df, "profit_per_sq_unit", 4)
 
 
+FORMULAS = [{"name": "profit", "formula": "revenue - cost"}, {"name": "ratio", "formula": "(revenue - cost) / quantity"},
+            {"name": "Revenue", "formula": "cost * 2"}, {"name": "bad_name", "formula": "revenue - unknown"}, {"name": "call", "formula": "abs(revenue)"},
+            {"name": "deep", "formula": "-(revenue / (quantity * quantity)) + 1.5"}, {"name": "text", "formula": "category + 1"}]
+
+
+@query
+def formula_statuses(spark, sf):
+    """MSR-8: several formulas, some of which are not allowed: the status of each that is, and its total."""
+    df, status = measures.add_formulas(views.v_sales(spark, sf, ["category", "revenue", "cost", "quantity"]), FORMULAS)
+    made = [s["name"] for s in status if s["status"] == "created"]
+    totals = df.agg(*[F.round(exact_sum(F.col(m)), 4).alias(m) for m in made]).unpivot([], made, "name", "total")
+    named = spark.createDataFrame([(s["name"], s["formula"], s["status"]) for s in status], "measure string, formula string, status string")
+    return named.join(totals, F.col("measure") == F.col("name"), "left").select("measure", "formula", "status", "total")
+
+
 # ---------------------------------------------------------------- summaries
 
 @query
@@ -373,6 +415,18 @@ def category_topk(spark, sf):
     return summary.category_topk(views.v_sales(spark, sf))
 
 
+@query
+def category_topk_candidates(spark, sf):
+    """AGG-2 by frequent-items sketches and an exact recount of their candidates."""
+    return summary.category_topk(views.v_sales(spark, sf), method="candidates")
+
+
+@query
+def corr_infinities(spark, sf):
+    """AGG-3 over amounts with an infinity among them, and nulls."""
+    return summary.correlations(views.v_infinite(spark, sf))
+
+
 @query
 def correlation_matrix(spark, sf):
     return summary.correlations(tables.read_table(spark, sf, "lineitem"))
@@ -427,6 +481,26 @@ def histogram_bins(spark, sf):
     return h.select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
 
 
+@query
+def scatter_sample(spark, sf):
+    """CHT-5: the raw points that a hash of their key selects."""
+    return charts.scatter_sample(tables.read_table(spark, sf, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], 2000)
+
+
+@query
+def histogram_infinities(spark, sf):
+    """CHT-6 over amounts with infinities: only finite values have a bin."""
+    h = charts.histogram(views.v_infinite(spark, sf), "price")
+    return h.select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
+
+
+@query
+def density_infinities(spark, sf):
+    """CHT-7 over continuous amounts with infinities."""
+    d = charts.density(views.v_infinite(spark, sf), "price")
+    return d.select("point", F.round("x", 6).alias("x"), F.round("density", 10).alias("density"))
+
+
 @query
 def density_curve(spark, sf):
     d = charts.density(tables.read_table(spark, sf, "lineitem"), "l_discount")
@@ -507,6 +581,20 @@ def chart_bundle(spark, sf):
     return chart_plan.chart_bundle(df, ms, persist=True)
 
 
+USER_CHARTS = [{"chart_type": "pie", "x": "category", "y": "revenue"}, {"chart_type": "bar", "x": "category", "y": "no_such_column"},
+               {"chart_type": "Bar", "x": "payment_method", "y": "revenue", "aggregation": "SUM", "story_role": "driver"},
+               {"chart_type": "bar", "x": "payment_method", "y": "revenue", "aggregation": "sum", "story_role": "again"},
+               {"chart_type": "line", "x": "ship_date", "y": "revenue", "story_role": "trend"}, {"chart_type": "heatmap", "columns": ["revenue", "nothing"]},
+               {"chart_type": "bar", "x": "brand", "y": "cost", "aggregation": "mean", "story_role": "efficiency"}]
+
+
+@query
+def chart_specs(spark, sf):
+    """CHT-9: charts that a user proposes, as far as they can be drawn."""
+    df = views.v_sales(spark, sf, ["category", "brand", "payment_method", "ship_date", "revenue", "cost"])
+    return chart_plan.chart_bundle(df, [], specs=chart_plan.validate_specs(df, USER_CHARTS), persist=True)
+
+
 @query
 def csv_to_charts(spark, sf):
     """The whole path: the sales view as a CSV file, read, cleaned, typed, modelled, measured and charted."""
@@ -534,6 +622,20 @@ def ans_trend_change(spark, sf):
                                 "revenue")
 
 
+@query
+def trend_seconds(spark, sf):
+    """ANS-3 at the grain of seconds: a long series, in ranges of time."""
+    return answers.trend_change(tables.read_table(spark, sf, "events"), "ts", "value", grain="second")
+
+
+@query
+def answers_by_roles(spark, sf):
+    """ANS: which answers the roles of orders joined with customer allow, and the rows of each."""
+    star = views.v_star(spark, sf)
+    semantic = analysis.build_semantic_model({t: star[t] for t in ("orders", "customer")}, prepared=True)
+    return spark.createDataFrame([(name, job().count()) for name, job in analysis.applicable_answers(semantic).items()], "answer string, n long")
+
+
 @query
 def ans_top_profit(spark, sf):
     return answers.top_contributor(sales(spark, sf, needs("category", "gross_profit")), "category",

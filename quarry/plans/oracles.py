@@ -7,7 +7,7 @@ generated from the fixed schemas below.
 
 from __future__ import annotations
 
-from quarry.plans.views import V_DIRTY_SQL, V_INVENTORY_SQL, V_RATING_SQL, V_SALES_SQL
+from quarry.plans.views import V_DIRTY_SQL, V_INFINITE_SQL, V_INVENTORY_SQL, V_RATING_SQL, V_SALES_SQL
 
 # Schemas of the fixture tables and views the oracles use.
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -254,6 +254,21 @@ SALES_CHART_NUMERIC = ["quantity", "unit_price", "revenue", "cost", "price", "st
                        "gross_profit", "gross_margin_pct"]
 
 
+def corr_infinities_sql() -> str:
+    """Pairs without the infinite column as ever; the others, and that column itself, NULL."""
+    cols, finite = ["quantity", "price", "discount", "tax"], ["quantity", "discount", "tax"]
+    known = f"SELECT \"left\", \"right\", r FROM ({corr_matrix_sql(f'({V_INFINITE_SQL})', finite)})"
+    none = " UNION ALL ".join(f"SELECT {lit(a)}, {lit(b)}, NULL::DOUBLE" for a in cols for b in cols if "price" in (a, b))
+    return f"{known} UNION ALL {none}"
+
+
+#: the finite prices, and histogram and density over them
+FINITE = f"(SELECT price FROM ({V_INFINITE_SQL}) i WHERE NOT isinf(price))"
+HIST_INFINITE = HIST.replace(f"CAST(revenue AS DOUBLE) AS v FROM {SALES} s WHERE revenue IS NOT NULL", f"price AS v FROM {FINITE} s")
+DENSITY_INFINITE = (DENSITY.replace("CAST(l_discount AS DOUBLE) AS v FROM lineitem WHERE l_discount IS NOT NULL", f"price AS v FROM {FINITE} s")
+                    .replace("sqrt(2 * pi())), 6) AS density", "sqrt(2 * pi())), 10) AS density"))
+
+
 def iqr_sql() -> str:
     parts = []
     for table, cols in (("lineitem", LINEITEM_NUMERIC), ("events", EVENTS_NUMERIC)):
@@ -336,6 +351,8 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "csv_roundtrip": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
   strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""",
+        "csv_parts": """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderstatus END AS o_orderstatus,
+  o_totalprice, o_orderpriority FROM orders""",
         "table_counts": "\nUNION ALL\n".join(
             f"SELECT {lit(t)} AS table_name, count(*) AS row_count FROM {t}" for t in ALL_TABLES),
         "scan_stats": """SELECT count(*) AS total_rows, CAST(least(count(*), 50000) AS BIGINT) AS sample_rows,
@@ -368,6 +385,8 @@ def oracle_sql() -> dict[str, str]:
         "iqr_outliers": iqr_sql(),
         "table_profile": profile_sql("orders", ORDERS_COLS),
         "model_profile": profile_sql(SALES_M, SALES_M_COLS),
+        "profile_increment": profile_sql("(SELECT *, o_totalprice / 1000 AS o_total_thousands FROM orders)",
+                                         ORDERS_COLS + [("o_total_thousands", "double")]),
         "combined_profile": star_counts_sql(),
         "manifest": manifest_sql(),
         "key_uniqueness": "\nUNION ALL\n".join(
@@ -382,6 +401,7 @@ FROM (SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders WHERE o_custk
      (SELECT count(DISTINCT o_custkey) AS left_distinct FROM orders) l,
      (SELECT count(DISTINCT c_custkey) AS right_distinct FROM customer) r""",
         "relationships": relationships_sql(),
+        "relationships_screened": relationships_sql(),
         "star_join": f"""SELECT region, count(*) AS n, round(sum(extendedprice), 4) AS revenue
   FROM {STAR_JOIN} j GROUP BY region""",
         "m_gross_profit": by_category("gross_profit", "gross_profit", 4),
@@ -393,8 +413,14 @@ FROM (SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders WHERE o_custk
         "m_revenue_per_customer": f"""SELECT customer_id, round(sum(revenue), 4) AS revenue,
   count(*) AS records FROM {SALES} s GROUP BY customer_id""",
         "m_formula": by_category("(revenue - cost) / nullif(pow(quantity, 2), 0)", "profit_per_sq_unit", 4),
+        "formula_statuses": "\nUNION ALL\n".join(
+            f"SELECT {lit(n)} AS measure, {lit(f)} AS formula, 'created' AS status, round(sum({x}), 4) AS total FROM {SALES} s"
+            for n, f, x in (("profit", "revenue - cost", "revenue - cost"), ("ratio", "(revenue - cost) / quantity", "(revenue - cost) / nullif(quantity, 0)"),
+                            ("deep", "-(revenue / (quantity * quantity)) + 1.5", "-(revenue / nullif(quantity * quantity, 0)) + 1.5"))),
         "numeric_summary": summary_sql("lineitem", LINEITEM_NUMERIC),
         "category_topk": topk_sql(SALES, SALES_STRINGS, 8),
+        "category_topk_candidates": topk_sql(SALES, SALES_STRINGS, 8),
+        "corr_infinities": corr_infinities_sql(),
         "correlation_matrix": f"SELECT \"left\", \"right\", r FROM ({corr_matrix_sql('lineitem', LINEITEM_NUMERIC)})",
         "strongest_correlation": f"""SELECT "left", "right", r FROM ({corr_matrix_sql('lineitem', LINEITEM_NUMERIC)}) m
   WHERE li <> ri AND r IS NOT NULL ORDER BY abs(r) DESC, li, ri LIMIT 1""",
@@ -405,6 +431,11 @@ FROM (SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders WHERE o_custk
         "line_trend_month": f"""SELECT strftime(date_trunc('month', ship_date), '%Y-%m-%d') AS x,
   {sum2('revenue')} AS y FROM {SALES} s GROUP BY date_trunc('month', ship_date)""",
         "scatter_grid": SCATTER,
+        "scatter_sample": """SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS y FROM orders
+  WHERE (SELECT count(*) FROM orders) <= 2000
+     OR ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 12))::BIGINT < (SELECT (2000 * 281474976710656::HUGEINT // count(*))::BIGINT FROM orders)""",
+        "histogram_infinities": HIST_INFINITE,
+        "density_infinities": DENSITY_INFINITE,
         "histogram_bins": HIST,
         "density_curve": DENSITY,
         "heatmap_corr": f"SELECT \"left\", \"right\", r FROM ({corr_matrix_sql(SALES_M, SALES_CHART_NUMERIC)})",
@@ -429,6 +460,16 @@ FROM {SALES} s GROUP BY category""",
   round((value - lag(value) OVER (ORDER BY t)) / nullif(lag(value) OVER (ORDER BY t), 0), 4) AS pct_change
 FROM (SELECT date_trunc('month', ship_date) AS t, {sum2('revenue')} AS value FROM {SALES} s
       WHERE ship_date IS NOT NULL GROUP BY 1)""",
+        "trend_seconds": """SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS period, value,
+  lag(value) OVER (ORDER BY t) AS previous, round(value - lag(value) OVER (ORDER BY t), 4) AS change,
+  round((value - lag(value) OVER (ORDER BY t)) / nullif(lag(value) OVER (ORDER BY t), 0), 4) AS pct_change
+FROM (SELECT date_trunc('second', ts) AS t, round(coalesce(sum(value), 0), 4) AS value FROM events
+      WHERE ts IS NOT NULL GROUP BY 1)""",
+        "answers_by_roles": """SELECT 'ranges_outliers' AS answer, 5::BIGINT AS n
+UNION ALL SELECT 'by_category', count(*) FROM (SELECT DISTINCT o_orderstatus FROM orders)
+UNION ALL SELECT 'strongest_correlation', count(*) FROM (SELECT 1 FROM orders LIMIT 1)
+UNION ALL SELECT 'trend_change', count(DISTINCT date_trunc('month', o_orderdate)) FROM orders
+UNION ALL SELECT 'join_coverage', count(*) FROM (SELECT 1 FROM customer LIMIT 1)""",
         "ans_top_profit": f"""SELECT subject, round(total, 4) AS value, round(total / (SELECT sum(gross_profit) FROM {SALES_M} a), 4) AS share
 FROM (SELECT CAST(category AS VARCHAR) AS subject, sum(gross_profit) AS total FROM {SALES_M} t GROUP BY category)
 ORDER BY total DESC NULLS LAST, subject ASC NULLS FIRST LIMIT 1""",
@@ -495,4 +536,11 @@ FROM la FULL OUTER JOIN lb ON la.key = lb.key AND la.kpi = lb.kpi""",
         f"{lit(y)} AS y_column, {lit(agg)} AS aggregation, label, value FROM ({sql})"
         for i, t, role, x, y, agg, sql in bundle)
     out["csv_to_charts"] = out["chart_bundle"]
+    drawn = [("line", "trend", "ship_date", "revenue", "sum", preset_line("ship_date", "revenue")),
+             ("bar", "driver", "payment_method", "revenue", "sum", preset_bar("payment_method", "revenue", "sum")),
+             ("bar", "efficiency", "brand", "cost", "mean", preset_bar("brand", "cost", "mean"))]
+    out["chart_specs"] = "\nUNION ALL\n".join(
+        f"SELECT {i} AS chart_id, {lit(t)} AS chart_type, {lit(role)} AS role, {lit(x)} AS x_column, "
+        f"{lit(y)} AS y_column, {lit(agg)} AS aggregation, label, value FROM ({sql})"
+        for i, (t, role, x, y, agg, sql) in enumerate(drawn, 1))
     return out

@@ -79,6 +79,16 @@ def v_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         "props")
 
 
+def v_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` amounts with an infinity and nulls injected (the fixtures have none)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_quantity").alias("quantity"),
+        F.when(F.col("l_orderkey") % 997 == 0, F.lit(float("inf"))).otherwise(F.col("l_extendedprice")).alias("price"),
+        F.when(F.col("l_linenumber") != 1, F.col("l_discount")).alias("discount"),
+        F.col("l_tax").alias("tax"))
+
+
 def v_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -124,6 +134,11 @@ SELECT event_id, ts, user_id, nullif(event_type, 'error') AS event_type,
 FROM events
 """
 
+V_INFINITE_SQL = """
+SELECT l_quantity AS quantity, CASE WHEN l_orderkey % 997 = 0 THEN 'inf'::DOUBLE ELSE l_extendedprice END AS price,
+       CASE WHEN l_linenumber <> 1 THEN l_discount END AS discount, l_tax AS tax FROM lineitem
+"""
+
 V_RATING_SQL = """
 SELECT d.doc_id, d.lang AS category, lb.quality AS rating
 FROM documents d JOIN labels lb ON lb.doc_id = d.doc_id

@@ -86,7 +86,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _plan_bytes(df: DataFrame) -> int:
+def plan_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate of ``df`` (upper end for joins)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
@@ -106,7 +106,7 @@ def reused(df: DataFrame, enabled: bool | str = True):
         yield df
     elif enabled != "auto":
         yield stored(df, "reused")
-    elif df.storageLevel.useMemory or _plan_bytes(df) > KEEP_BYTES:
+    elif df.storageLevel.useMemory or plan_bytes(df) > KEEP_BYTES:
         yield df
     else:
         kept = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_ONLY)
