@@ -104,46 +104,58 @@ class Aligner:
     def __init__(self, ranks_path: str, pattern: str, model_path: str):
         self.a = Encoder(ranks_path, pattern)
         self.b = Pieces(model_path)
-        words = self.a.words
-        self.a_bytes = words
-        self.a_sizes = np.array([len(w) for w in words], dtype=np.int64)
-        self.a_names, self.b_names = [str(i) for i in range(len(words))], [str(i) for i in range(len(self.b.bytes))]
+        self.a_sizes = np.array([len(w) for w in self.a.words], dtype=np.int64)
+        # a token's id in the list of groups, and what follows it there: within its group, then at the end of its side
+        sides = [(len(self.a_sizes), ",|"), (len(self.b.bytes), ",;")]
+        self.names = [f"{i}{mark}" for n, marks in sides for mark in marks for i in range(n)]
 
     def tokens(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of A for a blank and the text, and of B for the text; none if the bytes of either are not these."""
         none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         if not text:
             return none
-        whole = b" " + text
-        plain = text.decode(errors="replace")
-        a = np.frombuffer(self.a.encode(" " + plain), dtype=f"<u{self.a.width}").astype(np.int64)
+        try:
+            plain = text.decode()
+        except UnicodeDecodeError:
+            return none
         b = self.b.encode(plain)
-        if b"".join(map(self.b.bytes.__getitem__, b)) != whole or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole:
+        if b"".join(map(self.b.bytes.__getitem__, b)) != b" " + text:
             return none
+        a = np.frombuffer(self.a.encode(" " + plain), dtype=f"<u{self.a.width}").astype(np.int64)
+        # a byte-level vocabulary has every byte: its tokens always join to the text
         return a, np.array(b, dtype=np.int64)
 
-    def aligned(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, int, int, str, np.ndarray]]:
-        """For each text: tokens of A and of B, groups, overlap links, links within groups, the groups' digest, and the links' id pairs."""
+    def aligned(self, texts: list[bytes | None]) -> Iterator[tuple]:
+        """For each text: tokens of A and of B, groups, overlap links, links within groups, the groups' digest, its different linked id pairs and how often each."""
         both = [self.tokens(t) for t in texts]
         a, b = (np.concatenate([x[i] for x in both]) for i in (0, 1))
         a_size, b_size = self.a_sizes[a], self.b.sizes[b]
         row, column, _ = Incidence.of_spans(a_size).times(Incidence.of_spans(b_size).transposed())
-        pairs = a[row] * len(self.b.bytes) + b[column]
-        ends = np.intersect1d(np.cumsum(a_size), np.cumsum(b_size), assume_unique=True)
-        a_group = np.searchsorted(ends, np.cumsum(a_size))
-        b_group = np.searchsorted(ends, np.cumsum(b_size))
+        a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
+        ends = np.intersect1d(a_end, b_end, assume_unique=True)
+        a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
         shared = Incidence.of_owners(a_group, len(ends)).sizes_of_product(Incidence.of_owners(b_group, len(ends)).transposed())
+        # the last token of each side of a group, and its place among both sides' tokens, group by group
+        a_last, b_last = np.diff(a_group, append=len(ends)) > 0, np.diff(b_group, append=len(ends)) > 0
+        a_upto, b_upto = (np.concatenate([[0], np.flatnonzero(last) + 1]) for last in (a_last, b_last))
+        listed = np.empty(len(a) + len(b), dtype=np.int64)
+        listed[np.arange(len(a)) + b_upto[a_group]] = a + len(self.a_sizes) * a_last
+        listed[np.arange(len(b)) + a_upto[b_group + 1]] = b + 2 * len(self.a_sizes) + len(self.b.bytes) * b_last
+        names = list(map(self.names.__getitem__, listed.tolist()))
         # tokens, links and groups of each text, which all lie in the order of the texts
         a_at, b_at = (np.concatenate([[0], np.cumsum([len(x[i]) for x in both])]) for i in (0, 1))
-        link_at = np.searchsorted(row, a_at)
-        group_at = np.searchsorted(a_group, a_at) if not len(a_group) else np.concatenate([[0], np.where(a_at[1:] > 0, a_group[np.maximum(a_at[1:], 1) - 1] + 1, 0)])
-        a_cut, b_cut = np.concatenate([[0], np.searchsorted(a_group, np.arange(len(ends)), side="right")]).tolist(), np.concatenate([[0], np.searchsorted(b_group, np.arange(len(ends)), side="right")]).tolist()
-        a_name, b_name = list(map(self.a_names.__getitem__, a.tolist())), list(map(self.b_names.__getitem__, b.tolist()))
+        link_at, group_at = np.searchsorted(row, a_at), np.searchsorted(a_upto, a_at)
+        within = np.concatenate([[0], np.cumsum(shared)])[a_at]
+        # different pairs of all texts at once: the text's number is in front of the pair
+        n_pairs = np.int64(len(self.a_sizes) * len(self.b.bytes))
+        owner = np.repeat(np.arange(len(texts)), np.diff(link_at))
+        keys, times = np.unique(owner * n_pairs + a[row] * len(self.b.bytes) + b[column], return_counts=True)
+        key_at = np.searchsorted(keys, np.arange(len(texts) + 1) * n_pairs)
         for i in range(len(texts)):
-            groups = range(group_at[i], group_at[i + 1])
-            listed = ";".join([f"{','.join(a_name[a_cut[g]:a_cut[g + 1]])}|{','.join(b_name[b_cut[g]:b_cut[g + 1]])}" for g in groups])
-            yield (int(a_at[i + 1] - a_at[i]), int(b_at[i + 1] - b_at[i]), len(groups), int(link_at[i + 1] - link_at[i]), int(shared[a_at[i]:a_at[i + 1]].sum()),
-                   hashlib.sha256(listed.encode()).hexdigest() if listed else "", pairs[link_at[i]:link_at[i + 1]])
+            text = "".join(names[a_at[i] + b_at[i]:a_at[i + 1] + b_at[i + 1]])[:-1]
+            found = slice(key_at[i], key_at[i + 1])
+            yield (int(a_at[i + 1] - a_at[i]), int(b_at[i + 1] - b_at[i]), int(group_at[i + 1] - group_at[i]), int(link_at[i + 1] - link_at[i]), int(within[i + 1] - within[i]),
+                   hashlib.sha256(text.encode()).hexdigest() if text else "", keys[found] - i * n_pairs, times[found])
 
 
 COLUMNS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_group_links", pa.int64()), ("groups_sha256", pa.string())]
@@ -165,8 +177,7 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, id_
                     held += len(texts[-1] or b"")
                     high += 1
                 out: list[list] = [[] for _ in range(len(COLUMNS) + 2)]
-                for *numbers, pairs in aligner.aligned(texts):
-                    different, times = np.unique(pairs, return_counts=True)
+                for *numbers, different, times in aligner.aligned(texts):
                     for column, value in zip(out, (*numbers, different.astype("<u8").tobytes(), times.astype("<u4").tobytes())):
                         column.append(value)
                 kinds = [*[k for _, k in COLUMNS], pa.binary(), pa.binary()]
