@@ -31,52 +31,32 @@ class FormulaError(ValueError):
     pass
 
 
-def formula_names(formula: str) -> set[str]:
-    """Column names used by an allowed formula; empty set if not allowed."""
+def compile_formula(formula: str) -> tuple[Column, frozenset[str]]:
+    """An allowed formula as a ``Column``, and the columns it uses; FormulaError
+    for any other text, and for one without a column.  A result that is no
+    finite number is NULL."""
+    used: set[str] = set()
+
+    def build(node: ast.expr) -> Column:
+        match node:
+            case ast.Name(id=name):
+                used.add(name)
+                return F.col(name).cast("double")
+            case ast.Constant(value=int() | float() as number) if number is not True and number is not False:
+                return F.lit(float(number))
+            case ast.UnaryOp(op=ast.USub(), operand=inner):
+                return -build(inner)
+            case ast.BinOp(left=left, op=op, right=right) if type(op) in _BINARY:
+                return _BINARY[type(op)](build(left), build(right))
+        raise FormulaError(f"not allowed in a formula: {ast.unparse(node)}")
+
     try:
-        tree = ast.parse(formula, mode="eval")
-    except SyntaxError:
-        return set()
-    names: set[str] = set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Name):
-            names.add(node.id)
-        elif isinstance(node, ast.Constant):
-            if isinstance(node.value, bool) or not isinstance(node.value, (int, float)):
-                return set()
-        elif isinstance(node, ast.BinOp):
-            if type(node.op) not in _BINARY:
-                return set()
-        elif isinstance(node, ast.UnaryOp):
-            if not isinstance(node.op, ast.USub):
-                return set()
-        elif not isinstance(node, (ast.Expression, ast.Load) + tuple(_BINARY)) \
-                and not isinstance(node, ast.USub):
-            return set()
-    return names
-
-
-def compile_formula(formula: str) -> Column:
-    """Translate an allowed formula into a ``Column``; raises FormulaError.
-    A result that is no finite number is NULL."""
-    if not formula_names(formula):
-        raise FormulaError(f"formula not allowed: {formula!r}")
-
-    def build(node: ast.AST) -> Column:
-        if isinstance(node, ast.Expression):
-            return build(node.body)
-        if isinstance(node, ast.Name):
-            return F.col(node.id).cast("double")
-        if isinstance(node, ast.Constant):
-            return F.lit(float(node.value))
-        if isinstance(node, ast.UnaryOp):
-            return -build(node.operand)
-        if isinstance(node, ast.BinOp):
-            return _BINARY[type(node.op)](build(node.left), build(node.right))
-        raise FormulaError(f"unsupported syntax: {ast.dump(node)}")
-
-    value = build(ast.parse(formula, mode="eval"))
-    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+        value = build(ast.parse(formula, mode="eval").body)
+    except (SyntaxError, RecursionError, OverflowError) as bad:
+        raise FormulaError(f"no formula: {formula!r}") from bad
+    if not used:
+        raise FormulaError(f"a formula without a column: {formula!r}")
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value), frozenset(used)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -88,8 +68,11 @@ def _requests(df: DataFrame, measures: list[dict]) -> Iterator[tuple[str, str, s
     allowed = set(numeric_columns(df))
     for request in measures:
         name, formula, text = (str(request.get(k, "")) for k in ("name", "formula", "description"))
-        columns = formula_names(formula)
-        if name.strip() and columns and columns <= allowed:
+        try:
+            usable = compile_formula(formula)[1] <= allowed
+        except FormulaError:
+            continue
+        if name.strip() and usable:
             yield name.strip(), formula, text.strip()
 
 
@@ -111,7 +94,7 @@ def add_formula_measures(df: DataFrame, measures: list[dict]) -> tuple[DataFrame
             continue
         status = {"name": name, "formula": formula, "description": text, "status": "created"}
         try:
-            wider = df.withColumn(name, compile_formula(formula))
+            wider = df.withColumn(name, compile_formula(formula)[0])
             wider.schema  # resolves now, so that a bad reference fails here
         except (AnalysisException, FormulaError):
             status["status"] = "formula_execution_failed"

@@ -41,28 +41,21 @@ def dataset_name(path: str) -> str:
     return normalize_name(stem, empty="dataset")
 
 
-# Name patterns that must match the reference's rules.
-MONETARY_TOKENS = ("revenue", "sales", "amount", "price", "cost", "profit")
-CUSTOMER_TOKENS = ("customer", "client", "account")
-GEOGRAPHIC_TOKENS = ("region", "country", "city", "state")
-HINT_MONETARY = "Likely monetary value. Confirm currency with the user."
-HINT_DATE = "Likely date/time field."
-HINT_CUSTOMER = "Likely customer/account identifier or segment."
-HINT_GEOGRAPHIC = "Likely geographic dimension."
+# The hints on a column's meaning, with the parts of a name and
+# the ending that call for each; the first that fits holds.
+HINTS = (
+    ("Likely monetary value. Confirm currency with the user.", ("revenue", "sales", "amount", "price", "cost", "profit"), None),
+    ("Likely date/time field.", ("date",), "_at"),
+    ("Likely customer/account identifier or segment.", ("customer", "client", "account"), None),
+    ("Likely geographic dimension.", ("region", "country", "city", "state"), None),
+)
 
 
 def semantic_hint(column: str) -> str | None:
-    """Hint from the column name; first matching rule wins."""
+    """Hint from the column name."""
     name = column.lower()
-    if any(t in name for t in MONETARY_TOKENS):
-        return HINT_MONETARY
-    if "date" in name or name.endswith("_at"):
-        return HINT_DATE
-    if any(t in name for t in CUSTOMER_TOKENS):
-        return HINT_CUSTOMER
-    if any(t in name for t in GEOGRAPHIC_TOKENS):
-        return HINT_GEOGRAPHIC
-    return None
+    fitting = (hint for hint, parts, ending in HINTS if any(p in name for p in parts) or (ending and name.endswith(ending)))
+    return next(fitting, None)
 
 
 def looks_like_key(column: str) -> bool:

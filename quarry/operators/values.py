@@ -1,9 +1,9 @@
 """One value table for a frame: every column's different values with their counts.
 
-The frame is read once.  Its cells are dealt to (column, value) and counted
-map-side first, so a value that most rows share is one row for each task.  The
-counts are then put in order of column and value by range partitions and
-written once, each row with the number of its slice.  Sums by (column, slice)
+The frame is read once.  A task counts the values of each column as it reads
+them, so a value that most rows share is one row for each task.  The counts are
+then put in order of column and value by range partitions, where equal values
+meet, and written once, each row with the number of its slice.  Sums by (column, slice)
 answer null and distinct counts at once and name the few slices that hold a
 wanted rank or an outlier bound; only these are read again.  No step meets a
 whole column, and the driver holds one row for each slice and column.
@@ -13,8 +13,12 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +28,8 @@ from quarry.session import stored
 
 #: the column number under which rows are counted
 ROWS = -1
+#: bytes of a column's counts that a task holds before it adds them up or sends them on
+HELD_BYTES = 8 << 20
 
 
 @dataclass
@@ -114,20 +120,61 @@ class ValueTable:
         return self.frame.where(F.col("slice").isin(sorted(numbers))).select("k", "slice", "v", "n")
 
 
-def _cell(number: int, f: T.StructField) -> Column:
-    """The struct (k, l, d, s) of one column's value: whole numbers in l, other floats in d, all else as text in s.
+def _slot(f: T.StructField) -> tuple[str, Column]:
+    """The slot of a column's values and the value in it: whole numbers in l, other floats in d, all else as text in s.
 
-    No number becomes a string; of nested values only their presence counts.
+    No number becomes a string, but for decimals; of nested values only their
+    presence counts.
     """
     c, dt = F.col(f"`{f.name}`"), f.dataType
-    slot, value = "s", c.cast("string")
     if isinstance(dt, INTEGRAL_TYPES):
-        slot, value = "l", c.cast("bigint")
-    elif isinstance(dt, (T.FloatType, T.DoubleType)):
-        slot, value = "d", no_nan(c).cast("double")
-    elif isinstance(dt, NESTED_TYPES):
-        slot, value = "l", F.when(c.isNotNull(), F.lit(1)).cast("bigint")
-    return F.struct(F.lit(number).alias("k"), *[(value if slot == x else F.lit(None).cast(t)).alias(x) for x, t in (("l", "bigint"), ("d", "double"), ("s", "string"))])
+        return "l", c.cast("bigint")
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "d", no_nan(c).cast("double") + F.lit(0.0)  # -0.0 is 0.0
+    if isinstance(dt, NESTED_TYPES):
+        return "l", F.when(c.isNotNull(), F.lit(1)).cast("bigint")
+    return "s", c.cast("string")
+
+
+def _counted(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """(k, l, d, s, n): each task's different values of each column with their counts, and its rows under ROWS.
+
+    A batch's values are counted column by column (Arrow's hash counts, no row is
+    dealt to its cells); counts are added up until a column holds HELD_BYTES,
+    and sent on where adding does not shrink them.
+    """
+    slots = [_slot(f) for f in fields]
+    kinds = {"l": pa.int64(), "d": pa.float64(), "s": pa.string()}
+
+    def cells(k: int, slot: str, counts: pa.Table) -> pa.RecordBatch:
+        n = counts.num_rows
+        value = {x: counts.column("v").combine_chunks().cast(t) if x == slot else pa.nulls(n, t) for x, t in kinds.items()}
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int32()), *value.values(), counts.column("n").combine_chunks()], names=["k", *value, "n"])
+
+    def added(waiting: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(waiting).group_by("v", use_threads=False).aggregate([("n", "sum")]).rename_columns(["v", "n"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[pa.Table]] = [[] for _ in slots]
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for k, (slot, _) in enumerate(slots):
+                counts = pc.value_counts(batch.column(k).drop_null())
+                waiting[k].append(pa.table({"v": counts.field("values"), "n": counts.field("counts")}))
+                if sum(t.nbytes for t in waiting[k]) > HELD_BYTES:
+                    merged = added(waiting[k])
+                    waiting[k] = [merged]
+                    if 2 * merged.nbytes > HELD_BYTES:
+                        yield cells(k, slot, merged)
+                        waiting[k] = []
+        for k, (slot, _) in enumerate(slots):
+            if waiting[k]:
+                yield cells(k, slot, added(waiting[k]))
+        yield cells(ROWS, "l", pa.table({"v": pa.array([1], pa.int64()), "n": pa.array([rows], pa.int64())}))
+
+    values = df.select(*[value.alias(f"c{i}") for i, (_, value) in enumerate(slots)]) if slots else df.select(F.lit(1).alias("c0"))
+    return values.mapInArrow(of, "k int, l long, d double, s string, n long")
 
 
 def value_table(df: DataFrame, columns: list[str] | None = None) -> ValueTable:
@@ -139,15 +186,14 @@ def value_table(df: DataFrame, columns: list[str] | None = None) -> ValueTable:
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     numbers = {f.name: i for i, f in enumerate(fields)}
-    row = F.struct(F.lit(ROWS).alias("k"), F.lit(1).cast("bigint").alias("l"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("string").alias("s"))
-    cells = df.select(F.inline(F.array(row, *[_cell(i, f) for f, i in zip(fields, numbers.values())])))
-    counted = (cells.where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
-               .groupBy("k", "l", "d", "s").agg(F.count(F.lit(1)).alias("n")))
+    # written, as the ranges' bounds need a pass of their own over it
+    counted = stored(_counted(df, fields), "counted")
     decimals = [numbers[f.name] for f in fields if isinstance(f.dataType, T.DecimalType)]
     text_number = F.when(F.col("k").isin(decimals), F.col("s").try_cast("double")) if decimals else F.lit(None).cast("double")
-    keyed = counted.select("k", F.coalesce("d", F.col("l").cast("double"), text_number).alias("v"), F.xxhash64("s").alias("h"), "n")
-    placed = keyed.repartitionByRange("k", "v", "h").select("k", "v", "n", F.spark_partition_id().alias("slice"))
-    table = stored(placed, "values")
+    keyed = counted.select("k", F.coalesce("d", F.col("l").cast("double"), text_number).alias("v"), F.xxhash64("s").alias("h"), "l", "s", "n")
+    # equal values are in one range: the counts of the tasks are added up where they are
+    placed = keyed.repartitionByRange("k", "v", "h").groupBy("k", "v", "h", "l", "s").agg(F.sum("n").alias("n"))
+    table = stored(placed.select("k", "v", "n", F.spark_partition_id().alias("slice")), "values")
     sums = table.groupBy("k", "slice").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     by_column: dict[int, list[Slice]] = defaultdict(list)
     for r in sorted(sums, key=lambda r: (r["k"], r["slice"])):
