@@ -143,7 +143,8 @@ def _counted(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     dealt to its cells); counts are added up until a column holds HELD_BYTES,
     and sent on where adding does not shrink them.
     """
-    slots = [_slot(f) for f in fields]
+    columns = [_slot(f) for f in fields]
+    slots = [slot for slot, _ in columns]
     kinds = {"l": pa.int64(), "d": pa.float64(), "s": pa.string()}
 
     def cells(k: int, slot: str, counts: pa.Table) -> pa.RecordBatch:
@@ -159,7 +160,7 @@ def _counted(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
         rows = 0
         for batch in batches:
             rows += batch.num_rows
-            for k, (slot, _) in enumerate(slots):
+            for k, slot in enumerate(slots):
                 counts = pc.value_counts(batch.column(k).drop_null())
                 waiting[k].append(pa.table({"v": counts.field("values"), "n": counts.field("counts")}))
                 if sum(t.nbytes for t in waiting[k]) > HELD_BYTES:
@@ -168,12 +169,12 @@ def _counted(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
                     if 2 * merged.nbytes > HELD_BYTES:
                         yield cells(k, slot, merged)
                         waiting[k] = []
-        for k, (slot, _) in enumerate(slots):
+        for k, slot in enumerate(slots):
             if waiting[k]:
                 yield cells(k, slot, added(waiting[k]))
         yield cells(ROWS, "l", pa.table({"v": pa.array([1], pa.int64()), "n": pa.array([rows], pa.int64())}))
 
-    values = df.select(*[value.alias(f"c{i}") for i, (_, value) in enumerate(slots)]) if slots else df.select(F.lit(1).alias("c0"))
+    values = df.select(*[value.alias(f"c{i}") for i, (_, value) in enumerate(columns)]) if columns else df.select(F.lit(1).alias("c0"))
     return values.mapInArrow(of, "k int, l long, d double, s string, n long")
 
 
