@@ -19,47 +19,60 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stored, uniform
 
 #: rows of a candidate block and of a query block at most (about), and queries that make a query group worth its own copies of candidates
-BLOCK, QUERY_BLOCK, QUERY_GROUP = 8192, 4096, 512
+BLOCK, QUERY_BLOCK, QUERY_GROUP = 8192, 16384, 512
 #: pivots at most: the driver keeps them and their inner products
 PIVOTS = 256
 #: points of a leaf: few on the query side, where a node's worst score decides
-LEAF, QUERY_LEAF = 48, 4
-#: children of a node; points that need more centres at the next radius are a leaf
-FANOUT = 96
+LEAF, QUERY_LEAF = 64, 4
+#: children of a node at most
+FANOUT = 16
 SHRINK = 0.6
 
 
 class Node:
-    __slots__ = ("centre", "radius", "norm", "children", "points")
+    __slots__ = ("centre", "radius", "norm", "children", "points", "heads", "radii", "norms")
 
     def __init__(self, centre: np.ndarray, radius: float, points: np.ndarray | None, children: list[Node] | None):
         self.centre, self.radius, self.points, self.children = centre, radius, points, children
         self.norm = float(np.linalg.norm(centre))
+        if children:
+            self.heads = np.stack([c.centre for c in children])
+            self.radii, self.norms = (np.array([getattr(c, a) for c in children]) for a in ("radius", "norm"))
 
 
 def cover_tree(x: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Node:
-    """A cover tree over rows ``points`` of x: a node's children cover it at SHRINK times its radius, centres further apart than that."""
+    """A cover tree over rows ``points`` of x: a node's children cover its points, and their centres are points apart.
+
+    Centres are points further than SHRINK times the node's radius from each
+    other; where that takes more than FANOUT, the first FANOUT are the centres
+    and every other point goes to its nearest one, so that a node's children are
+    few and the tree goes on below them.  A node's radius is the distance to its
+    furthest point.  Only points that are all equal, or few, are a leaf.
+    """
     centre = x[points[0]]
     far = np.sqrt(np.maximum(((x[points] - centre) ** 2).sum(axis=1), 0.0))
     radius = float(far.max())
     if len(points) <= leaf or radius == 0.0:
         return Node(centre, radius, points, None)
-    groups, rest = [], points
-    while len(rest):
-        near = ((x[rest] - x[rest[0]]) ** 2).sum(axis=1) <= (SHRINK * radius) ** 2
-        groups.append(rest[near])
-        rest = rest[~near]
-        if len(groups) > FANOUT:
-            return Node(centre, radius, points, None)
-    if len(groups) == 1:
-        return Node(centre, radius, points, None)
+    # the first centre is the node's own, the next one its furthest point: there are two groups at least
+    heads, groups, rest = [points[0], points[far.argmax()]], [], points
+    while len(rest) and len(groups) < FANOUT:
+        head = heads[len(groups)] if len(groups) < 2 else rest[0]
+        near = ((x[rest] - x[head]) ** 2).sum(axis=1) <= (SHRINK * radius) ** 2
+        if len(groups) >= 2:
+            heads.append(head)
+        groups.append(np.concatenate([[head], rest[near & (rest != head)]]))
+        rest = rest[~near & (rest != head) & (rest != (heads[1] if len(groups) == 1 else -1))]
+    if len(rest):
+        nearest = (((x[heads] ** 2).sum(axis=1))[None, :] - 2 * x[rest] @ x[heads].T).argmin(axis=1)
+        groups = [np.concatenate([g, rest[nearest == i]]) for i, g in enumerate(groups)]
     return Node(centre, radius, None, [cover_tree(x, g, leaf) for g in groups])
 
 
-def bound(q: Node, c: Node) -> float:
-    """No inner product of a query below q and a point below c is higher (rounding allowed for)."""
-    top = float(q.centre @ c.centre) + q.radius * c.norm + c.radius * q.norm + q.radius * c.radius
-    return top + 1e-9 * (abs(top) + q.norm * c.norm) + 1e-6
+def bounds(q: Node, heads: np.ndarray, radii: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """For each candidate node, a value that no inner product of a query below q and a point below the node exceeds (rounding allowed for)."""
+    top = heads @ q.centre + q.radius * norms + radii * q.norm + q.radius * radii
+    return top + 1e-9 * (np.abs(top) + q.norm * norms) + 1e-6
 
 
 class Search:
@@ -81,29 +94,38 @@ class Search:
         return min(self.worst(c) for c in node.children)
 
     def visit(self, q: Node, candidates: list[Node]) -> None:
+        """Both trees together: a query node passes on the candidate nodes that may hold a result of one of its queries."""
+        if not candidates:
+            return
+        tops = bounds(q, *(np.array([getattr(c, a) for c in candidates]) for a in ("centre", "radius", "norm")))
         least = self.worst(q)
-        candidates = [c for c in candidates if bound(q, c) >= least]
-        if q.points is None:
-            wide = [c for c in candidates if c.children and c.radius > q.radius]
-            candidates = [c for c in candidates if not (c.children and c.radius > q.radius)]
-            for c in wide:
-                candidates.extend(d for d in c.children if bound(q, d) >= least)
-            for child in q.children:
-                self.visit(child, candidates)
+        if q.points is not None:
+            self.descend(q, [(-top, i, c) for i, (top, c) in enumerate(zip(tops.tolist(), candidates))])
             return
-        heap = [(-bound(q, c), i, c) for i, c in enumerate(candidates)]
+        near = []
+        for top, c in zip(tops, candidates):
+            if top >= least:
+                wide = c.children and c.radius > q.radius
+                near += [c.children[i] for i in np.flatnonzero(bounds(q, c.heads, c.radii, c.norms) >= least)] if wide else [c]
+        for child in q.children:
+            self.visit(child, near)
+
+    def descend(self, q: Node, heap: list[tuple[float, int, Node]]) -> None:
+        """The candidate nodes of a query leaf by falling bound, until none reaches the leaf's worst k-th score."""
         heapq.heapify(heap)
         n = len(heap)
         while heap:
             top, _, c = heapq.heappop(heap)
-            if -top < self.floors[q.points].min():
+            floor = self.floors[q.points].min()
+            if -top < floor:
                 return
             if c.points is not None:
                 self.compare(q.points, c.points)
                 continue
-            for d in c.children:
+            tops = bounds(q, c.heads, c.radii, c.norms)
+            for i in np.flatnonzero(tops >= floor).tolist():
                 n += 1
-                heapq.heappush(heap, (-bound(q, d), n, d))
+                heapq.heappush(heap, (-float(tops[i]), n, c.children[i]))
 
     def compare(self, queries: np.ndarray, points: np.ndarray) -> None:
         self.pairs += len(queries) * len(points)
@@ -111,6 +133,12 @@ class Search:
             scores = self.q[queries] @ self.x[points].T
         else:
             scores = (self.q[queries].astype(np.int64) @ self.x[points].T.astype(np.int64)).astype(object)
+        # a query takes only points that reach its own floor
+        able = np.asarray(scores >= self.floors[queries][:, None], dtype=bool)
+        some, held = able.any(axis=1), able.any(axis=0)
+        if not some.any():
+            return
+        queries, points, scores = queries[some], points[held], scores[np.ix_(some, held)]
         ids = np.broadcast_to(self.ids[points], scores.shape)
         own = ids == self.query_ids[queries][:, None]
         scores = np.where(own, -np.inf, scores)
@@ -142,10 +170,15 @@ def pairwise(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> D
             return pd.DataFrame({"qkey": [], "query_id": [], "vec_id": [], "score": []})
         dims = max(q["v"].map(len).max(), c["v"].map(len).max())
         x, y = matrix(q["v"], dims), matrix(c["v"], dims)
-        search = Search(x, q["query_id"].to_numpy(), q["floor"].to_numpy(), y, c["vec_id"].to_numpy(), k)
+        # q.y = q.(y - m) + q.m with a whole-number m near the mean: the same order, smaller norms and so tighter bounds
+        middle = np.rint(y.mean(axis=0))
+        moved = x @ middle
+        if max(float(np.abs(x).max()), 1.0) * max(float(np.abs(middle).max()), 1.0) * dims >= 2**53 or np.abs(y).max() >= 2**52:
+            middle, moved = np.zeros(dims), np.zeros(len(x))
+        search = Search(x, q["query_id"].to_numpy(), q["floor"].to_numpy() - moved, y - middle, c["vec_id"].to_numpy(), k)
         search.visit(cover_tree(x, np.arange(len(x)), QUERY_LEAF), [cover_tree(y, np.arange(len(y)))])
         at, place = np.nonzero(search.scores > -np.inf)
-        out = search.scores[at, place] if search.exact else [int(a) for a in (x[at].astype(np.int64) * matrix_of(y, c, search.found[at, place]).astype(np.int64)).sum(axis=1)]
+        out = search.scores[at, place] + moved[at] if search.exact else [int(a) for a in (x[at].astype(np.int64) * matrix_of(y, c, search.found[at, place]).astype(np.int64)).sum(axis=1)]
         return pd.DataFrame({"qkey": q["qkey"].to_numpy()[at], "query_id": q["query_id"].to_numpy()[at], "vec_id": search.found[at, place], "score": np.asarray(out).astype(np.int64)})
 
     left = queries.join(pairs, "qblock").select(F.concat_ws("/", "qblock", "block").alias("pair"), "qkey", "query_id", "v", "floor").groupBy("pair")
