@@ -68,13 +68,13 @@ def hilbert_keys(points: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return key
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", specials: dict[str, int] | None = None) -> DataFrame:
     """(id, ids, n_ids, p0..p3) of each document: packed ids with the end id, their number, the projected vector."""
     kind = dict(docs.dtypes)[id_col]
     points = ", ".join(f"p{d} double" for d in range(DIMS))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks_path, pattern)
+        encoder = Encoder(ranks_path, pattern, specials)
         ways = directions(HASHED)
         end = END_ID.to_bytes(encoder.width, "little")
         for batch in batches:
@@ -92,7 +92,7 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
 
 
 def order_key(tokens: DataFrame) -> DataFrame:
-    """Adds ``order``: the Hilbert key, scaled by the mean and deviation over all documents, then a hash of the id."""
+    """Adds ``order``: the Hilbert key, scaled by the mean and deviation over all documents, then a hash of the id and the row's place in the written table."""
     names = [f"p{d}" for d in range(DIMS)]
     stats = tokens.agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("mean", F.avg), ("dev", F.stddev_pop))]).first()
     mid = np.array([stats[f"mean_{n}"] or 0.0 for n in names])
@@ -104,11 +104,12 @@ def order_key(tokens: DataFrame) -> DataFrame:
         grid = np.floor((0.5 + 0.5 * np.tanh(0.8 * z)) * (1 << DEPTH)).clip(0, (1 << DEPTH) - 1)
         return pd.Series(hilbert_keys(grid))
 
-    tie = F.pmod(F.xxhash64("_id"), F.lit(1 << TIE_BITS))
+    tie = F.pmod(F.xxhash64("_id", "_place"), F.lit(1 << TIE_BITS))
     return tokens.withColumn("order", F.shiftleft(curve(*names), TIE_BITS).bitwiseOR(tie))
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048,
+         specials: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``length`` ids.
 
     Columns: ``id_col``, ``start`` (the document's ids before the piece),
@@ -116,13 +117,14 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     0 along the curve), ``offset`` (in the sequence, gapless from 0) and
     ``ids`` (binary, unsigned little-endian 32-bit).  All sequences but the
     last are full.  Null and empty texts are one end id; null ids, repeated
-    rows and ties are documents of their own (equal points follow the hash of
-    the id, then the ids); other columns are ignored; an empty table gives an
+    rows and ties are documents of their own (equal points follow a hash of
+    the id and the row's place in the written tokens, so that rows of one id
+    spread like others); strings of ``specials`` are their ids, all others plain text; other columns are ignored; an empty table gives an
     empty result.  Equal texts spread over as many slices as they fill, so none is
     hot; a task holds one document and one Arrow batch at a time.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    tokens = stored(tokenised(docs, ranks_path, pattern, id_col, text_col), "tokens")
+    tokens = stored(tokenised(docs, ranks_path, pattern, id_col, text_col, specials).withColumn("_place", F.monotonically_increasing_id()), "tokens")
     keyed = order_key(tokens)
     slices = min(MAX_SLICES, shuffle_partitions(spark))
     narrow = stored(keyed.select("_id", "order", "n_ids"), "order")
@@ -135,7 +137,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     totals = dict(narrow.groupBy(slice_of("order").alias("slice")).agg(F.sum("n_ids")).collect())
     first = dict(zip(range(slices), accumulate((totals.get(i, 0) for i in range(slices)), initial=0)))
-    width = 2 if _narrow_ids(ranks_path) else 4
+    width = 2 if _narrow_ids(ranks_path, specials) else 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, current = 0, None
@@ -160,6 +162,6 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return pieces.withColumnRenamed("_id", id_col)
 
 
-def _narrow_ids(ranks_path: str) -> bool:
+def _narrow_ids(ranks_path: str, specials: dict[str, int] | None) -> bool:
     with open(ranks_path, "rb") as f:
-        return max(int(line.split()[1]) for line in f if line.strip()) < 1 << 16
+        return max([int(line.split()[1]) for line in f if line.strip()] + list((specials or {}).values())) < 1 << 16

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from quarry.llm import align, cotraining, covertree, lexical, mixing, packing, pii, sharding, signhash, simhash, sketch, toxicity, urls
+from quarry.llm.bpe import added_tokens
 from quarry.llm.common import read_table, small_batches
 from quarry.llm.following import beside_next, in_order
 
@@ -25,10 +26,15 @@ def vocabulary(folder: str = TOKENIZERS) -> str:
     return str(Path(folder) / "byte_bpe_50k.tiktoken")
 
 
+def specials(folder: str = TOKENIZERS) -> dict[str, int]:
+    """The special tokens that the tokenizer file, as loaded, finds in texts."""
+    return added_tokens(str(Path(folder) / "byte_bpe_50k.json"))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 ids, along the Hilbert curve."""
     docs = read_table(spark, sf_dir, "documents")
-    pieces = packing.pack(docs, vocabulary(), BYTE_BPE_PATTERN)
+    pieces = packing.pack(docs, vocabulary(), BYTE_BPE_PATTERN, specials=specials())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

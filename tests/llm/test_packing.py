@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import packing, queries
@@ -12,7 +13,7 @@ from .conftest import SMALL
 
 
 def pieces_of(docs, **options):
-    return [r.asDict() for r in packing.pack(docs, queries.vocabulary(), queries.BYTE_BPE_PATTERN, **options).collect()]
+    return [r.asDict() for r in packing.pack(docs, queries.vocabulary(), queries.BYTE_BPE_PATTERN, specials=queries.specials(), **options).collect()]
 
 
 def gapless(pieces, length):
@@ -26,15 +27,14 @@ def gapless(pieces, length):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_pattern_and_ids_equal_the_tokenizer_file(tokenizer):
     assert queries.BYTE_BPE_PATTERN == public_tokenizers.PATTERN
-    encoder = Encoder(queries.vocabulary(), queries.BYTE_BPE_PATTERN)
-    for text in ["", " ", "  ", " a", "a  b", "a   b ", "a \n b\n  c\t d", "x　 　y z", "\x1c \x1d a", " \n\n ", "I'll  'twas", "é ñ", "a\x85 b  \x0b c", "<|endoftext|> b", "9" * 5000, "😀😀 漢字"]:
+    assert queries.specials() == {"<|endoftext|>": 50256}
+    encoder = Encoder(queries.vocabulary(), queries.BYTE_BPE_PATTERN, queries.specials())
+    for text in ["", " ", "  ", " a", "a  b", "a   b ", "a \n b\n  c\t d", "x　 　y z", "\x1c \x1d a", " \n\n ", "I'll  'twas", "é ñ", "a\x85 b  \x0b c", "<|endoftext|> b", "a<|endoftext|>b", "a  <|endoftext|>  <|endoftext|><|endoftext|", "<|endoftext|>", "9" * 5000, "😀😀 漢字"]:
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
@@ -62,6 +62,20 @@ def test_round_trip_of_odd_rows(odd, tokenizer, clashing):
             assert np.frombuffer(b"".join(p["ids"] for p in got), "<u4").tolist() == want
 
 
+def test_special_tokens_are_plain_text_unless_given():
+    plain = Encoder(queries.vocabulary(), queries.BYTE_BPE_PATTERN).encode("a<|endoftext|>b")
+    assert len(plain) // 2 == 9
+
+
+def test_rows_of_one_id_spread_over_slices(spark):
+    """Copies with one id and text, as mixing makes them, fill several slices."""
+    docs = spark.range(3000).selectExpr("CAST(7 AS long) AS doc_id", "'the same words in each of the copies' AS text")
+    pieces = packing.pack(docs, queries.vocabulary(), queries.BYTE_BPE_PATTERN, length=128)
+    sizes = [r["count"] for r in pieces.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 0.4 * sum(sizes)
+    gapless([r.asDict() for r in pieces.collect()], 128)
+
+
 def test_empty_table(none):
     assert pieces_of(none) == []
 
@@ -74,7 +88,7 @@ def test_query_covers_the_table_with_one_padded_sequence(spark, small, tokenizer
     for r in out:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert sorted(fill) == list(range(len(fill))) and sum(v < 2048 for v in fill.values()) <= 1
-    for r in out[:200]:
+    for r in out:
         ids = np.array(tokenizer.encode(text[r["doc_id"]], add_special_tokens=False).ids + [1], dtype="<u4")
         assert zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes()) == r["ids_crc32"] and len(ids) == r["doc_tokens"]
 
