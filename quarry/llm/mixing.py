@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import shuffle_partitions, stored, uniform, unwrapped, wrapped
 
 #: a Poisson variable lies outside its mean by this many deviations (and as many counts) with probability below 1e-15
 SPREAD = 9.0
+#: copies that one step of the explosion makes
+COPIES = 1024
 #: the table of all sources is broadcast if it has no more numbers than this (8 MB); else it is joined by a shuffle
 BROADCAST_ENTRIES = 1_000_000
 
@@ -99,8 +102,13 @@ def mix(docs: DataFrame, key: list[str], source_col: str = "source", seed: int =
     drawn = copies(docs, key, source_col, seed, **target)
     plain = [c for c in drawn.columns if c not in ("rate", "copies")]
     drawn = drawn.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), "rate", F.col("copies").alias("n")).where("n > 0")
-    spread = drawn.select("row", "rate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
-    place = F.xxhash64(F.lit(f"place-{seed}"), "copy", *[F.coalesce(F.col("row")[k].cast("string"), F.lit("")) for k in key])
+    # in two steps, so that no row holds the list of all its copies
+    step = F.lit(COPIES).cast("long")
+    blocks = drawn.select("row", "rate", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) DIV {COPIES}"))).alias("block"))
+    spread = blocks.select("row", "rate", F.explode(F.sequence(F.col("block") * step, F.least(F.col("block") * step + step, F.col("n")) - 1)).alias("copy"))
+    # the whole row is hashed: rows of one key, or without one, spread like others
+    hashable = [F.col("row")[f.name] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    place = F.xxhash64(F.lit(f"place-{seed}"), "copy", *[F.coalesce(F.col("row")[k].cast("string"), F.lit("")) for k in key], *hashable)
     parts = shuffle_partitions(docs.sparkSession)
     # the hash is uniform over the 64-bit range: equal ranges of it are equal parts, and no sampling job runs
     part = F.floor((F.col("place").cast("double") / F.lit(float(2**64)) + 0.5) * parts)

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.llm import mixing, queries, sharding
 
@@ -58,6 +59,19 @@ def test_poisson_counts_follow_the_rates(spark):
         assert abs(draws[k] - want) < 5 * np.sqrt(want)
 
 
+def test_rows_without_an_id_fill_all_partitions(spark):
+    """Half the ids null, with texts of their own: no partition of the mixed order stands out."""
+    frame = spark.range(20_000).selectExpr("IF(id % 2 = 0, NULL, id) AS doc_id", "concat('text ', id) AS text", "'one' AS source")
+    sizes = [r["count"] for r in mixing.mix(frame, ["doc_id"], weights={"one": 1.0}).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1.3 * np.median(sizes)
+
+
+def test_more_copies_than_a_step(spark):
+    frame = spark.createDataFrame([(1, "a"), *[(i, "b") for i in range(2, 12_000)]], "doc_id long, source string")
+    copies = [r["copy"] for r in mixing.mix(frame, ["doc_id"], weights={"a": 0.5, "b": 0.5}).where("source = 'a'").collect()]
+    assert len(copies) > 2 * mixing.COPIES and sorted(copies) == list(range(len(copies)))
+
+
 def test_large_and_zero_rates(spark):
     rates = spark.createDataFrame([("a", 1, 0.5, 3e6), ("b", 1, 0.5, 900.0), ("c", 1, 0.0, 0.0)], "source string, n long, weight double, rate double")
     for r in mixing.poisson_table(rates).collect():
