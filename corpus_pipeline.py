@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import mixing, packing, pii, simhash, toxicity
 from quarry.llm.common import read_table, stored
-from quarry.llm.queries import BYTE_BPE_PATTERN, vocabulary
+from quarry.llm.queries import BYTE_BPE_PATTERN, specials, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 ids along the Hilbert curve."""
-    return packing.pack(docs, vocabulary(), BYTE_BPE_PATTERN)
+    return packing.pack(docs, vocabulary(), BYTE_BPE_PATTERN, specials=specials())
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_duplicates), ("pii", redact_personal_data), ("mixing", mix_sources), ("packing", pack_sequences)]
