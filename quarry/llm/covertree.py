@@ -23,9 +23,9 @@ BLOCK, QUERY_BLOCK, QUERY_GROUP = 8192, 16384, 512
 #: pivots at most: the driver keeps them and their inner products
 PIVOTS = 256
 #: points of a leaf: few on the query side, where a node's worst score decides
-LEAF, QUERY_LEAF = 64, 4
+LEAF, QUERY_LEAF = 128, 4
 #: children of a node at most
-FANOUT = 16
+FANOUT = 64
 SHRINK = 0.6
 
 
@@ -56,7 +56,7 @@ def cover_tree(x: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Node:
         return Node(centre, radius, points, None)
     # the first centre is the node's own, the next one its furthest point: there are two groups at least
     heads, groups, rest = [points[0], points[far.argmax()]], [], points
-    while len(rest) and len(groups) < FANOUT:
+    while len(groups) < 2 or (len(rest) and len(groups) < FANOUT):
         head = heads[len(groups)] if len(groups) < 2 else rest[0]
         near = ((x[rest] - x[head]) ** 2).sum(axis=1) <= (SHRINK * radius) ** 2
         if len(groups) >= 2:

@@ -85,6 +85,21 @@ def test_pruning_with_more_clusters_than_children(n_clusters):
     assert (np.sort(scores, axis=1)[:, ::-1][:, :5] == search.scores).all()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_no_point_is_lost(seed):
+    """Trees over odd shapes hold every point once: outliers, copies, lines, one dense lump and a few far rows."""
+    rng = np.random.default_rng(seed)
+    lump = np.rint(rng.normal(size=(400, 3)))
+    shapes = [np.concatenate([lump, [[1e4, 0, 0]]]), np.concatenate([np.zeros((300, 3)), lump[:2]]), np.arange(900.0).reshape(300, 3), np.concatenate([lump] * 3), rng.normal(size=(700, 3)) ** 9]
+    for x in shapes:
+        nodes, held = [covertree.cover_tree(x, rng.permutation(len(x)), leaf=int(rng.integers(1, 9)))], []
+        while nodes:
+            node = nodes.pop()
+            nodes += node.children or []
+            held += [] if node.points is None else node.points.tolist()
+        assert sorted(held) == list(range(len(x)))
+
+
 def test_equal_points_are_one_leaf():
     x = np.ones((500, 4))
     assert covertree.cover_tree(x, np.arange(500)).points is not None
