@@ -256,7 +256,8 @@ def _pair_sums(df: DataFrame, v: list[Column], shift: list[float], pairs: list[t
     pair's own mean is taken off, than the rounding of their sum.
     """
     found = {r["i"]: {m: np.frombuffer(r[m], dtype=np.float64) for m in ("n", "s", "ss", "p")} for r in _gram(df, v, shift).collect()}
-    out: dict = {f"n{i}_{j}": 0 for i, j in pairs}
+    # an empty table has no sums
+    out: dict = {f"{s}{i}_{j}": 0 if s == "n" else None for i, j in pairs for s in ("n", "p", "sx", "sy", "sxx", "syy", "vx", "vy")}
     for i, j in pairs if found else []:
         n, t = found[i]["n"][j], f"{i}_{j}"
         out[f"n{t}"], out[f"p{t}"] = int(n), float(found[i]["p"][j])
