@@ -107,7 +107,7 @@ def mix(docs: DataFrame, key: list[str], source_col: str = "source", seed: int =
     blocks = drawn.select("row", "rate", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) DIV {COPIES}"))).alias("block"))
     spread = blocks.select("row", "rate", F.explode(F.sequence(F.col("block") * step, F.least(F.col("block") * step + step, F.col("n")) - 1)).alias("copy"))
     # the whole row is hashed: rows of one key, or without one, spread like others
-    hashable = [F.col("row")[f.name] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    hashable = [F.col("row")[f.name] for f in drawn.schema["row"].dataType.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     place = F.xxhash64(F.lit(f"place-{seed}"), "copy", *[F.coalesce(F.col("row")[k].cast("string"), F.lit("")) for k in key], *hashable)
     parts = shuffle_partitions(docs.sparkSession)
     # the hash is uniform over the 64-bit range: equal ranges of it are equal parts, and no sampling job runs
