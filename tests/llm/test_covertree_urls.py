@@ -61,56 +61,6 @@ def test_pruning_compares_fewer_pairs():
     assert (np.sort(scores, axis=1)[:, ::-1][:, :5] == search.scores).all()
 
 
-@pytest.mark.parametrize("n_clusters", [20, 400])
-def test_pruning_with_more_clusters_than_children(n_clusters):
-    """Levels go on below a node that more centres would cover: no candidate tree is one leaf."""
-    rng = np.random.default_rng(n_clusters)
-    centres = rng.normal(size=(n_clusters, 16)) * 20
-    x = np.floor(256 * np.concatenate([c + 0.05 * rng.normal(size=(20, 16)) for c in centres]))
-    q = x[::50]
-    tree = covertree.cover_tree(x, np.arange(len(x)))
-
-    def leaves(node):
-        return [node] if node.points is not None else [leaf for c in node.children for leaf in leaves(c)]
-    assert tree.children and len(tree.children) <= covertree.FANOUT
-    assert sorted(i for leaf in leaves(tree) for i in leaf.points) == list(range(len(x)))
-    assert all(len(leaf.points) <= covertree.LEAF or leaf.radius == 0 for leaf in leaves(tree))
-    for leaf in leaves(tree):
-        assert np.sqrt(((x[leaf.points] - leaf.centre) ** 2).sum(axis=1)).max() <= leaf.radius + 1e-9
-    search = covertree.Search(q, np.arange(0, len(x), 50), np.full(len(q), -np.inf), x, np.arange(len(x)), 5)
-    search.visit(covertree.cover_tree(q, np.arange(len(q)), covertree.QUERY_LEAF), [tree])
-    assert search.pairs < 0.5 * len(q) * len(x)
-    scores = q @ x.T
-    scores[np.arange(len(q)), np.arange(0, len(x), 50)] = -np.inf
-    assert (np.sort(scores, axis=1)[:, ::-1][:, :5] == search.scores).all()
-
-
-@pytest.mark.parametrize("seed", range(6))
-def test_no_point_is_lost(seed):
-    """Trees over odd shapes hold every point once: outliers, copies, lines, one dense lump and a few far rows."""
-    rng = np.random.default_rng(seed)
-    lump = np.rint(rng.normal(size=(400, 3)))
-    shapes = [np.concatenate([lump, [[1e4, 0, 0]]]), np.concatenate([np.zeros((300, 3)), lump[:2]]), np.arange(900.0).reshape(300, 3), np.concatenate([lump] * 3), rng.normal(size=(700, 3)) ** 9]
-    for x in shapes:
-        nodes, held = [covertree.cover_tree(x, rng.permutation(len(x)), leaf=int(rng.integers(1, 9)))], []
-        while nodes:
-            node = nodes.pop()
-            nodes += node.children or []
-            held += [] if node.points is None else node.points.tolist()
-        assert sorted(held) == list(range(len(x)))
-
-
-def test_equal_points_are_one_leaf():
-    x = np.ones((500, 4))
-    assert covertree.cover_tree(x, np.arange(500)).points is not None
-
-
-def test_a_far_mean_keeps_results(spark):
-    rng = np.random.default_rng(11)
-    rows = [(i, (rng.normal(size=6) + 40).tolist()) for i in range(300)] + [(1000 + i, (rng.normal(size=6) * 1e9).tolist()) for i in range(5)]
-    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute(rows)
-
-
 URLS = ["http://A.Example.net/en/1?x=1", "https://example.com/de/2#t", "ftp://q.org/fr/", "http://org", "http://org/fr", "nothing", "", None, "http://x.y?a/b", "http://x.y#f", "http:///p", "http://notexample.com/de/", "a://b://c/d", "http://example.net/EN/1", "http://net", "http://net/", "http://É.NET/en/", "http://u:p@h.Net:80/en/x?y=/z\nw"]
 
 
