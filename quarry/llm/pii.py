@@ -16,6 +16,7 @@ recursion on long runs.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, stored, unwrapped
+from quarry.llm.common import stored, unwrapped
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -51,8 +52,8 @@ SPAN = "array<struct<start:int,kind:int,end:int,hit:string>>"
 FEATURES = ("kind", "size", "digits", "seps", "letters", "groups", "first_group", "last_group", "plus", "parens", "before", "after", "cue", "near_digits", "checks")
 #: items of a list that a fold makes at once
 BLOCK = 128
-#: documents to learn from (a hash chooses), and the least held-out precision of a kind's further spans
-SAMPLE = 4_000
+#: different candidates that a task learns from, and the least held-out precision of a kind's further spans
+LEARN_ROWS = 100_000
 PRECISION = 0.95
 
 
@@ -215,30 +216,36 @@ def tree_sql(debug: str) -> str:
     return node()
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> Model:
-    """Train on the candidates of about ``sample`` documents (a hash of id and size chooses); four fifths fit the trees, the rest the thresholds.
+def fit(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> Model:
+    """Train on the candidates of all documents; four fifths fit the trees, the rest the thresholds (a hash of a candidate chooses).
 
-    Copies of these texts without '+' and with '[at]' for '@' teach too.  A
+    Copies of the texts without '+' and with '[at]' for '@' teach too.  A
     kind's threshold is the lowest at which held-out candidates that score
     higher, and meet no base span, are valid at the wanted rate; a kind without one selects nothing, and
-    neither does any if there are no candidates of both labels.
+    neither does any if there are no candidates of both labels.  Candidates
+    alike in features and label are one row with their number as its weight;
+    equal documents count as often as they occur.
     """
-    chosen = bounded_sample(docs, F.concat_ws("|", F.col(f"`{id_col}`"), F.length(F.col(f"`{text_col}`"))), sample)
-    rows = chosen.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"))
     contrast = F.regexp_replace(F.regexp_replace("body", r"\+(?=[0-9])", ""), "@", "[at]")
     rows = rows.unionByName(rows.select(contrast.alias("other"), "body").where("other <> body").select(F.col("other").alias("body")))
     # written first: a filter that Spark infers for explode() would repeat all patterns for every candidate
     spans = stored(with_candidates(with_base(rows)).select("candidates"), "spans").select(F.explode("candidates").alias("c"))
-    rows = stored(spans.select("c", F.col("c.label").cast("double").alias("label"), (F.pmod(F.xxhash64("c"), F.lit(5)) == 0).alias("held")), "candidates").coalesce(4)
-    learn = rows.where("NOT held")
-    if learn.select("label").distinct().count() < 2:
+    kept = ("x", "free", "label", "held")
+    rows = stored(spans.select("c.x", "c.free", F.col("c.label").cast("double").alias("label"), (F.pmod(F.xxhash64("c"), F.lit(5)) == 0).alias("held"))
+                  .groupBy(*kept).agg(F.count(F.lit(1)).alias("n")), "candidates")
+    learn = rows.where("NOT held").groupBy("x", "label").agg(F.sum("n").cast("double").alias("n"))
+    size = {r["label"]: r["rows"] for r in learn.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    if len(size) < 2:
         return Model(None, (2.0,) * len(KINDS))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learn.select("label", "c.x.*"))
-    # one partition layout and a fixed seed: a rerun learns the same trees
-    trees = GBTClassifier(maxIter=8, maxDepth=3, maxBins=24, seed=42, cacheNodeIds=False).fit(vectors.select("label", "features"))
+    # one layout and one order of the rows, by their values, and a fixed seed: a rerun learns the same trees
+    flat = [f"x.{f}" for f in FEATURES]
+    learn = learn.repartition(math.ceil(sum(size.values()) / LEARN_ROWS), "x", "label").sortWithinPartitions(*flat, "label")
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learn.select("label", "n", "x.*"))
+    trees = GBTClassifier(maxIter=8, maxDepth=3, maxBins=24, seed=42, cacheNodeIds=False, weightCol="n").fit(vectors.select("label", "n", "features"))
     margin = " + ".join(f"{float(w)!r}D * ({tree_sql(t.toDebugString)})" for w, t in zip(trees.treeWeights, trees.trees))
-    p = Model(margin, ()).probability()
-    bins = rows.where("held AND c.free").select("c.kind", F.expr(f"floor(100 * ({p}))").alias("bin"), "label").groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    p = Model(margin, ()).probability().replace("c.x.", "x.")
+    bins = rows.where("held AND free").select(F.col("x.kind").cast("int").alias("kind"), F.expr(f"floor(100 * ({p}))").alias("bin"), "label", "n").groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
     least = []
     for kind in range(len(KINDS)):
         n = good = 0.0

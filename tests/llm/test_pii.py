@@ -140,3 +140,19 @@ def test_spans_in_runs_are_found(spark):
     hits = {r["doc_id"]: {texts[r["doc_id"]][x["start"]:x["end"]] for x in r["spans"]} for r in found}
     assert "+1 (826) 555-4081" in hits[1377] and "+1 (843) 555-7672" in hits[7052]
     assert {"7536784127813050", "4845168114407329"} <= hits[46]
+
+
+def test_every_document_teaches(spark, monkeypatch):
+    """The trees and thresholds see the candidates of all documents, however many there are."""
+    n = 9_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("tel +1 (555) 01"), F.lpad(F.col("id").cast("string"), 5, "0"), F.lit(" or 4111 1111 1111 1112")).alias("text"))
+    seen = []
+    from pyspark.ml.classification import GBTClassifier
+    fit = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: seen.append(rows.agg(F.sum("n")).first()[0]) or fit(self, rows))
+    model = pii.fit(docs)
+    bodies = docs.select(F.col("text").alias("body"))
+    both = bodies.unionByName(bodies.select(F.regexp_replace("body", r"\+(?=[0-9])", "").alias("body")))
+    every = pii.with_candidates(pii.with_base(both)).select(F.explode("candidates").alias("c"))
+    assert seen == [every.where(F.pmod(F.xxhash64("c"), F.lit(5)) != 0).count()] and seen[0] > n
+    assert pii.fit(docs) == model
