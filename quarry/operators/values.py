@@ -28,8 +28,17 @@ from quarry.session import stored
 
 #: the column number under which rows are counted
 ROWS = -1
-#: bytes of a column's counts that a task holds before it adds them up or sends them on
-HELD_BYTES = 8 << 20
+#: bytes of counts that a task holds, shared out over the columns, before it adds them up or sends them on; the least share
+HELD_BYTES = 16 << 20
+LEAST_HELD = 1 << 18
+#: counts of batches that a task holds for a column at most
+HELD_BATCHES = 64
+#: counted rows of a slice: at most about, wished for, and those from which on it is worth a task of its own
+MOST_ROWS = 2_000_000
+SLICE_ROWS = 400_000
+FEW_ROWS = 50_000
+#: ranges up to which the sending side of a shuffle holds no rows in memory (Spark's default)
+DIRECT_RANGES = 200
 
 
 @dataclass
@@ -140,12 +149,13 @@ def _counted(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """(k, l, d, s, n): each task's different values of each column with their counts, and its rows under ROWS.
 
     A batch's values are counted column by column (Arrow's hash counts, no row is
-    dealt to its cells); counts are added up until a column holds HELD_BYTES,
-    and sent on where adding does not shrink them.
+    dealt to its cells); counts are added up until a column holds its share of
+    HELD_BYTES, and sent on where adding does not shrink them.
     """
     columns = [_slot(f) for f in fields]
     slots = [slot for slot, _ in columns]
     kinds = {"l": pa.int64(), "d": pa.float64(), "s": pa.string()}
+    share = max(HELD_BYTES // max(len(slots), 1), LEAST_HELD)
 
     def cells(k: int, slot: str, counts: pa.Table) -> pa.RecordBatch:
         n = counts.num_rows
@@ -163,12 +173,14 @@ def _counted(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
             for k, slot in enumerate(slots):
                 counts = pc.value_counts(batch.column(k).drop_null())
                 waiting[k].append(pa.table({"v": counts.field("values"), "n": counts.field("counts")}))
-                if sum(t.nbytes for t in waiting[k]) > HELD_BYTES:
+                if len(waiting[k]) > HELD_BATCHES or sum(t.nbytes for t in waiting[k]) > share:
                     merged = added(waiting[k])
                     waiting[k] = [merged]
-                    if 2 * merged.nbytes > HELD_BYTES:
+                    if 2 * merged.nbytes > share:
                         yield cells(k, slot, merged)
                         waiting[k] = []
+                    del merged
+                    pa.default_memory_pool().release_unused()
         for k, slot in enumerate(slots):
             if waiting[k]:
                 yield cells(k, slot, added(waiting[k]))
@@ -192,8 +204,11 @@ def value_table(df: DataFrame, columns: list[str] | None = None) -> ValueTable:
     decimals = [numbers[f.name] for f in fields if isinstance(f.dataType, T.DecimalType)]
     text_number = F.when(F.col("k").isin(decimals), F.col("s").try_cast("double")) if decimals else F.lit(None).cast("double")
     keyed = counted.select("k", F.coalesce("d", F.col("l").cast("double"), text_number).alias("v"), F.xxhash64("s").alias("h"), "l", "s", "n")
-    # equal values are in one range: the counts of the tasks are added up where they are
-    placed = keyed.repartitionByRange("k", "v", "h").groupBy("k", "v", "h", "l", "s").agg(F.sum("n").alias("n"))
+    # equal values are in one range: the counts of the tasks are added up where they are.  The number of ranges
+    # follows the rows, so that a range stays small; a number that is given is not lowered at run time (few rows need none)
+    rows = counted.count()
+    ranges = max(math.ceil(rows / MOST_ROWS), min(math.ceil(rows / SLICE_ROWS), DIRECT_RANGES), min(math.ceil(rows / FEW_ROWS), df.sparkSession.sparkContext.defaultParallelism))
+    placed = keyed.repartitionByRange(*([ranges] if rows > SLICE_ROWS else []), "k", "v", "h").groupBy("k", "v", "h", "l", "s").agg(F.sum("n").alias("n"))
     table = stored(placed.select("k", "v", "n", F.spark_partition_id().alias("slice")), "values")
     sums = table.groupBy("k", "slice").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     by_column: dict[int, list[Slice]] = defaultdict(list)

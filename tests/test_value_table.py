@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.exact import exact_mean, exact_sum
-from quarry.operators import answers, audit, profile
+from quarry.operators import answers, audit, profile, values
 from quarry.operators.selection import first_rows
 from quarry.operators.values import value_table
 
@@ -173,3 +173,35 @@ def test_change_at_the_grain_of_seconds(spark):
     assert [g[1] for g in got] == [v for _, v in series]
     assert [g[2] for g in got[1:]] == [v for _, v in series[:-1]]
     assert all(g[3] == g[1] - g[2] for g in got[1:])
+
+
+def test_slices_follow_the_rows(spark, monkeypatch):
+    """A slice stays small whatever the number of shuffle partitions, and is not merged with others at run time."""
+    monkeypatch.setattr(values, "SLICE_ROWS", 500)
+    frame = spark.range(20_000).select((F.col("id") * 7 % 20_000).cast("double").alias("x"))
+    table = value_table(frame)
+    assert len(table.slices["x"]) > 20 and max(s.values for s in table.slices["x"]) < 3_000
+    assert table.rows == table.distinct("x") == 20_000 and table.quantiles(["x"], [0.25, 0.5]) == {"x": [4999.75, 9999.5]}
+    assert table.outside({"x": (100.0, 19_000.5)}) == {"x": 100 + 999}
+
+
+def test_columns_share_what_a_task_holds(spark, monkeypatch):
+    """Counts that a task holds are bounded for all columns together."""
+    monkeypatch.setattr(values, "HELD_BYTES", 1_200_000)
+    n, same = 100_000, 20_000
+    frame = spark.range(0, n, 1, 1).select(*[(F.col("id") % same + i).alias(f"c{i}") for i in range(6)])
+    sent = values._counted(frame, frame.schema.fields).where("k >= 0").groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in sent} == dict.fromkeys(range(6), n)
+    table = value_table(frame)
+    assert table.rows == n and all(table.distinct(c) == same and table.non_null(c) == n for c in frame.columns)
+
+
+def test_profile_of_many_batches(spark, monkeypatch):
+    """Few values in very many batches: their counts are added up as they come, and the profile is right."""
+    monkeypatch.setattr(values, "HELD_BATCHES", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = profile.profile(spark.range(0, 5_000, 1, 1).select((F.col("id") % 5).alias("a"), F.when(F.col("id") % 2 == 0, "x").alias("s"))).by_name()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (found["a"].unique_count, found["a"].null_count, found["s"].unique_count, found["s"].null_count) == (5, 0, 1, 2_500)
