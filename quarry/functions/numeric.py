@@ -86,7 +86,7 @@ def parse_number(v: Column) -> Column:
     """String -> double, NULL when the text is not a number.  A cheap shape
     test runs first, so ``try_cast`` never meets text it would reject (a
     rejected cast is an exception inside the task)."""
-    plausible = v.rlike(NUMBER_SHAPE) | F.lower(v).isin(*NUMBER_WORDS)
+    plausible = v.rlike(NUMBER_SHAPE) | ((F.length(v) <= max(map(len, NUMBER_WORDS))) & F.lower(v).isin(*NUMBER_WORDS))
     return no_nan(F.when(plausible, v.try_cast("double")))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.numeric import (NESTED_TYPES, aggregate_row, is_datetime_type,
+from quarry.functions.numeric import (NESTED_TYPES, is_datetime_type,
                                       is_numeric_type, no_nan, parse_integer, parse_number)
 from quarry.session import reused
 
@@ -114,9 +114,9 @@ def infer_types(df: DataFrame, patterns: tuple[str, ...] = DATE_PATTERNS,
     non-nulls)), text.  Blank strings count as null.  An all-null column is
     text.
 
-    Pass 1 is one aggregate of cheap counts for every string column
-    (non-null, numeric, whole, boolean, ISO timestamp).  Pass 2 runs only for
-    the columns still undecided: the other date patterns, and distinct counts by
+    Pass 1 counts the cells of every string column by what they parse as
+    (number, whole number, boolean, timestamp under each pattern), grouped by
+    column.  Pass 2 runs only for the columns still undecided: distinct counts by
     sketches, made exact where a sketch cannot settle the categorical rule
     (with ``approx`` nowhere).
     """
@@ -134,44 +134,25 @@ def _infer_types(df: DataFrame, patterns: tuple[str, ...], approx: bool) -> list
             decided[field.name] = ColumnType(field.name, known, field.dataType.simpleString())
         else:
             strings.append(field.name)
-    idx = {c: i for i, c in enumerate(strings)}
-    aggs: list[Column] = []
-    for c, i in idx.items():
-        v = blank_to_null(c)
-        d = parse_number(v)
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.count(d).alias(f"d{i}"),
-            # bigint storage only when every parsed number is whole and in range
-            F.count(F.when(d.isNotNull() & ((F.floor(d) != d) | (F.abs(d) >= 9.2e18)), 1))
-            .alias(f"f{i}"),
-            F.count(F.when(F.lower(v).isin("true", "false"), 1)).alias(f"b{i}"),
-            F.count(_parse_ts(v, ISO)).alias(f"t{i}_0"),
-        ]
-    first = aggregate_row(df, aggs) if aggs else {}
+    first = _cell_counts(df, strings, patterns) if strings else {}
 
     undecided = []
-    for c, i in idx.items():
-        n = first[f"n{i}"]
+    for c in strings:
+        n = first[c]["n"]
         if n == 0:
             decided[c] = ColumnType(c, TEXT)
-        elif first[f"b{i}"] == n:
+        elif first[c]["b"] == n:
             decided[c] = ColumnType(c, BOOLEAN, "boolean")
-        elif first[f"d{i}"] >= PARSE_SHARE * n:
-            decided[c] = ColumnType(c, NUMERIC, "bigint" if first[f"f{i}"] == 0 else "double")
+        elif first[c]["d"] >= PARSE_SHARE * n:
+            decided[c] = ColumnType(c, NUMERIC, "bigint" if first[c]["f"] == 0 else "double")
         else:
             undecided.append(c)
 
     if undecided:
-        second = aggregate_row(df, [
-            F.count(_parse_ts(blank_to_null(c), p)).alias(f"t{idx[c]}_{k + 1}")
-            for c in undecided for k, p in enumerate(patterns)]) if patterns else {}
-        distinct = _string_distinct(df, undecided, approx, {c: first[f"n{idx[c]}"] for c in undecided})
+        distinct = _string_distinct(df, undecided, approx, {c: first[c]["n"] for c in undecided})
         for c in undecided:
-            i, n = idx[c], first[f"n{idx[c]}"]
-            hits = [(first[f"t{i}_0"], 0, ISO)] + [
-                (second[f"t{i}_{k + 1}"], -(k + 1), p) for k, p in enumerate(patterns)]
-            best, _, pattern = max(hits)
+            n = first[c]["n"]
+            best, _, pattern = max((first[c][f"t{k}"], -k, p) for k, p in enumerate((ISO, *patterns)))
             if best >= PARSE_SHARE * n:
                 decided[c] = ColumnType(c, DATETIME, "timestamp", pattern)
             else:
@@ -179,6 +160,37 @@ def _infer_types(df: DataFrame, patterns: tuple[str, ...], approx: bool) -> list
     return [decided[f.name] for f in fields]
 
 
+def _cells(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(k, v): the number of its column and the trimmed text of every cell that is not blank."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("k"), blank_to_null(c).alias("v")) for i, c in enumerate(cols)
+    ]))).where(F.col("v").isNotNull())
+
+
+def _cell_counts(df: DataFrame, cols: list[str], patterns: tuple[str, ...]) -> dict[str, dict[str, int]]:
+    """Per column the cells (n) that parse as numbers (d), as numbers that are no bigint (f), as booleans (b), and under ISO and each pattern (t0, t1, ...).
+
+    One scan; a text's number is parsed once, and the date shapes are tried on
+    such texts only as can have one: no number has any, an ISO date has its dash
+    at the fifth place, where no other shape has one, and all others have a year of four digits.
+    """
+    v, d = F.col("v"), F.col("d")
+    dash = F.substring(v, 5, 1) == "-"
+    tried = dict.fromkeys(DATE_SHAPES, "other") | {ISO: "iso"}
+    cells = (_cells(df, cols).withColumn("d", parse_number(v))
+             .withColumn("iso", F.when(d.isNull() & dash, v))
+             .withColumn("other", F.when(d.isNull() & ~dash & v.rlike("[0-9]{4}"), v)))
+    rows = cells.groupBy("k").agg(
+        F.count(v).alias("n"), F.count(d).alias("d"),
+        # bigint storage only when every parsed number is whole and in range
+        F.count(F.when(d.isNotNull() & ((F.floor(d) != d) | (F.abs(d) >= 9.2e18)), 1)).alias("f"),
+        F.count(F.when(F.length(v).between(4, 5) & F.lower(v).isin("true", "false"), 1)).alias("b"),
+        F.count(_parse_ts(F.col("iso"), ISO)).alias("t0"),
+        *[F.count(_parse_ts(F.col(tried.get(p, "v")), p)).alias(f"t{i + 1}") for i, p in enumerate(patterns)]).collect()
+    none = dict.fromkeys(("n", "d", "f", "b", *[f"t{i}" for i in range(len(patterns) + 1)]), 0)
+    return dict.fromkeys(cols, none) | {cols[r["k"]]: r.asDict() for r in rows}
+
+
 def _string_distinct(df: DataFrame, cols: list[str], approx: bool, non_null: dict[str, int] | None = None) -> dict[str, int]:
     """Distinct non-blank values per column, as exact as the categorical rule needs.
 
@@ -186,13 +198,11 @@ def _string_distinct(df: DataFrame, cols: list[str], approx: bool, non_null: dic
     the rule's limit are counted exactly, in one grouped job (the partial
     aggregate dedups before the shuffle).  An id-like column is never shuffled.
     """
-    estimate = aggregate_row(df, [F.approx_count_distinct(blank_to_null(c), rsd=APPROX_RSD).alias(f"u{i}") for i, c in enumerate(cols)])
-    found = {c: estimate[f"u{i}"] for i, c in enumerate(cols)}
+    estimate = {r["k"]: r["u"] for r in _cells(df, cols).groupBy("k").agg(F.approx_count_distinct("v", rsd=APPROX_RSD).alias("u")).collect()}
+    found = {c: estimate.get(i, 0) for i, c in enumerate(cols)}
     close = [] if approx else [c for c in cols if abs(found[c] - categorical_limit((non_null or {}).get(c, 0))) <= SURE * APPROX_RSD * found[c] + 1]
     if close:
-        pairs = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("k"), blank_to_null(c).alias("v")) for i, c in enumerate(close)
-        ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
+        pairs = _cells(df, close)
         exact = {r["k"]: r["u"] for r in pairs.distinct().groupBy("k")
                  .agg(F.count(F.lit(1)).alias("u")).collect()}
         found |= {c: exact.get(i, 0) for i, c in enumerate(close)}

@@ -110,3 +110,26 @@ def test_day_first_and_month_name_dates(df):
     got = [[v.strftime("%Y-%m-%d") for v in r] for r in typed.collect()]
     assert got == [["2026-12-25", "2026-01-05", "2026-01-05", "2026-02-14"],
                    ["2026-01-03", "2026-03-31", "2026-03-31", "2026-05-01"]]
+
+
+def test_every_date_pattern_is_found_in_one_scan(spark):
+    """Each pattern's dates, also a pattern without a shape, and texts that only look like dates or numbers."""
+    texts = {"iso": ["2024-01-05", "2024-01-05T10:11:12", "2024-1-5 10:11:12.5"], "MM/dd/yyyy": ["01/25/2024", "12/31/2023", "02/28/2024"], "yyyy/MM/dd": ["2024/01/05"] * 3,
+             "dd.MM.yyyy": ["05.01.2024"] * 3, "dd-MMM-yyyy": ["05-Jan-2024"] * 3, "MMM d, yyyy": ["Jan 5, 2024"] * 3, "yyyyMMdd'T'HHmmss": ["20240105T101112"] * 3, "dd/MM/yyyy": ["25/01/2024"] * 3}
+    frame = spark.createDataFrame(list(zip(*texts.values(), ["1234-x", "+1e3", "inf"], ["true", "FALSE", " "], ["1", "2.5", "Infinity"], ["12", "7.0", None])),
+                                  [*[f"c{i}" for i in range(len(texts))], "text", "flag", "number", "whole"])
+    found = ty.infer_types(frame)
+    assert [t.date_pattern for t in found[:len(texts)]] == list(texts) and {t.semantic_type for t in found[:len(texts)]} == {"datetime"}
+    assert [(t.semantic_type, t.storage) for t in found[len(texts):]] == [("categorical", "string"), ("boolean", "boolean"), ("numeric", "double"), ("numeric", "bigint")]
+    days = spark.createDataFrame([("2024~01~05",)] * 3, "day string")
+    assert ty.infer_types(days, patterns=("yyyy~MM~dd",))[0].date_pattern == "yyyy~MM~dd"
+
+
+def test_charts_write_only_the_columns_they_draw(spark, monkeypatch):
+    from quarry.plans import chart_plan
+    written = []
+    kept = chart_plan.reused
+    monkeypatch.setattr(chart_plan, "reused", lambda df, enabled: written.append(df.columns) or kept(df, enabled))
+    frame = spark.createDataFrame([("a", 1.0, "z", 3.0), ("b", 2.0, "z", 4.0)], "g string, m double, unused string, other double")
+    out = chart_plan.chart_bundle(frame, [], specs=[chart_plan.ChartSpec("bar", "g", "m", "sum", "driver", "general")], persist=True)
+    assert written == [["g", "m"]] and {(r["label"], r["value"]) for r in out.collect()} == {("a", 1.0), ("b", 2.0)}
